@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules, token_files
+from . import html_text, language_id, packing, quality_rules, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
+        "op7_language_id": language_id.op7_language_id,
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op3_html_text": html_text.op3_html_text,
+        "op9_packing": packing.op9_packing,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
