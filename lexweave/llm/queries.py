@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, language_id, packing, quality_rules, token_files, toxicity
+from . import html_text, language_id, packing, quality_rules, substring_dedup, token_files, toxicity
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op7_language_id": language_id.op7_language_id,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_html_text": html_text.op3_html_text,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_packing": packing.op9_packing,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_substring_dedup": substring_dedup.OP8_SQL}
