@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, language_id, packing, quality_rules, substring_dedup, token_files, toxicity
+from . import decontamination, html_text, language_id, packing, quality_rules, substring_dedup, token_files, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op7_language_id": language_id.op7_language_id,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_html_text": html_text.op3_html_text,
+        "op5_decontamination": decontamination.op5_decontamination,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_packing": packing.op9_packing,
         "op10_quality_rules": quality_rules.op10_quality_rules,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_substring_dedup": substring_dedup.OP8_SQL}
+    return {"op5_decontamination": decontamination.OP5_SQL, "op8_substring_dedup": substring_dedup.OP8_SQL}
