@@ -12,7 +12,7 @@ import os
 import re
 
 _ODD = re.compile(r" (?:\s|$)")
-_CACHE_SIZE = 400_000
+_CACHE_SIZE = 500_000
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -25,6 +25,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        ids = self.tokenizer.get_vocab()
+        self.spaced = bytearray(max(ids.values()) + 1)  # 1 for ids whose token starts with a space
+        for token, k in ids.items():
+            self.spaced[k] = token.startswith("Ġ")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -33,6 +37,18 @@ class Encoder:
 
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece after a space. As one text that has a space only before each piece, they are cut where a token starts with one."""
+        import numpy as np
+
+        if "" not in pieces:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(np.frombuffer(self.spaced, np.uint8)[ids])
+            if len(cuts) == len(pieces):
+                raw, at = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
+                return [raw[a:b] for a, b in zip(at[:-1], at[1:])]
+        return self._encode([" " + p for p in pieces])
+
     def _learn(self, pieces: list[str]) -> None:
         """After it, ``young`` has all ``pieces``. Pieces not asked for during a generation are forgotten."""
         if len(self.young) > _CACHE_SIZE:
@@ -44,9 +60,9 @@ class Encoder:
                     young[p] = old[p]
                 else:
                     new.append(p)
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            young.update(zip(part, self._encode([" " + p for p in part])))
+        for i in range(0, len(new), 2000):
+            part = new[i : i + 2000]
+            young.update(zip(part, self._encode_pieces(part)))
 
     def encode_all(self, texts: list[str | None]):
         """Ids of each text in turn; pieces are looked up for about a million characters at a time."""
