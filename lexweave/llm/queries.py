@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, packing, quality_rules, substring_dedup, token_files, toxicity
+from . import decontamination, html_text, language_id, near_duplicates, packing, quality_rules, substring_dedup, token_files, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op7_language_id": language_id.op7_language_id,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_html_text": html_text.op3_html_text,
+        "op4_near_duplicates": near_duplicates.op4_near_duplicates,
         "op5_decontamination": decontamination.op5_decontamination,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_packing": packing.op9_packing,
