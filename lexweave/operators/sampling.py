@@ -1,0 +1,51 @@
+"""Splits, samples and training tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def share(seed: int, *keys: str) -> Column:
+    """A number from 0 to 1 that depends on the seed and the keys only."""
+    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_003)) / 1_000_003
+
+
+def holdout(sentences: DataFrame, seed: int = 42, part: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Training and validation sentences; the same on every run and cluster."""
+    s = share(seed, "sent_id")
+    return sentences.where(s >= part), sentences.where(s < part)
+
+
+def folds(sentences: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    return sentences.withColumn("fold", F.floor(share(seed, "sent_id") * k).cast("int"))
+
+
+def thin_unchanged(tokens: DataFrame, keep: float, seed: int = 42) -> DataFrame:
+    """All changed tokens and about ``keep`` of the others."""
+    return tokens.where((F.col("raw") != F.col("norm")) | (share(seed, "sent_id", "pos") < keep))
+
+
+def oversample_changed(tokens: DataFrame, times: int) -> DataFrame:
+    copies = F.when(F.col("raw") != F.col("norm"), F.lit(times)).otherwise(1)
+    return tokens.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+
+
+def limit_negatives(tokens: DataFrame, ratio: int = 6, seed: int = 42) -> DataFrame:
+    """Changed tokens and at most ``ratio`` times as many others of each language, by the order of a hash.
+
+    The cut is a hash value found from counts of 1,000 bins, so no group is sorted.
+    """
+    t = tokens.withColumns({"changed": F.col("raw") != F.col("norm"), "bin": F.floor(share(seed, "sent_id", "pos") * 1000).cast("int")})
+    n = t.groupBy("lang").agg(F.sum(F.col("changed").cast("long")).alias("pos"))
+    bins = t.where("not changed").groupBy("lang", "bin").agg(F.count("*").alias("n"))
+    up = Window.partitionBy("lang").orderBy("bin")
+    kept = bins.withColumn("upto", F.sum("n").over(up)).join(n, "lang").where(F.col("upto") <= F.col("pos") * ratio).select("lang", "bin")
+    return t.where("changed").select(*tokens.columns).unionByName(t.where("not changed").join(F.broadcast(kept), ["lang", "bin"], "left_semi").select(*tokens.columns))
+
+
+def with_gold(candidates: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Training candidates (``lang, raw, cand, source``): gold is added, marked ``gold_forced``, where no source has it."""
+    gold = tokens.select("lang", "raw", F.col("norm").alias("cand")).distinct()
+    missing = gold.join(candidates.select("lang", "raw", "cand"), ["lang", "raw", "cand"], "left_anti")
+    return candidates.select("lang", "raw", "cand", "source").unionByName(missing.withColumn("source", F.lit("gold_forced")))

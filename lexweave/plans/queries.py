@@ -1,11 +1,554 @@
-"""Registered queries of the normalization engine and their SQL."""
+"""Registered queries of the normalization engine and their SQL.
+
+All run over the whole corpus of ``document_pairs``. Fold 0 is the hold-out of
+the prediction queries, the other folds are what dictionaries are learned from.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lexweave.functions import text as X
+from lexweave.functions import unicode as U
+from lexweave.operators import evaluate as E
+from lexweave.operators import features as M
+from lexweave.operators import models as H
+from lexweave.operators import predict as P
+from lexweave.operators import sampling as G
+from lexweave.operators import stats as S
+from lexweave.sources.sentences import ACCENTED, BASE, document_pairs, order_mismatch, rebuilt
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        name = f.__name__
+        _Q[name] = lambda spark, sf_dir: f(document_pairs(spark, sf_dir))
+        if sql:
+            _SQL[name] = _BASE + sql
+        return f
+
+    return add
+
+
+def _train(t: DataFrame) -> DataFrame:
+    return t.where("fold <> 0")
+
+
+def _valid(t: DataFrame) -> DataFrame:
+    return t.where("fold = 0")
+
+
+_BASE = f"""
+WITH ws AS (SELECT doc_id, lang, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
+toks AS (SELECT doc_id AS sent_id, lang, len(w) AS size, unnest(w) AS norm, unnest(generate_series(0, len(w) - 1))::INT AS pos FROM ws WHERE len(w) > 0),
+p0 AS (SELECT sent_id, lang, size, pos, norm, lower(translate(norm, '{ACCENTED}', '{BASE}')) AS raw, sent_id % 5 AS fold FROM toks),
+pairs AS (SELECT *, coalesce(lag(raw) OVER w, '<BOS>') AS prev, coalesce(lead(raw) OVER w, '<EOS>') AS next FROM p0 WINDOW w AS (PARTITION BY sent_id ORDER BY pos)),
+cnt AS (SELECT lang, raw, norm, count(*) AS n, min(sent_id * 1000000 + pos) AS first FROM pairs GROUP BY lang, raw, norm),
+tr AS (SELECT lang, raw, norm, count(*) AS n, min(sent_id * 1000000 + pos) AS first FROM pairs WHERE fold <> 0 GROUP BY lang, raw, norm)
+"""
+
+
+def _best(table: str, order: str, keys: str = "lang, raw") -> str:
+    return f"""SELECT {keys}, norm AS pred, n AS best_count, total, copy FROM (
+      SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn, sum(n) OVER (PARTITION BY {keys})::BIGINT AS total,
+             (sum(CASE WHEN norm = raw THEN n ELSE 0 END) OVER (PARTITION BY {keys}))::BIGINT AS copy FROM {table}) WHERE rn = 1"""
+
+
+_T = {
+    "T1": "n DESC, CASE WHEN norm = raw THEN 0 ELSE 1 END, first",
+    "T2": "n DESC, CASE WHEN norm = raw THEN 0 ELSE 1 END, norm",
+    "T3": "n DESC, CASE WHEN norm = raw THEN 0 ELSE 1 END, norm DESC",
+    "T4": "n DESC, first",
+    "T5": "n DESC, CASE WHEN norm = raw THEN 1 ELSE 0 END, first",
+    "T6": "n DESC, norm",
+}
+_MFR = ", mfr AS (" + _best("tr", _T["T2"]) + ")"
+_EV = _MFR + ", ev AS (SELECT p.*, coalesce(m.pred, p.raw) AS pred FROM pairs p LEFT JOIN mfr m USING (lang, raw) WHERE p.fold = 0)"
+
+
+@_query("SELECT * EXCLUDE (first) FROM cnt")
+def a1_pair_counts(t):
+    return S.pair_counts(t)
+
+
+def _mfr_query(tie):
+    def f(t):
+        return S.most_frequent(S.pair_counts(t, ordinals=True), tie=tie)
+
+    f.__name__ = {"T1": "a2_mfr_first", "T2": "a2_mfr_lex", "T3": "a2_mfr_largest", "T4": "a2_mfr_seen", "T5": "a2_mfr_nochange", "T6": "a2_mfr_smallest"}[tie]
+    return f
+
+
+for _tie in _T:
+    _query(_best("cnt", _T[_tie]))(_mfr_query(_tie))
+
+
+@_query(", m AS (" + _best("cnt", _T["T2"]) + ") SELECT *, round(best_count / total, 6) AS conf FROM m")
+def a3_mfr_conf(t):
+    return S.with_confidence(S.most_frequent(S.pair_counts(t)))
+
+
+@_query(", m AS (" + _best("cnt", _T["T2"]) + ") SELECT lang, raw, total, copy, total - copy AS changed, round((total - copy) / total, 6) AS change_prob, round(copy / total, 6) AS copy_prob, pred AS best_norm, best_count, round(best_count / total, 6) AS best_prob FROM m")
+def a4_raw_stats(t):
+    return S.raw_stats(S.pair_counts(t))
+
+
+@_query(", k AS (SELECT lang, raw, lower(norm) AS key, norm, n FROM cnt) SELECT lang, key, norm, sum(n)::BIGINT AS n FROM k GROUP BY lang, key, norm")
+def a5_key_counts(t):
+    return S.keyed_counts(t, F.lower("norm"))
+
+
+@_query("""SELECT lang, lower(norm) AS key, count(*) AS total,
+ sum((norm = lower(norm) AND norm <> upper(norm))::INT)::BIGINT AS lower, sum((norm = upper(norm) AND norm <> lower(norm))::INT)::BIGINT AS upper,
+ sum((NOT (norm = lower(norm) AND norm <> upper(norm)) AND NOT (norm = upper(norm) AND norm <> lower(norm)) AND substr(norm,1,1) = upper(substr(norm,1,1)) AND substr(norm,1,1) <> lower(substr(norm,1,1))
+   AND substr(norm,2) = lower(substr(norm,2)) AND substr(norm,2) <> upper(substr(norm,2)))::INT)::BIGINT AS title FROM pairs GROUP BY ALL""")
+def a6_case_stats(t):
+    return S.case_stats(t)
+
+
+@_query("SELECT lang, norm AS word, count(*) AS n FROM pairs GROUP BY ALL")
+def a7_vocab(t):
+    return S.vocabulary(t)
+
+
+_NG = """, pad AS (SELECT sent_id, lang, pos, norm FROM pairs UNION ALL SELECT sent_id, lang, -1, '<BOS>' FROM pairs WHERE pos = 0 UNION ALL SELECT sent_id, lang, size, '<EOS>' FROM pairs WHERE pos = 0),
+g AS (SELECT lang, norm AS w1, lead(norm, 1) OVER w AS w2, lead(norm, 2) OVER w AS w3 FROM pad WINDOW w AS (PARTITION BY sent_id ORDER BY pos)),
+g1 AS (SELECT lang, w1, count(*) AS n FROM g GROUP BY ALL), g2 AS (SELECT lang, w1, w2, count(*) AS n FROM g WHERE w2 IS NOT NULL GROUP BY ALL), g3 AS (SELECT lang, w1, w2, w3, count(*) AS n FROM g WHERE w3 IS NOT NULL GROUP BY ALL)
+"""
+
+
+@_query(_NG + "SELECT 1 AS ord, lang, w1, NULL::VARCHAR AS w2, NULL::VARCHAR AS w3, n FROM g1 UNION ALL SELECT 2, lang, w1, w2, NULL, n FROM g2 UNION ALL SELECT 3, lang, w1, w2, w3, n FROM g3")
+def a8_ngrams(t):
+    none = F.lit(None).cast("string")
+    parts = []
+    for k in (1, 2, 3):
+        g = S.ngram_counts(t, k)
+        parts.append(g.select(F.lit(k).alias("ord"), "lang", *(F.col(f"w{i}") if i <= k else none.alias(f"w{i}") for i in (1, 2, 3)), "n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _context(where: str) -> str:
+    one = lambda keys, cond: _best(f"(SELECT {keys}, norm, count(*) AS n FROM pairs WHERE {cond} {where} GROUP BY ALL)", _T["T2"], keys)
+    return f""", c1 AS ({one("lang, raw", "true")}), c2 AS ({one("lang, raw, next", "next <> '<EOS>'")}), c3 AS ({one("lang, prev, raw, next", "next <> '<EOS>' AND prev <> '<BOS>'")})
+"""
+
+
+@_query(_context("") + "SELECT 'unigram' AS layer, lang, NULL::VARCHAR AS prev, raw, NULL::VARCHAR AS next, pred FROM c1 UNION ALL SELECT 'bigram', lang, NULL, raw, next, pred FROM c2 UNION ALL SELECT 'trigram', lang, prev, raw, next, pred FROM c3")
+def a9_context_tables(t):
+    parts = []
+    for name, table in S.context_tables(t).items():
+        have = set(table.columns)
+        parts.append(table.select(F.lit(name).alias("layer"), "lang", *(F.col(x) if x in have else F.lit(None).cast("string").alias(x) for x in ("prev", "raw", "next")), "pred"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query("SELECT lang, 'left' AS side, lower(prev) AS neighbour, norm, count(*) AS n FROM pairs GROUP BY ALL UNION ALL SELECT lang, 'right', lower(next), norm, count(*) FROM pairs GROUP BY ALL")
+def a10_bigrams(t):
+    return S.neighbour_bigrams(t)
+
+
+_TOTAL = ", tot AS (SELECT lang, raw, sum(n)::BIGINT AS total FROM cnt GROUP BY ALL), entn AS (SELECT lang, raw, round(sum(-(n / total) * ln(n / total + 1e-12)), 6) + 0.0 AS entropy FROM cnt JOIN tot USING (lang, raw) GROUP BY ALL), ent2 AS (SELECT lang, raw, round(sum(-(n / total) * log2(n / total)), 6) + 0.0 AS entropy FROM cnt JOIN tot USING (lang, raw) GROUP BY ALL)\n"
+
+
+@_query(_TOTAL + "SELECT * FROM entn")
+def a11_entropy_ln(t):
+    return S.entropy(S.pair_counts(t))
+
+
+@_query(_TOTAL + "SELECT * FROM ent2")
+def a11_entropy_log2(t):
+    return S.entropy(S.pair_counts(t), base2=True)
+
+
+@_query(_TOTAL + ", m AS (" + _best("cnt", _T["T3"]) + ") SELECT lang, raw, pred, total, entropy FROM m JOIN ent2 USING (lang, raw) WHERE total >= 3 AND pred <> raw AND best_count / total >= 0.75 AND 1 - copy / total >= 0.5 AND entropy <= 1.25")
+def a12_high_conf(t):
+    return S.high_confidence(S.pair_counts(t))
+
+
+@_query("SELECT lang, raw, count(*) AS total, sum((raw <> norm)::INT)::BIGINT AS changed, count(DISTINCT norm) AS norms, array_to_string(list_sort(list(DISTINCT norm)), '|') AS all_norms FROM pairs GROUP BY ALL HAVING sum((raw <> norm)::INT) > 0")
+def a13_changed_vocab(t):
+    return t.groupBy("lang", "raw").agg(F.count("*").alias("total"), F.sum((F.col("raw") != F.col("norm")).cast("long")).alias("changed"), F.countDistinct("norm").alias("norms"), F.array_join(F.array_sort(F.collect_set("norm")), "|").alias("all_norms")).where("changed > 0")
+
+
+_KO = """, every AS (SELECT lang, raw, norm, n FROM cnt UNION ALL SELECT DISTINCT lang, raw, raw, 0 FROM cnt), e2 AS (SELECT lang, raw, norm AS cand, sum(n)::BIGINT AS n FROM every GROUP BY ALL),
+ko AS (SELECT lang, raw, cand, n, (sum(n) OVER w)::BIGINT AS raw_total, (sum(CASE WHEN cand <> raw THEN n ELSE 0 END) OVER w)::BIGINT AS changed_total,
+ row_number() OVER (PARTITION BY lang, raw ORDER BY n DESC, CASE WHEN cand <> raw THEN 1 ELSE 0 END, cand)::INT AS ord, round((n + 0.5::DOUBLE) / (sum(n) OVER w + 0.5::DOUBLE * count(*) OVER w), 6) AS prior FROM e2 WINDOW w AS (PARTITION BY lang, raw))
+"""
+
+
+@_query(_KO + "SELECT * FROM ko")
+def a14_ko_tables(t):
+    return S.candidate_tables(S.pair_counts(t))
+
+
+@_query(", m AS (" + _best("cnt", _T["T3"]) + ") SELECT lang, raw, pred, best_count, total, round(best_count / total, 6) AS conf, round(1 - copy / total, 6) AS change_rate FROM m WHERE pred <> raw")
+def a15_error_dict(t):
+    return S.error_dictionary(S.pair_counts(t))
+
+
+@_query("SELECT lang, norm AS word, count(*) AS n FROM pairs WHERE regexp_full_match(norm, '[A-ZÀ-ÖØ-Þ]{2,}') GROUP BY ALL HAVING count(*) >= 2")
+def a16_acronyms(t):
+    return S.acronyms(t)
+
+
+@_query(", m AS (" + _best("cnt", _T["T2"]) + ") SELECT lang, raw, pred, total, round(best_count / total, 6) AS best_ratio, round(copy / total, 6) AS raw_ratio FROM m")
+def a17_cand_info(t):
+    return S.candidate_info(S.pair_counts(t))
+
+
+def _loo(table: str) -> str:
+    # Without one occurrence of a pair the other pairs of the word keep their counts.
+    return f""", alt AS (SELECT a.lang, a.raw, a.norm, a.n, b.norm AS c, CASE WHEN b.norm = a.norm THEN b.n - 1 ELSE b.n END AS m FROM {table} a JOIN {table} b USING (lang, raw)),
+win AS (SELECT lang, raw, norm, n, c, row_number() OVER (PARTITION BY lang, raw, norm ORDER BY m DESC, CASE WHEN c = raw THEN 0 ELSE 1 END, c) AS rn FROM alt WHERE m > 0),
+loo AS (SELECT t.lang, t.raw, t.norm, t.n, coalesce(w.c, t.raw) AS winner FROM {table} t LEFT JOIN win w ON w.lang = t.lang AND w.raw = t.raw AND w.norm = t.norm AND w.rn = 1)
+"""
+
+
+_P3 = r"(regexp_matches(raw, '(?i)^(https?://|www\.)') OR regexp_matches(raw, '^@\w+') OR regexp_matches(raw, '^#\S+') OR regexp_matches(raw, '^[^\wÀ-ÖØ-öø-ÿ\p{L}\p{N}]+$'))"
+_LOW = lambda x: f"({x} = lower({x}) AND {x} <> upper({x}))"
+_UP = lambda x: f"({x} = upper({x}) AND {x} <> lower({x}))"
+_MARKS = lambda x: f"lower(translate(replace(translate({x}, '’`´', ''''''''), '''', ''), 'ÄÇÈÉÊÍÑÓÖÜäçèéêíñóöü', 'ACEEEINOOUaceeeinoou'))"
+_SMS_SQL = ", ".join(f"'{x}'" for x in X.SMS)
+
+
+def _class(cand: str) -> str:
+    """Repeats are found by a pattern with back-references, which this dialect lacks; runs are spelled out instead."""
+    case = f"lower(raw) = lower({cand}) AND raw <> {cand}"
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+    one, two = "raw", "raw"
+    for ch in letters:
+        one, two = f"regexp_replace({one}, '{ch}{{3,}}', '{ch}', 'g')", f"regexp_replace({two}, '{ch}{{3,}}', '{ch}{ch}', 'g')"
+    has = f"regexp_matches(raw, '{'|'.join(ch + '{3,}' for ch in letters)}')"
+    return f"""CASE WHEN raw = {cand} THEN 'copy' WHEN {_P3} THEN 'protected' WHEN contains({cand}, ' ') THEN 'multiword'
+ WHEN {case} AND {_UP('raw')} AND {_LOW(cand)} THEN 'allcaps_lower' WHEN {case} AND {_UP('raw')} AND {_UP(f'substr({cand},1,1)')} AND {_LOW(f'substr({cand},2)')} THEN 'allcaps_title'
+ WHEN {case} AND {_UP('substr(raw,1,1)')} AND {_LOW(cand)} THEN 'title_lower' WHEN {case} AND {_LOW('raw')} AND {_UP(f'substr({cand},1,1)')} THEN 'lower_title' WHEN {case} THEN 'case_only'
+ WHEN {_MARKS('raw')} = {_MARKS(cand)} THEN 'diacritic' WHEN {has} AND ({cand} = {one} OR {cand} = {two}) THEN 'repeat' WHEN lower(raw) IN ({_SMS_SQL}) THEN 'sms_abbrev'
+ WHEN length({cand}) >= length(raw) + 4 THEN 'expansion' WHEN length(raw) <= 3 AND length({cand}) > length(raw) THEN 'short_expansion' ELSE 'spelling_or_other' END"""
+
+
+@_query(_loo("cnt") + "SELECT lang, raw, sum(n)::BIGINT AS total, sum(CASE WHEN winner = norm THEN n ELSE 0 END)::BIGINT AS correct, round(sum(CASE WHEN winner = norm THEN n ELSE 0 END) / sum(n), 6) AS precision FROM loo GROUP BY ALL")
+def a18_loo_raw(t):
+    return S.loo_raw(S.pair_counts(t))
+
+
+@_query(_loo("cnt") + "SELECT lang, raw, winner AS cand, sum(n)::BIGINT AS total, sum(CASE WHEN winner = norm THEN n ELSE 0 END)::BIGINT AS correct, round(sum(CASE WHEN winner = norm THEN n ELSE 0 END) / sum(n), 6) AS precision FROM loo WHERE winner <> raw GROUP BY ALL")
+def a18_loo_pair(t):
+    return S.loo_pair(S.pair_counts(t))
+
+
+@_query(_loo("cnt") + f", lc AS (SELECT *, {_class('winner')} AS category FROM loo WHERE winner <> raw) SELECT lang, category, sum(n)::BIGINT AS total, sum(CASE WHEN winner = norm THEN n ELSE 0 END)::BIGINT AS correct, round(sum(CASE WHEN winner = norm THEN n ELSE 0 END) / sum(n), 6) AS precision FROM lc GROUP BY ALL")
+def a18_loo_category(t):
+    return S.loo_category(S.pair_counts(t))
+
+
+def a19_merged_dictionary(t):
+    """Oracle by unit test: keys collapse repeats, which needs back-references."""
+    return P.merged_dictionary(t)
+
+
+_query()(a19_merged_dictionary)
+
+
+@_query("SELECT lang, count(*) AS tokens, sum((raw <> norm)::INT)::BIGINT AS changed, count(DISTINCT raw) AS raw_types, count(DISTINCT norm) AS norm_types FROM pairs GROUP BY ALL")
+def a20_summary(t):
+    return S.summary(t)
+
+
+@_query(_TOTAL + "SELECT lang, raw, norm AS cand, n, total, round(n / total, 6) AS conf, entropy FROM cnt JOIN tot USING (lang, raw) JOIN entn USING (lang, raw)")
+def a21_lookup_stats(t):
+    return S.pair_shares(S.pair_counts(t))
+
+
+@_query(_EV + "SELECT sent_id, lang, pos, raw, norm, pred FROM ev")
+def j1_mfr_predict(t):
+    return P.lookup(_valid(t), S.most_frequent(S.pair_counts(_train(t)))).select("sent_id", "lang", "pos", "raw", "norm", "pred")
+
+
+_J4 = _context("AND fold <> 0") + """, bo AS (SELECT p.*, coalesce(c3.pred, c2.pred, c1.pred, p.raw) AS pred, CASE WHEN c3.pred IS NOT NULL THEN 'trigram' WHEN c2.pred IS NOT NULL THEN 'bigram' WHEN c1.pred IS NOT NULL THEN 'unigram' ELSE 'copy' END AS decision
+ FROM pairs p LEFT JOIN c3 USING (lang, prev, raw, next) LEFT JOIN c2 ON c2.lang = p.lang AND c2.raw = p.raw AND c2.next = p.next LEFT JOIN c1 ON c1.lang = p.lang AND c1.raw = p.raw WHERE p.fold = 0)
+"""
+
+
+@_query(_J4 + "SELECT sent_id, lang, pos, raw, norm, pred, decision FROM bo")
+def j4_backoff_predict(t):
+    return P.backoff(_valid(t), S.context_tables(_train(t))).select("sent_id", "lang", "pos", "raw", "norm", "pred", "decision")
+
+
+@_query(r""", words AS (SELECT DISTINCT lang, raw FROM pairs WHERE fold = 0), known AS (SELECT DISTINCT lang, norm AS word FROM pairs WHERE fold <> 0),
+cut AS (SELECT lang, raw, unnest(generate_series(1, length(raw) - 1)) AS k FROM words WHERE length(raw) > 3 AND NOT (trim(raw) = '' OR regexp_matches(raw, '^[@#]') OR regexp_matches(raw, '^https?://') OR regexp_matches(raw, '^\d+([.,:/-]\d+)*$') OR regexp_matches(raw, '^[^\p{L}\p{N}]+$'))),
+both2 AS (SELECT lang, raw, k, substr(raw, 1, k) AS a, substr(raw, k + 1) AS b FROM cut), ok AS (SELECT b2.* FROM both2 b2 SEMI JOIN known kn ON b2.lang = kn.lang AND b2.a = kn.word),
+ok2 AS (SELECT ok.* FROM ok SEMI JOIN known kn ON ok.lang = kn.lang AND ok.b = kn.word), rk AS (SELECT *, row_number() OVER (PARTITION BY lang, raw ORDER BY k)::INT AS ord FROM ok2)
+SELECT lang, raw, a || ' ' || b AS cand, ord FROM rk WHERE ord <= 8""")
+def j7_split_candidates(t):
+    return P.split_candidates(_valid(t).select("lang", "raw").distinct(), S.vocabulary(_train(t)))
+
+
+@_query("SELECT lang, raw, norm AS cand, n FROM cnt ANTI JOIN (SELECT DISTINCT lang, raw, norm AS cand FROM pairs WHERE fold = 0) b ON cnt.lang = b.lang AND cnt.raw = b.raw AND cnt.norm = b.cand")
+def j11_blocklist(t):
+    blocked = _valid(t).select("lang", "raw", F.col("norm").alias("cand")).distinct()
+    return P.without_blocked(S.pair_counts(t).withColumnRenamed("norm", "cand"), blocked)
+
+
+@_query(_NG + """, tri AS (SELECT DISTINCT lang, w1 AS "left", w2 AS cand, w3 AS "right" FROM g3), v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM g1 GROUP BY lang)
+SELECT t.lang, t."left", t.cand, t."right", round(ln((coalesce(c.n,0)+1)/(v.total+v.v)),6) AS uni, round(ln((coalesce(lc.n,0)+1)/(coalesce(l.n,0)+v.v)),6) AS bi_left, round(ln((coalesce(cr.n,0)+1)/(coalesce(c.n,0)+v.v)),6) AS bi_right, round(ln((coalesce(g3.n,0)+1)/(coalesce(lc.n,0)+v.v)),6) AS tri
+FROM tri t JOIN v USING (lang) LEFT JOIN g1 c ON c.lang=t.lang AND c.w1=t.cand LEFT JOIN g1 l ON l.lang=t.lang AND l.w1=t."left" LEFT JOIN g2 lc ON lc.lang=t.lang AND lc.w1=t."left" AND lc.w2=t.cand LEFT JOIN g2 cr ON cr.lang=t.lang AND cr.w1=t.cand AND cr.w2=t."right" LEFT JOIN g3 ON g3.lang=t.lang AND g3.w1=t."left" AND g3.w2=t.cand AND g3.w3=t."right" """)
+def j12_lm_scores(t):
+    g3 = S.ngram_counts(t, 3)
+    triples = g3.select("lang", F.col("w1").alias("left"), F.col("w2").alias("cand"), F.col("w3").alias("right"))
+    return P.language_scores(triples, S.ngram_counts(t, 1), S.ngram_counts(t, 2), g3).select("lang", "left", "cand", "right", "uni", "bi_left", "bi_right", "tri")
+
+
+@_query("SELECT sent_id, pos, lang, raw, prev, next, coalesce(lag(raw, 2) OVER w, '<BOS>') AS prev2, coalesce(lead(raw, 2) OVER w, '<EOS>') AS next2 FROM pairs WINDOW w AS (PARTITION BY sent_id ORDER BY pos)")
+def w1_neighbours(t):
+    return t.select("sent_id", "pos", "lang", "raw", "prev", "next", "prev2", "next2")
+
+
+@_query("SELECT sent_id, pos, lang, round(pos / greatest(size - 1, 1), 6) AS position, CASE WHEN pos = 0 THEN 'first' WHEN pos = size - 1 THEN 'last' ELSE 'middle' END AS bucket FROM pairs")
+def w5_position(t):
+    return M.position(t).select("sent_id", "pos", "lang", "position", "bucket")
+
+
+@_query(_context("AND fold <> 0") + ", mp AS (SELECT p.sent_id, p.pos, p.lang, p.fold, p.size, coalesce(m.pred, p.raw) AS pred FROM pairs p LEFT JOIN c1 m ON m.lang = p.lang AND m.raw = p.raw WHERE p.fold = 0) SELECT sent_id, pos, lang, pred, coalesce(lag(pred) OVER w, '<BOS>') AS prev_pred, coalesce(lead(pred) OVER w, '<EOS>') AS next_pred FROM mp WINDOW w AS (PARTITION BY sent_id ORDER BY pos)")
+def w8_normalized_context(t):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("sent_id").orderBy("pos")
+    p = P.lookup(_valid(t), S.most_frequent(S.pair_counts(_train(t))))
+    return p.select("sent_id", "pos", "lang", "pred", F.lag("pred", 1, "<BOS>").over(w).alias("prev_pred"), F.lead("pred", 1, "<EOS>").over(w).alias("next_pred"))
+
+
+_SRC = """, w AS (SELECT DISTINCT lang, raw FROM cnt), lk AS (SELECT *, row_number() OVER (PARTITION BY lang, raw ORDER BY n DESC, norm) AS r FROM cnt),
+s AS (SELECT lang, raw, raw AS cand, 0 AS o, 'original' AS source, 1 AS r FROM w UNION ALL SELECT lang, raw, norm, 1, 'lookup', r FROM lk WHERE r <= 8 UNION ALL SELECT lang, raw, norm, 3, 'case', r FROM lk WHERE r <= 8)
+"""
+
+
+@_query(_SRC + "SELECT lang, raw, cand, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, arg_min(source, o * 1000 + r) AS first_source, min(o * 1000 + r)::INT AS ord FROM s GROUP BY ALL")
+def x2_provenance(t):
+    by = dict(P.observed_sources(t))
+    kept = [("original", by["original"]), ("lookup", by["lookup"]), ("key", by["lookup"].where(F.lit(False))), ("case", by["case"])]  # keys collapse repeats, see c5_candidates
+    return P.ranked(kept).select("lang", "raw", "cand", F.array_join("sources", ",").alias("sources"), "first_source", F.col("ord").cast("int").alias("ord"))
+
+
+def c5_candidates(t):
+    """With the key source, whose keys collapse repeats; rows only."""
+    return P.ranked(P.observed_sources(t)).select("lang", "raw", "cand", F.array_join("sources", ",").alias("sources"), "first_source", "ord")
+
+
+_query()(c5_candidates)
+
+
+@_query(", r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, raw, norm)::INT AS rank FROM cnt WHERE raw <> norm) SELECT lang, raw, norm, n, rank FROM r WHERE rank <= 25")
+def l1_topk(t):
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "raw", "norm"))
+    return S.pair_counts(t).where("raw <> norm").withColumn("rank", rank).where("rank <= 25")
+
+
+def _gate(g) -> str:
+    if g is None:
+        return "'category_not_allowed'"
+    return f"""CASE WHEN best_count < {g.count} THEN 'count_below_threshold' WHEN best_count / total < {g.conf} THEN 'confidence_below_threshold'
+ WHEN coalesce(rt, 0) >= {g.raw_total} AND coalesce(rp, 0) < {g.raw} THEN 'raw_loo_below_threshold' WHEN coalesce(pt, 0) >= {g.pair_total} AND coalesce(pp, 0) < {g.pair} THEN 'pair_loo_below_threshold'
+ WHEN coalesce(ct, 0) >= {g.cat_total} AND coalesce(cp, 0) < {g.cat} THEN 'category_loo_below_threshold' ELSE 'passed' END"""
+
+
+def _loo_sql(policy: str) -> str:
+    rule = P.POLICIES[policy]
+    hit = "sum(CASE WHEN winner = norm THEN n ELSE 0 END)"
+    decide = "CASE WHEN category = 'copy' THEN 'copy' "
+    if rule.plain:
+        decide += "ELSE 'plain_mfr' END"
+    else:
+        decide += "WHEN category = 'protected' THEN 'protected' " + "".join(f"WHEN category = '{k}' THEN {_gate(g)} " for k, g in rule.gates.items()) + f"ELSE {_gate(rule.default)} END"
+    return (
+        _loo("tr")
+        + f""", m AS ({_best("tr", _T["T2"])}), mc AS (SELECT *, {_class('pred')} AS category FROM m),
+r1 AS (SELECT lang, raw, sum(n) AS rt, round({hit} / sum(n), 6) AS rp FROM loo GROUP BY ALL), r2 AS (SELECT lang, raw, winner AS pred, sum(n) AS pt, round({hit} / sum(n), 6) AS pp FROM loo WHERE winner <> raw GROUP BY ALL),
+lc AS (SELECT *, {_class('winner')} AS category FROM loo WHERE winner <> raw), r3 AS (SELECT lang, category, sum(n) AS ct, round({hit} / sum(n), 6) AS cp FROM lc GROUP BY ALL),
+j AS (SELECT mc.*, rt, rp, pt, pp, ct, cp FROM mc LEFT JOIN r1 USING (lang, raw) LEFT JOIN r2 USING (lang, raw, pred) LEFT JOIN r3 USING (lang, category)), dd AS (SELECT lang, raw, pred, category, {decide} AS decision FROM j)
+SELECT lang, raw, CASE WHEN decision IN ('copy', 'plain_mfr', 'passed') THEN pred ELSE raw END AS pred, category, decision FROM dd"""
+    )
+
+
+def _policy_query(name):
+    def f(t):
+        return P.loo_decisions(S.pair_counts(_train(t)), name)
+
+    f.__name__ = f"d9_policy_{name}"
+    return f
+
+
+for _name in P.POLICIES:
+    _query(_loo_sql(_name))(_policy_query(_name))
+
+
+@_query(_KO + ", s AS (SELECT lang, raw, cand, ord, round(0.25 * ln(greatest(prior, 1e-12)) + CASE WHEN cand = raw THEN 0.02 ELSE 0 END + CASE WHEN cand = raw AND changed_total / greatest(raw_total, 1) < 0.05 THEN 0.12 ELSE 0 END, 6) AS score FROM ko), r AS (SELECT *, row_number() OVER (PARTITION BY lang, raw ORDER BY score DESC, ord) AS rn FROM s) SELECT lang, raw, cand AS pred, score FROM r WHERE rn = 1")
+def d14_rerank_prior(t):
+    return P.rerank_decisions(S.candidate_tables(S.pair_counts(t)))
+
+
+@_query(", m AS (" + _best("tr", _T["T2"]) + r"), e AS (SELECT p.sent_id, p.pos, p.lang, p.raw, p.norm, m.pred AS m, round(m.best_count / m.total, 6) AS conf FROM pairs p LEFT JOIN m USING (lang, raw) WHERE p.fold = 0), d AS (SELECT *, CASE WHEN trim(raw) = '' OR regexp_matches(raw, '^[@#]') OR regexp_matches(raw, '^https?://') OR regexp_matches(raw, '^\d+([.,:/-]\d+)*$') OR regexp_matches(raw, '^[^\p{L}\p{N}]+$') THEN 'protected' WHEN m <> raw AND conf >= 0.65 THEN 'mfr' ELSE 'detector_copy' END AS decision FROM e) SELECT sent_id, pos, lang, raw, norm, CASE WHEN decision = 'mfr' THEN m ELSE raw END AS pred, decision FROM d")
+def d5_mfr_first(t):
+    return P.mfr_first(_valid(t), S.most_frequent(S.pair_counts(_train(t)))).select("sent_id", "pos", "lang", "raw", "norm", "pred", "decision")
+
+
+def d25_dict_gates(t):
+    """Rows only: the edit distance counts code points here and bytes in the other dialect."""
+    return P.dictionary_gates(S.pair_counts(t))
+
+
+_query()(d25_dict_gates)
+
+_ERR = """lang, count(*) AS total, sum((raw <> norm)::INT)::BIGINT AS changed, sum((pred = norm)::INT)::BIGINT AS correct, round(sum((raw = norm)::INT) / count(*), 6) AS lai, round(sum((pred = norm)::INT) / count(*), 6) AS accuracy,
+ round(coalesce((sum((pred = norm)::INT) - sum((raw = norm)::INT)) / nullif(sum((raw <> norm)::INT), 0), 0), 6) AS err, round(coalesce(sum((raw <> norm AND pred = norm)::INT) / nullif(sum((raw <> norm)::INT), 0), 0), 6) AS changed_acc,
+ round(coalesce((sum((raw = norm)::INT) - sum((raw = norm AND pred <> norm)::INT)) / nullif(sum((raw = norm)::INT), 0), 0), 6) AS unchanged_acc, round(coalesce(sum((raw = norm AND pred <> norm)::INT) / nullif(sum((raw = norm)::INT), 0), 0), 6) AS over_change"""
+
+
+def _evaluated(t):
+    return P.lookup(_valid(t), S.most_frequent(S.pair_counts(_train(t))))
+
+
+@_query(_EV + f"SELECT {_ERR} FROM ev GROUP BY lang")
+def e1_err(t):
+    return E.metrics(_evaluated(t))
+
+
+@_query(_J4 + f"SELECT {_ERR} FROM bo GROUP BY lang")
+def e2_backoff_metrics(t):
+    return E.metrics(P.backoff(_valid(t), S.context_tables(_train(t))))
+
+
+@_query(_EV + f", lo AS (SELECT lang, lower(raw) AS raw, lower(norm) AS norm, lower(pred) AS pred FROM ev) SELECT {_ERR} FROM lo GROUP BY lang")
+def e3_ignore_case(t):
+    return E.metrics(_evaluated(t), ignore_case=True)
+
+
+@_query(_J4 + "SELECT lang, decision, count(*) AS n, sum((pred = norm)::INT)::BIGINT AS correct FROM bo GROUP BY ALL")
+def e4_decision_counts(t):
+    return E.decision_counts(P.backoff(_valid(t), S.context_tables(_train(t))))
+
+
+@_query(""", k AS (SELECT lang, raw, count(*) AS k FROM tr GROUP BY ALL), e AS (SELECT p.lang, p.raw, p.norm, k.k, (tr.n IS NOT NULL) OR (k.k IS NULL AND p.raw = p.norm) AS hit FROM pairs p LEFT JOIN k USING (lang, raw) LEFT JOIN tr ON tr.lang = p.lang AND tr.raw = p.raw AND tr.norm = p.norm WHERE p.fold = 0)
+SELECT lang, count(*) AS total, sum(hit::INT)::BIGINT AS hits, round(sum(hit::INT) / count(*), 6) AS bound, sum((raw <> norm)::INT)::BIGINT AS changed, round(coalesce(sum((hit AND raw <> norm)::INT) / nullif(sum((raw <> norm)::INT), 0), 0), 6) AS changed_bound, round(sum(coalesce(k, 1)) / count(*), 6) AS per_token FROM e GROUP BY lang""")
+def e5_upper_bound(t):
+    return E.upper_bound(_valid(t), S.pair_counts(_train(t)).withColumnRenamed("norm", "cand"))
+
+
+@_query(_EV + "SELECT lang, sum((raw <> norm AND lower(raw) = lower(norm))::INT)::BIGINT AS case_gold, sum((raw <> norm AND lower(raw) = lower(norm) AND pred = norm)::INT)::BIGINT AS case_correct, sum((raw = norm AND pred <> raw AND lower(pred) = lower(raw))::INT)::BIGINT AS case_over FROM ev GROUP BY lang")
+def e6_case_only(t):
+    return E.case_only_metrics(_evaluated(t))
+
+
+@_query(_EV + ", c AS (SELECT lang, sum((raw <> norm AND raw <> pred)::INT)::BIGINT AS tp, sum((raw = norm AND raw <> pred)::INT)::BIGINT AS fp, sum((raw <> norm AND raw = pred)::INT)::BIGINT AS fn, sum((raw = norm AND raw = pred)::INT)::BIGINT AS tn FROM ev GROUP BY lang) SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c")
+def e7_detection(t):
+    return E.detection_metrics(_evaluated(t))
+
+
+@_query(_EV + ", r AS (SELECT lang, raw, pred, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, raw, pred)::INT AS rank FROM ev WHERE raw <> pred GROUP BY lang, raw, pred) SELECT * FROM r WHERE rank <= 30")
+def e9_top_changes(t):
+    return E.top_changes(_evaluated(t))
+
+
+@_query(_loo("cnt") + ", x AS (SELECT lang, raw, sum(n)::BIGINT AS total, round(sum(CASE WHEN winner = norm THEN n ELSE 0 END) / sum(n), 6) AS precision FROM loo GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY precision, total DESC, raw)::INT AS rank FROM x WHERE total >= 5) SELECT * FROM r WHERE rank <= 30")
+def e10_reliability_report(t):
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("precision", F.col("total").desc(), "raw"))
+    return S.loo_raw(S.pair_counts(t)).where("total >= 5").select("lang", "raw", "total", "precision", rank.alias("rank")).where("rank <= 30")
+
+
+@_query(", m AS (" + _best("cnt", _T["T2"]) + "), v AS (SELECT lang, round(best_count / total, 6) AS value, row_number() OVER (PARTITION BY lang ORDER BY round(best_count / total, 6)) - 1 AS i, count(*) OVER (PARTITION BY lang) AS c FROM m), q AS (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]::DOUBLE[]) AS p) SELECT lang, p, value FROM v JOIN q ON v.i = floor((c - 1) * p)")
+def e12_quantiles(t):
+    return E.quantiles(S.with_confidence(S.most_frequent(S.pair_counts(t))), "conf")
+
+
+@_query(", f AS (SELECT DISTINCT lang, raw, fold FROM pairs), o AS (SELECT f.lang, f.fold, f.raw, c.norm, c.n - (SELECT count(*) FROM pairs p WHERE p.lang = f.lang AND p.raw = f.raw AND p.norm = c.norm AND p.fold = f.fold) AS n FROM f JOIN cnt c ON c.lang = f.lang AND c.raw = f.raw) SELECT * FROM o WHERE n > 0")
+def g4_oof_stats(t):
+    return S.out_of_fold(t)
+
+
+@_query("SELECT sent_id, lang, len(list(raw)) AS n_raw, string_agg(raw, ' ' ORDER BY pos) AS raw_text, string_agg(norm, ' ' ORDER BY pos) AS pred_text FROM pairs GROUP BY sent_id, lang")
+def p11_rebuild(t):
+    r = rebuilt(t.withColumn("pred", F.col("norm")))
+    return r.select("sent_id", "lang", F.size("raw").cast("long").alias("n_raw"), F.concat_ws(" ", "raw").alias("raw_text"), F.concat_ws(" ", "pred").alias("pred_text"))
+
+
+@_query("SELECT sent_id FROM pairs WHERE false")
+def p10_order_check(t):
+    s = rebuilt(t.withColumn("pred", F.col("norm")))
+    return order_mismatch(s, s).select("sent_id")
+
+
+@_query(f"SELECT DISTINCT lang, raw, norm, {_class('norm')} AS category FROM pairs")
+def f26_mapping_class(t):
+    return t.select("lang", "raw", "norm").distinct().withColumn("category", X.mapping_class("raw", "norm"))
+
+
+@_query(f"SELECT DISTINCT norm, CASE WHEN {_LOW('norm')} THEN 'lower' WHEN {_UP('norm')} THEN 'upper' WHEN {_UP('substr(norm,1,1)')} AND {_LOW('substr(norm,2)')} THEN 'title' WHEN lower(norm) = upper(norm) THEN 'none' ELSE 'mixed' END AS shape FROM pairs")
+def f16_case_shape(t):
+    return t.select("norm").distinct().withColumn("shape", X.case_shape("norm"))
+
+
+def f6_collapse(t):
+    return t.select("norm").distinct().select("norm", X.collapse("norm", 2).alias("two"), X.collapse("norm", 1).alias("one"), X.make_key("norm").alias("key"), X.spanish_key("norm").alias("es_key"))
+
+
+def f4_unicode(t):
+    return t.select("norm").distinct().select("norm", U.nfkc("norm").alias("nfkc"), U.without_marks("norm").alias("bare"), U.japanese_key("norm").alias("ja_key"), U.thai_normal("norm").alias("th"))
+
+
+def f13_jamo(t):
+    return t.select("norm").distinct().select("norm", X.jamo("norm").alias("jamo"), X.korean_distance("norm", F.reverse("norm")).alias("dist"))
+
+
+def f12_edit_cost(t):
+    return t.where("raw <> norm").select("lang", "raw", "norm").distinct().withColumns({"cost": X.spanish_edit_cost("raw", "norm"), "roman": X.roman_distance("raw", "norm"), "near": X.edit_distance("raw", "norm", 4)})
+
+
+for _f in (f6_collapse, f4_unicode, f13_jamo, f12_edit_cost):
+    _query()(_f)
+
+
+def j6_fuzzy(t):
+    """Rows only: a brute-force test checks it; edit distances count bytes in the other dialect."""
+    return P.fuzzy_candidates(_valid(t), S.vocabulary(_train(t)))
+
+
+def m_pair_features(t):
+    return M.pair_features(S.pair_counts(t).withColumnRenamed("norm", "cand"))
+
+
+def m_detector_features(t):
+    return M.detector_rows(_valid(t), S.raw_stats(S.pair_counts(_train(t)))).select("sent_id", "pos", "lang", "raw", *M.NUMERIC, *M.STRINGS, "label")
+
+
+def h3_forest(t):
+    """A change gate on out-of-fold statistics, with its best threshold of each language."""
+    rows = M.detector_rows(_valid(t), S.raw_stats(S.pair_counts(_train(t))))
+    train, valid = G.holdout(rows)
+    model = H.fit_gate(G.limit_negatives(train), trees=10, depth=8)
+    scored = H.change_probability(model, valid)
+    return E.threshold_sweep(scored, "change_p", [round(0.2 + 0.02 * i, 2) for i in range(36)])
+
+
+def h7_generate(t):
+    """Prompts of the tokens that a generator would get, through the identity plug-in."""
+    s = _valid(t).where("raw <> norm").select("sent_id", "pos", "lang", F.concat(F.lit("normalize: "), F.col("prev"), F.lit(" <extra_id_0> "), F.col("raw"), F.lit(" <extra_id_1> "), F.col("next")).alias("prompt"))
+    return H.generate(s)
+
+
+for _f in (j6_fuzzy, m_pair_features, m_detector_features, h3_forest, h7_generate):
+    _query()(_f)
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
