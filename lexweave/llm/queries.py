@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, near_duplicates, packing, quality_rules, substring_dedup, token_files, toxicity
+from . import decontamination, html_text, language_id, near_duplicates, packing, quality_model, quality_rules, substring_dedup, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
+        "op6_quality_model": quality_model.op6_quality_model,
         "op7_language_id": language_id.op7_language_id,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_html_text": html_text.op3_html_text,
