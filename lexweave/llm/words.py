@@ -48,9 +48,13 @@ def column(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         col = col.combine_chunks()
         if isinstance(col, pa.ChunkedArray):
             col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.string())
-    col = col.cast(pa.large_string()).fill_null("")
+    if not (pa.types.is_string(col.type) or pa.types.is_large_string(col.type)):
+        col = col.cast(pa.large_string())
+    if col.null_count:
+        col = col.fill_null("")
     _, offs, data = col.buffers()
-    offs = np.frombuffer(offs, np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    offs = np.frombuffer(offs, kind)[col.offset : col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offs[0] : offs[-1]], offs - offs[0]
 

@@ -191,7 +191,7 @@ def test_near_duplicates(spark, docs, hard, empty):
             b[rng.randrange(len(b))] = f"x{rng.randrange(10**6)}"
         rows.append((100 + k, " ".join(b)))
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.classes(table, ring=2).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.classes(table).collect()}
     weights = near_duplicates.Weights(*near_duplicates.frequent_shingles(table, 5, 0.01), 0.01)
     grams = {d: Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for d, t in rows}
     df = Counter(g for c in grams.values() for g in c)
