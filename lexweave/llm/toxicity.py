@@ -86,6 +86,12 @@ def _normal(weight: float, folded: str, power: float) -> float:
     return weight / max(1, folded.count(" ") + folded.count("\n") + 1) ** power
 
 
+def _terms(folded: str) -> set[str]:
+    """Words, and their beginnings of 3 to 8 letters with a star."""
+    own = set(_WORD.findall(folded))
+    return own | {f"{w[:k]}*" for w in own for k in range(3, min(9, len(w) + 1))}
+
+
 def learn(rows: list[tuple[str | None, int]], prior: float, least: int = 3, precision: float = 0.9, max_terms: int = 2000) -> Lexicon:
     """A lexicon from (text, label) rows. ``prior``: share of label 1 in the population.
 
@@ -98,26 +104,24 @@ def learn(rows: list[tuple[str | None, int]], prior: float, least: int = 3, prec
     seen: dict[str, int] = {}
     for i, (t, y) in enumerate(rows):  # copies, told by their longest line, count once
         seen.setdefault(f"{y} {max((t or '').split(chr(10)), key=len)[:50]}", i)
-    rows = [rows[i] for i in seen.values()]
-    folded = [fold(t) for t, _ in rows]
-    labels = np.array([y for _, y in rows], int)
-    terms = []
-    for t in folded:
-        own = set()
-        for w in set(_WORD.findall(t)):
-            own.add(w)
-            own.update(w[:k] + "*" for k in range(3, min(9, len(w) + 1)))
-        terms.append(own)
+    folded = [fold(rows[i][0]) for i in seen.values()]
+    labels = np.array([rows[i][1] for i in seen.values()], int)
     pos, neg = int(labels.sum()), int((1 - labels).sum())
     if not pos or not neg:
         return Lexicon({}, slope=0.0, intercept=math.log((pos + 0.5) / (neg + 0.5)))
-    yes = Counter(x for own, y in zip(terms, labels) if y for x in own)
-    no = Counter(x for own, y in zip(terms, labels) if not y for x in own if x in yes)
+    # Terms of a text are made when they are counted; only those of enough toxic texts are kept.
+    yes = Counter()
+    for i in np.flatnonzero(labels):
+        yes.update(_terms(folded[i]))
+    yes = Counter({x: n for x, n in yes.items() if n >= least})
+    no = Counter()
+    for i in np.flatnonzero(1 - labels):
+        no.update(x for x in _terms(folded[i]) if x in yes)
     rate = lambda x: ((yes[x] + 0.5) / (pos + 1), (no[x] + 0.5) / (neg + 1))
     strong = {x for x, n in yes.items() if n >= least and (r := rate(x))[0] / (r[0] + r[1]) >= precision and no[x] <= max(0.1 * n, 1)}
     holds: dict[str, list[int]] = {}
     for i in np.flatnonzero(labels):
-        for x in terms[i] & strong:
+        for x in _terms(folded[i]) & strong:
             holds.setdefault(x, []).append(i)
     # Gains only fall, so a term whose renewed gain still leads the heap is the best; whole words and longer beginnings win ties.
     heap = [(-len(own), no[x] > 0, x.endswith("*"), -len(x), x) for x, own in holds.items()]
@@ -148,7 +152,7 @@ def learn(rows: list[tuple[str | None, int]], prior: float, least: int = 3, prec
     lex = Lexicon(picked, _exceptions(folded, labels, lex), length_power=lex.length_power)
     auto = lex.automaton()
     z = np.array([_normal(hits(t, auto)[0], t, lex.length_power) for t in folded])
-    w = np.where(labels == 1, prior / pos, (1 - prior) / neg) * len(rows)
+    w = np.where(labels == 1, prior / pos, (1 - prior) / neg) * len(folded)
     lex.slope, lex.intercept = _platt(z, labels, w)
     return lex
 
@@ -188,7 +192,7 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_clean: int = 6000, max_toxic: int = 2000) -> tuple[list[tuple[str, int]], float]:
+def training_rows(docs: DataFrame, labels: DataFrame, max_clean: int = 5000, max_toxic: int = 2000) -> tuple[list[tuple[str, int]], float]:
     """(text, label) rows to learn from, and the share of label 1 among all of them.
 
     A bounded sample: in the order of a hash of ``doc_id``, ``max_clean`` and
