@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .runtime import bounded_batches
+
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes"}
 _DROPPED = _RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "canvas", "object", "embed", "audio", "video", "map", "fieldset", "datalist", "math", "label", "input"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -208,6 +210,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    bounded_batches(pages.sparkSession)
     kept = [F.col(c).cast(t).alias(c) for c, t in (("page_id", "long"), ("url", "string"), ("html", "string"))]
     return pages.select(*kept).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .runtime import bounded_batches
 from .words import column, doc_slices, hash_words, per_doc
 
 _U = np.uint64
@@ -154,7 +155,7 @@ class Model:
         texts = texts.cast(pa.large_string()).fill_null("")
         data, offs = column(pc.utf8_lower(texts))
         best, share, some = [], [], []
-        for i, j in doc_slices(offs, 8 << 20):
+        for i, j in doc_slices(offs, 4 << 20):
             o = offs[i : j + 1] - offs[i]
             clean, starts, sizes, back, first = distinct_words(data[offs[i] : offs[j]], o)
             lp = self.word_log_probs(clean, starts, sizes)
@@ -263,6 +264,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     letter, and everywhere if the model knows no language. Ties go to the first
     language in order.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score")
     at = docs.columns.index("text")
     spec = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])

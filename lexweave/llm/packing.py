@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokenization
-from .runtime import stored
+from .runtime import bounded_batches, stored
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 _NO_SOURCE = "\0"
@@ -107,6 +107,7 @@ def pack(
     documents. ``sequence_id`` is the part's number times 2^32 plus the
     sequence's in its part. An empty table gives no pieces.
     """
+    bounded_batches(docs.sparkSession)
     rows = stored(encoded(docs, tokenizer or tokenization.default_path(), end_id), "ids")
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     n = max(1, -(-total // part_tokens))

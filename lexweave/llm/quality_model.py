@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality_rules import STATS, text_stats
+from .runtime import bounded_batches
 from .words import column, doc_slices, hash_words, mix
 
 _U = np.uint64
@@ -141,6 +142,7 @@ def rate(docs: DataFrame, model: OrdinalModel, least_grade: int = 1, selected: f
     ``tail``: probability of at least ``least_grade``; ``kept`` where it is at
     least ``selected``. Null texts count as empty.
     """
+    bounded_batches(docs.sparkSession)
     b = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

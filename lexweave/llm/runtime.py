@@ -27,5 +27,13 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of whole texts hold at most ``rows`` of them from now on in this session: a batch is in memory several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(key))
+    if not 0 < held <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

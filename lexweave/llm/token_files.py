@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokenization
-from .runtime import partitions, shared_dir
+from .runtime import bounded_batches, partitions, shared_dir
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
@@ -41,6 +41,7 @@ def write_token_files(
     """
     tokenizer = tokenizer or tokenization.default_path()
     n = n_files or partitions(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches):

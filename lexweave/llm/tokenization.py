@@ -12,7 +12,7 @@ import os
 import re
 
 _ODD = re.compile(r" (?:\s|$)")
-_CACHE_SIZE = 500_000
+_CACHE_SIZE = 300_000
 _encoders: dict[str, "Encoder"] = {}
 
 

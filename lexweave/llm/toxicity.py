@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .runtime import bounded_batches
+
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = dict(zip("аАеЕоОрРсСхХуУіІјЈѕЅԁһнНкКмМтТвВαΑεΕοΟρΡιΙκΚνΝτΤυΥχΧβΒηΗμΜζΖıɡⅼ", "aaeeooppccxxyyiijjssdhhhkkmmttbbaaeeooppiikkvvttyyxxbbhhmmzziɡl"))
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
@@ -222,6 +224,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 number.append(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64()), pa.array(number, pa.int64())], ["doc_id", "score", "n_hits"])
 
+    bounded_batches(docs.sparkSession)
     kept = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     return docs.select(*kept).mapInArrow(run, "doc_id long, score double, n_hits long")
 

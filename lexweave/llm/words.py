@@ -59,7 +59,7 @@ def column(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def doc_slices(offs: np.ndarray, limit: int = 4 << 20):
+def doc_slices(offs: np.ndarray, limit: int = 2 << 20):
     """Ranges (i, j) of documents of about ``limit`` bytes together; a longer one stands alone."""
     i, n = 0, len(offs) - 1
     while i < n:
