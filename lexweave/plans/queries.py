@@ -15,6 +15,7 @@ from lexweave.operators import evaluate as E
 from lexweave.operators import features as M
 from lexweave.operators import models as H
 from lexweave.operators import predict as P
+from lexweave.operators import rules as R
 from lexweave.operators import sampling as G
 from lexweave.operators import stats as S
 from lexweave.sources.sentences import ACCENTED, BASE, document_pairs, order_mismatch, rebuilt
@@ -546,6 +547,64 @@ for _f in (j6_fuzzy, m_pair_features, m_detector_features, h3_forest, h7_generat
     _query()(_f)
 
 
+_KO_S = _KO + ", sc AS (SELECT lang, raw, cand, ord, prior AS score FROM ko), b AS (SELECT *, row_number() OVER (PARTITION BY lang, raw ORDER BY score DESC, ord) AS r FROM sc)\n"
+
+
+def _prior_scores(t):
+    return S.candidate_tables(S.pair_counts(t)).select("lang", "raw", "cand", "ord", F.col("prior").alias("score"))
+
+
+@_query(_KO_S + ", m AS (SELECT lang, raw, max(CASE WHEN r = 1 THEN cand END) AS best, max(score) AS s, max(CASE WHEN cand = raw THEN score END) AS c FROM b GROUP BY ALL), d AS (SELECT *, CASE WHEN best = raw THEN 'copy' WHEN s < 0.2 THEN 'low_score' WHEN round(s - coalesce(c, 0), 6) < 0.1 THEN 'low_margin' ELSE 'accept' END AS decision FROM m) SELECT lang, raw, CASE WHEN decision = 'accept' THEN best ELSE raw END AS pred, best, c AS copy_score, decision FROM d")
+def d11_margin(t):
+    return R.accept_best(_prior_scores(t))
+
+
+@_query(_KO_S + "SELECT lang, raw, max(CASE WHEN r = 1 THEN cand END) AS first, max(CASE WHEN r = 2 THEN cand END) AS second, round(max(CASE WHEN r = 1 THEN score END) - max(CASE WHEN r = 2 THEN score END), 6) AS gap, coalesce(round(max(CASE WHEN r = 1 THEN score END) - max(CASE WHEN r = 2 THEN score END), 6) < 0.1, false) AS borderline FROM b GROUP BY ALL")
+def e11_top_two(t):
+    return R.top_two(_prior_scores(t))
+
+
+@_query(", m AS (" + _best("cnt", _T["T2"]) + "), i AS (SELECT lang, raw, pred, total, round(best_count / total, 6) AS b, round(copy / total, 6) AS k FROM m), d AS (SELECT *, CASE WHEN total >= 2 AND k >= 0.7 THEN 'keep' WHEN total >= 2 AND pred <> raw AND b >= 0.8 THEN 'change' ELSE 'uncertain' END AS decision FROM i) SELECT lang, raw, CASE WHEN decision = 'change' THEN pred ELSE raw END AS pred, decision FROM d")
+def d16_train_gates(t):
+    return R.train_gates(S.candidate_info(S.pair_counts(t)))
+
+
+@_query(_TOTAL.replace("cnt", "tr") + ", m AS (" + _best("tr", _T["T3"]) + "), hc AS (SELECT lang, raw, pred FROM m JOIN ent2 USING (lang, raw) WHERE total >= 3 AND pred <> raw AND best_count / total >= 0.75 AND 1 - copy / total >= 0.5 AND entropy <= 1.25) SELECT p.sent_id, p.pos, p.lang, p.raw, coalesce(hc.pred, p.raw) AS pred, CASE WHEN hc.pred IS NULL THEN 'copy' ELSE 'mfr' END AS decision FROM pairs p LEFT JOIN hc USING (lang, raw) WHERE p.fold = 0")
+def d21_high_confidence(t):
+    return R.sure_then_copy(_valid(t), S.high_confidence(S.pair_counts(_train(t)))).select("sent_id", "pos", "lang", "raw", "pred", "decision")
+
+
+@_query(_MFR + ", e AS (SELECT p.sent_id, p.pos, p.lang, p.raw, CASE WHEN p.raw = 'the' THEN 'THE' ELSE coalesce(m.pred, p.raw) END AS pred, CASE WHEN p.raw = 'the' THEN 'master' WHEN coalesce(m.pred, p.raw) = p.raw THEN 'copy' ELSE 'mfr' END AS decision FROM pairs p LEFT JOIN mfr m USING (lang, raw) WHERE p.fold = 0) SELECT * FROM e")
+def d15_master_map(t):
+    """The map is a parameter; one word of the corpus stands for it."""
+    return R.master_map(_valid(t), {"the": "THE"}, S.most_frequent(S.pair_counts(_train(t)))).select("sent_id", "pos", "lang", "raw", "pred", "decision")
+
+
+@_query("""SELECT sent_id, pos, lang, raw, concat_ws(' ', lag(raw, 2) OVER w, lag(raw, 1) OVER w) AS "left", concat_ws(' ', lead(raw, 1) OVER w, lead(raw, 2) OVER w) AS "right" FROM pairs WINDOW w AS (PARTITION BY sent_id ORDER BY pos)""")
+def w3_context(t):
+    return R.context_window(t).select("sent_id", "pos", "lang", "raw", "left", "right")
+
+
+@_query(_EV + "SELECT lang, sum((raw = norm AND pred <> norm)::INT)::BIGINT AS false_changes, sum((raw <> norm AND pred = raw)::INT)::BIGINT AS missed, sum((raw <> pred)::INT)::BIGINT AS changed_pred FROM ev GROUP BY lang")
+def e8_change_counts(t):
+    n = lambda c: F.sum(c.cast("long"))
+    r, g, p = F.col("raw"), F.col("norm"), F.col("pred")
+    return _evaluated(t).groupBy("lang").agg(n((r == g) & (p != g)).alias("false_changes"), n((r != g) & (p == r)).alias("missed"), n(r != p).alias("changed_pred"))
+
+
+def c2_spanish_rules(t):
+    """Rows only: repeats need back-references."""
+    return R.spanish_candidates(t.where("lang = 'es'"))
+
+
+def c7_case_variants(t):
+    return R.case_variants(S.pair_counts(t).select("lang", "raw", F.col("norm").alias("cand"), F.lit("lookup").alias("source")))
+
+
+for _f in (c2_spanish_rules, c7_case_variants):
+    _query()(_f)
+
+
 def queries() -> dict:
     return dict(_Q)
 

@@ -263,3 +263,38 @@ def test_queries_equal_sql(spark, name):
     got = Q.queries()[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_rule_candidates_and_margins(spark):
+    from lexweave.operators import rules as R
+
+    words = spark.createDataFrame([("es", w) for w in ("kiero", "wapo", "cansao", "holaaa", "xq", "d'acuerdo")], "lang string, raw string")
+    got = defaultdict(list)
+    for r in R.spanish_candidates(words, R.table(spark, {"xq": ["porque", "por qué"]}, "es")).orderBy("ord").collect():
+        got[r["raw"]].append((r["cand"], r["source"]))
+    assert got["kiero"] == [("kiero", "copy"), ("quiero", "rewriting")]
+    assert ("guapo", "rewriting") in got["wapo"] and ("buapo", "rewriting") in got["wapo"] and ("cansado", "rewriting") in got["cansao"]
+    assert got["holaaa"] == [("holaaa", "copy"), ("holaa", "repeat2"), ("hola", "repeat1")]
+    assert got["xq"][:3] == [("xq", "copy"), ("porque", "rule"), ("por qué", "rule")]
+    assert {c for c, _ in got["d'acuerdo"]} == {"d'acuerdo", "dacuerdo", "d acuerdo"}
+    scored = spark.createDataFrame([("es", "a", "a", 0.3, 0), ("es", "a", "b", 0.45, 1), ("es", "c", "c", 0.4, 0), ("es", "c", "d", 0.45, 1), ("es", "e", "f", 0.1, 1), ("es", "g", "g", 0.5, 0), ("es", "g", "h", 0.5, 1)], "lang string, raw string, cand string, score double, ord int")
+    assert {r["raw"]: (r["pred"], r["decision"]) for r in R.accept_best(scored).collect()} == {"a": ("b", "accept"), "c": ("c", "low_margin"), "e": ("e", "low_score"), "g": ("g", "copy")}
+    t = C.tokens(sentences(spark, [("es", ["q", "zz"], None)]))
+    d = spark.createDataFrame([("es", "q", "que", 1), ("es", "q", "qué", 2)], "lang string, raw string, cand string, ord int")
+    assert [r["pred"] for r in R.fallback(t, d, F.lit("<extra_id_0>")).orderBy("pos").collect()] == ["que", "zz"]
+    variants = R.case_variants(spark.createDataFrame([("es", "q", "Que", "lookup")], "lang string, raw string, cand string, source string"))
+    assert {(r["cand"], r["source"]) for r in variants.collect()} == {("Que", "lookup"), ("que", "case_variant"), ("QUE", "case_variant")}
+
+
+def test_stream_lookup(spark, tmp_path):
+    from lexweave.streaming.normalize import normalized_tokens
+
+    sentences(spark, [("es", ["q", "a"], None)]).write.parquet(str(tmp_path / "in"))
+    table = spark.createDataFrame([("es", "q", "que")], "lang string, raw string, pred string")
+    stream = normalized_tokens(spark.readStream.schema(C.SENTENCES).parquet(str(tmp_path / "in")), table)
+    q = stream.writeStream.format("memory").queryName("normalized").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+        assert sorted((r["raw"], r["pred"]) for r in spark.table("normalized").collect()) == [("a", "a"), ("q", "que")]
+    finally:
+        q.stop()
