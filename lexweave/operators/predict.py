@@ -70,16 +70,27 @@ def split_candidates(words: DataFrame, vocabulary: DataFrame, most: int = 8) ->
     return both.withColumn("ord", F.row_number().over(rank)).where(F.col("ord") <= most).select("lang", "raw", F.concat_ws(" ", "a", "b").alias("cand"), "ord")
 
 
+def _deletions(x: Column, most: int) -> Column:
+    """The word and what is left of it without up to ``most`` letters."""
+    one = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))).otherwise(F.array().cast("array<string>"))
+    found = F.array(x)
+    for _ in range(most):
+        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, one))))
+    return found
+
+
 def fuzzy_candidates(words: DataFrame, vocabulary: DataFrame, band: int = 1, most: int = 1, top: int = 5) -> DataFrame:
-    """``lang, raw, cand, dist, n, ord``: known words with the same first letter, of about the same length, within an edit distance.
+    """``lang, raw, cand, dist, n, ord``: known words with the same first letter, at most ``band`` longer or shorter, within ``most`` edits (1 or 2).
 
-    Words are blocked by language, first two letters' key, and length; the band
-    of lengths is spread over the words, so the join is an equality join.
+    Two words within k edits have a string in common that each gives by deleting
+    up to k letters, so the join is an equality join on those strings and grows
+    with the words, not with their pairs.
     """
     first = lambda x: F.substring(X.strip_accents(F.lower(F.col(x))), 1, 1)
-    left = words.select("lang", "raw").distinct().withColumns({"f": first("raw"), "k": F.explode(F.sequence(F.length("raw") - band, F.length("raw") + band))})
-    right = vocabulary.select("lang", F.col("word").alias("cand"), "n").withColumns({"f": first("cand"), "k": F.length("cand")})
-    near = left.join(right, ["lang", "f", "k"]).withColumn("dist", F.levenshtein("raw", "cand", most)).where((F.col("dist") >= 0) & (F.col("raw") != F.col("cand")))
+    left = words.select("lang", "raw").distinct().withColumn("k", F.explode(_deletions(F.col("raw"), most)))
+    right = vocabulary.select("lang", F.col("word").alias("cand"), "n").withColumn("k", F.explode(_deletions(F.col("cand"), most)))
+    near = left.join(right, ["lang", "k"]).where((F.col("raw") != F.col("cand")) & (first("raw") == first("cand")) & (F.abs(F.length("raw") - F.length("cand")) <= band))
+    near = near.select("lang", "raw", "cand", "n").distinct().withColumn("dist", F.levenshtein("raw", "cand", most)).where(F.col("dist") >= 0)
     rank = Window.partitionBy("lang", "raw").orderBy("dist", F.col("n").desc(), "cand")
     return near.withColumn("ord", F.row_number().over(rank)).where(F.col("ord") <= top).select("lang", "raw", "cand", "dist", "n", "ord")
 
