@@ -3,9 +3,10 @@
 A text's shingles are runs of five words; a shingle weighs its count in the
 text times an inverse document frequency. Consistent weighted samples agree
 between two texts with a probability equal to their weighted Jaccard
-similarity; they are banded, texts in one bucket are compared with the
-leaders of its components only, and every link is verified by the weighted
-Jaccard similarity of the whole texts. Linked texts form classes.
+similarity; they are banded, texts in one bucket are compared with leaders
+first, then, where it still holds several components, each with every one of
+another component. Every link is verified by the weighted Jaccard similarity
+of the whole texts. Linked texts form classes.
 
 The inverse document frequency is flat below one document in a hundred: only
 the frequent shingles need counts. Such a shingle is at least that frequent in
@@ -31,6 +32,8 @@ _LN_C = np.log(_RNG.gamma(2, 1, _N))
 _BETA = _RNG.uniform(0, 1, _N)
 #: Join sides with more rows are not broadcast.
 BROADCAST_ROWS = 500_000
+#: Bytes of text of a block of a bucket; every two blocks of it are compared in one task.
+BLOCK_BYTES = 1 << 20
 
 
 def shingle_counts(texts, size: int):
@@ -163,19 +166,20 @@ def band_keys(docs: DataFrame, weights: Weights, size: int, bands: int, rows: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.md5(text)).alias("copy"), text.alias("text")).mapInArrow(run, "doc_id long, copy string, keys array<long>")
 
 
-def weighted_jaccard(a, b, weights: Weights, size: int) -> np.ndarray:
-    """Similarity of each text of ``a`` with the one of ``b`` in its place."""
+def weighted_sets(texts, weights: Weights, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Shingles and their weights of each text."""
+    out = []
+    for _, n, doc, h, count in shingle_counts(texts, size):
+        w = weights.of(h, count)
+        cut = np.searchsorted(doc, np.arange(n + 1))
+        out += [(h[x:y], w[x:y]) for x, y in zip(cut[:-1], cut[1:])]
+    return out
 
-    def sets(texts):
-        out = []
-        for _, n, doc, h, count in shingle_counts(texts, size):
-            w = weights.of(h, count)
-            cut = np.searchsorted(doc, np.arange(n + 1))
-            out += [(h[x:y], w[x:y]) for x, y in zip(cut[:-1], cut[1:])]
-        return out
 
+def weighted_jaccard(a, b, weights: Weights, size: int) -> np.ndarray:
+    """Similarity of each text of ``a`` with the one of ``b`` in its place."""
     result = []
-    for (x, v), (y, w) in zip(sets(a), sets(b)):
+    for (x, v), (y, w) in zip(weighted_sets(a, weights, size), weighted_sets(b, weights, size)):
         _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
         least = np.minimum(v[i], w[j]).sum()
         total = v.sum() + w.sum() - least
@@ -224,10 +228,82 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``buckets`` (key, node) whose bucket holds nodes of several components."""
+    """The rows of ``buckets`` (key, node), with their ``label``, whose bucket holds nodes of several components."""
     placed = buckets.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     keys = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    return placed.join(keys, "key").select("key", "node")
+    return placed.join(keys, "key").select("key", "node", "label")
+
+
+def links_between(sets: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, cut: int, threshold: float) -> list[tuple[int, int]]:
+    """Pairs (x, y) of ``sets`` of at least ``threshold`` similarity that connect all ``labels`` such pairs connect.
+
+    Pairs have ``x`` before ``cut`` and ``y`` from it on; a ``cut`` of 0 means
+    all pairs. No set may be empty. A pair that labels or earlier links connect is not compared.
+    """
+    sizes = np.array([len(h) for h, _ in sets])
+    start = np.cumsum(sizes) - sizes
+    names, at = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    weight = np.concatenate([w for _, w in sets])
+    total = np.add.reduceat(weight, start)
+    own, labels, out = np.zeros(len(names)), labels.copy(), []
+    for x in range(cut or len(sets) - 1):
+        first = cut or x + 1
+        if (labels[first:] == labels[x]).all():
+            continue
+        mine = slice(start[x], start[x] + sizes[x])
+        own[at[mine]] = weight[mine]
+        rest = start[first]
+        least = np.add.reduceat(np.minimum(own[at[rest:]], weight[rest:]), start[first:] - rest)
+        own[at[mine]] = 0
+        for y in first + np.flatnonzero(least / (total[x] + total[first:] - least) >= threshold):
+            if labels[x] != labels[y]:
+                out.append((x, int(y)))
+                labels[labels == labels[y]] = labels[x]
+    return out
+
+
+def _linked_in_buckets(mixed: DataFrame, docs: DataFrame, weights, size: int, threshold: float) -> DataFrame:
+    """Links (a, b) of at least ``threshold`` among ``mixed`` (key, node, label): every two nodes of a bucket and different labels are compared, or connected by links found there.
+
+    A bucket is cut into blocks by a hash of the node, and every two blocks go
+    to some task with their texts, so no task holds more than two blocks.
+    """
+    nodes = stored(mixed.select("node").distinct(), "nodes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(_bounded(nodes), "node", "left_semi")
+    texts = stored(texts.dropDuplicates(["node"]), "texts")
+    sized = mixed.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = sized.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+    whole_texts = dealt.join(texts, "node").select("key", "i", "j", "own", "node", "label", "text")
+    groups = whole_texts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "node")
+
+    def found(rows):
+        i, j = rows[0][0][1:]
+        cut = sum(own == i for _, own, *_ in rows) if i < j else 0
+        if len(rows) < 2 or cut == len(rows) or i < j and not cut:
+            return []
+        _, labels = np.unique([r[3] for r in rows], return_inverse=True)
+        pairs = links_between([r[4] for r in rows], labels, cut, threshold)
+        return [sorted((rows[x][2], rows[y][2])) for x, y in pairs]
+
+    def run(batches):
+        held, links = [], []
+        for batch in batches:
+            key, i, j, own, node, label = (batch.column(k).to_pylist() for k in range(6))
+            sets = weighted_sets(batch.column(6), weights.value, size)
+            for r in zip(zip(key, i, j), own, node, label, sets):
+                if held and held[0][0] != r[0]:
+                    links += found(held)
+                    held = []
+                held.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+            links = []
+        if held:
+            links = found(held)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long")
 
 
 def _combined(level: int):
@@ -263,7 +339,10 @@ def classes(
     in buckets that hold several classes after that are compared with random
     leaders of the buckets of every two, then every three (to a ``depth`` of
     1 to 3) of those bands: two texts of similarity 0.8 share about 20 of the former and 60
-    of the latter, so that one of them, or a text linked with both, leads some.
+    of the latter, so that one of them, or a text linked with both, often leads some.
+    These passes only save comparisons: in the buckets of one band that hold
+    several classes after them, all texts of different classes are compared,
+    so no two texts that share a bucket stay apart without a comparison.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -279,7 +358,7 @@ def classes(
     edges, done, labels = None, None, None
     for level in range(1, depth + 1):
         if level > 1:
-            held_by = _mixed(buckets, labels)
+            held_by = _mixed(buckets, labels).select("key", "node")
             keys = held_by.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
             ranked = keys.select("node", F.explode(_combined(level)).alias("key"))
             ranked = ranked.withColumn("rank", F.struct(F.xxhash64("node", "key").alias("o"), F.col("node")))
@@ -294,6 +373,9 @@ def classes(
         edges = stored(found if edges is None else edges.unionByName(found), "links")
         done = met if done is None else stored(done.unionByName(met), "pairs")
         labels = components(edges)
+    mixed = stored(_mixed(buckets, labels), "mixed")
+    if mixed.limit(1).count():
+        labels = components(stored(edges.unionByName(_linked_in_buckets(mixed, docs, held, shingle, threshold)), "links"))
 
     # Only equal or linked texts need their class looked up.
     named = stored(nodes.join(labels, "node", "left").select("copy", F.coalesce("label", "node").alias("class_id")), "classes")

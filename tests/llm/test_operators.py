@@ -221,6 +221,63 @@ def test_near_duplicates(spark, docs, hard, empty):
     assert near_duplicates.deduplicate(docs).columns == docs.columns
 
 
+def test_near_duplicates_among_many_variants(spark):
+    rng = random.Random(11)
+    base = [f"t{i}" for i in range(204)]
+
+    def edited(words, k):
+        words = list(words)
+        for i in rng.sample(range(5, 199), k):
+            words[i] = f"x{rng.randrange(10**9)}"
+        return words
+
+    texts = [edited(base, 3) for _ in range(1000)]
+    texts += [edited(rng.choice(texts[:1000]), 3) for _ in range(300)]
+    rng.shuffle(texts)
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    weights = near_duplicates.Weights(*near_duplicates.frequent_shingles(table, 5, 0.01), 0.01)
+    sets = near_duplicates.weighted_sets(pa.array([" ".join(t) for t in texts]), weights, 5)
+    names, at = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    shares = np.zeros((len(texts), len(names)), np.float32)
+    shares[np.repeat(np.arange(len(texts)), [len(h) for h, _ in sets]), at] = np.sqrt(np.concatenate([w for _, w in sets]))
+    least = shares @ shares.T
+    total = np.diag(least)
+    keys = {r["doc_id"]: r["keys"] for r in near_duplicates.band_keys(table, weights, 5, 16, 4).collect()}
+    bands = np.array([keys[i] for i in range(len(texts))])
+    linked = (least / (total[:, None] + total - least) >= 0.8) & (bands[:, None] == bands).any(2)
+    label = np.arange(len(texts))
+    while True:
+        new = np.where(linked, label, len(texts)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    assert len(set(label.tolist())) < 1300
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.classes(table).collect()}
+    assert got == dict(enumerate(label.tolist()))
+
+
+def test_links_between_are_those_of_all_pairs():
+    rng = np.random.RandomState(4)
+    sets = []
+    for _ in range(40):
+        h = np.sort(rng.choice(60, rng.randint(1, 50), replace=False)).astype(np.uint64)
+        sets.append((h, rng.choice([1.0, 2.0, 1.3], len(h))))
+
+    def similar(x, y):
+        a, b = (dict(zip(h.tolist(), w)) for h, w in (sets[x], sets[y]))
+        least = sum(min(w, b.get(k, 0)) for k, w in a.items())
+        return least / (sum(a.values()) + sum(b.values()) - least)
+
+    for cut in (0, 15):
+        got = near_duplicates.links_between(sets, np.arange(40), cut, 0.4)
+        assert got and all(similar(x, y) >= 0.4 for x, y in got)
+        label = np.arange(40)
+        for x, y in got:
+            label[label == label[y]] = label[x]
+        pairs = [(x, y) for x in range(cut or 40) for y in range(cut or x + 1, 40)]
+        assert all(label[x] == label[y] for x, y in pairs if similar(x, y) >= 0.4)
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.RandomState(0)
     names = rng.randint(0, 2**62, 300).astype(np.uint64)
