@@ -323,7 +323,7 @@ def classes(
     bands: int = 16,
     rows: int = 4,
     share: float = 0.01,
-    depth: int = 2,
+    depth: int = 3,
 ) -> DataFrame:
     """``doc_id, class_id`` of each row of ``docs`` (``doc_id, text``; other columns are not read).
 

@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables, and on hard ones: nulls, empty and long texts, repeats, ties, empty tables, clashing columns."""
 
+import inspect
 import random
 import re
 import zlib
@@ -256,6 +257,10 @@ def test_near_duplicates_among_many_variants(spark):
     assert got == dict(enumerate(label.tolist()))
 
 
+def test_near_duplicates_use_buckets_of_three_bands():
+    assert inspect.signature(near_duplicates.classes).parameters["depth"].default == 3
+
+
 def test_links_between_are_those_of_all_pairs():
     rng = np.random.RandomState(4)
     sets = []
