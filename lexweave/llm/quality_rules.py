@@ -3,7 +3,8 @@
 Fixed rules fail a document first. For the others, each language and source
 has a robust centre and scatter of transformed statistics: the minimum
 covariance determinant, found by concentration steps over all its documents;
-documents beyond a Mahalanobis distance are rejected.
+documents beyond a Mahalanobis distance are rejected. Those of a small group
+are judged by the centre and scatter of their language, or of all documents.
 """
 
 from __future__ import annotations
@@ -89,23 +90,48 @@ def mcd_outliers(
     cutoff: float = 12.0,
     min_rows: int = 50,
     floors: list[float] | None = None,
+    wider: tuple[list[str], ...] = (),
 ) -> DataFrame:
     """Adds ``distance`` and ``outlier`` by the minimum covariance determinant of each group.
 
+    A row whose group has under ``min_rows`` rows is judged by the first of the
+    groupings ``wider`` (``[]``: all rows) in which its group has as many; that
+    group's estimate is of all its rows. A row with none is no outlier.
+    """
+    levels = [groups, *wider]
+    key = lambda names: [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in names] or [F.lit("")]
+    keys = [[f"__k{k}_{i}" for i in range(max(len(names), 1))] for k, names in enumerate(levels)]
+    data = rows.withColumns({c: e for ks, names in zip(keys, levels) for c, e in zip(ks, key(names))})
+    for k, ks in enumerate(keys):
+        data = data.join(stored(data.groupBy(*ks).agg(F.count("*").alias(f"__n{k}")), "sizes"), ks)
+    level = F.coalesce(*(F.when(F.col(f"__n{k}") >= min_rows, F.lit(k)) for k in range(len(levels))), F.lit(len(wider)))
+    data = stored(data.withColumn("__level", level), "levels") if wider else data.withColumn("__level", level)
+    out = None
+    for k, ks in enumerate(keys):
+        needed = data.where(F.col("__level") == k).select(*ks).distinct()
+        if k and not needed.limit(1).count():
+            continue
+        own = data.join(stored(needed, "groups"), ks, "left_semi") if wider else data
+        judged = _distances(own, features, ks, support, steps, floors).where(F.col("__level") == k)
+        outlier = F.coalesce((F.col("distance") > cutoff) & (F.col(f"__n{k}") >= min_rows), F.lit(False))
+        part = judged.select(*rows.columns, "distance", outlier.alias("outlier"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _distances(data: DataFrame, features: list[str], keys: list[str], support: float, steps: int, floors: list[float] | None) -> DataFrame:
+    """Adds ``distance`` from the centre of the row's group; ``keys`` are not null.
+
     Start: the covariance of all rows around the coordinate-wise median. Each
     concentration step keeps the rows within the ``support`` quantile of the
     distance and takes their mean and covariance anew; the determinant cannot
     rise. Every step is one grouped aggregation over all rows, with one row of
     sums a group and task; sums are kept about the median, so that they do not cancel.
     The square of a feature's floor (0.02 unless given) is added to its variance:
-    a statistic that is constant in the support stays usable. A group of under ``min_rows`` rows has no
-    outliers. Null features make a row an inlier with a null distance.
+    a statistic that is constant in the support stays usable. Null features give a null distance.
     """
     p = len(features)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    g = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"__g{k}") for k, c in enumerate(groups)]
-    keys = [f"__g{k}" for k in range(len(groups))]
-    data = rows.withColumns({k: e for k, e in zip(keys, g)})
     centre = data.groupBy(*keys).agg(F.count("*").alias("__n"), *(F.percentile_approx(c, 0.5, 1000).alias(f"__c{i}") for i, c in enumerate(features)))
     model = stored(centre.withColumns({f"__m{i}": F.lit(0.0) for i in range(p)} | {f"__s{i}_{j}": F.lit(float(i == j)) for i, j in pairs} | {"__q": F.lit(None).cast("double")}), "mcd")
 
@@ -148,8 +174,7 @@ def mcd_outliers(
     s = scored(model)
     scale = stored(s.groupBy(*keys).agg(F.percentile_approx("__d2", 0.5, 1000).alias("__mid")), "mcd")
     chi_mid = p * (1 - 2 / (9 * p)) ** 3
-    out = s.join(scale, keys, "left").withColumn("distance", F.sqrt(F.col("__d2") * F.lit(chi_mid) / F.greatest("__mid", F.lit(chi_mid))))
-    return out.select(*rows.columns, "distance", F.coalesce((F.col("distance") > cutoff) & (F.col("__n") >= min_rows), F.lit(False)).alias("outlier"))
+    return s.join(scale, keys, "left").withColumn("distance", F.sqrt(F.col("__d2") * F.lit(chi_mid) / F.greatest("__mid", F.lit(chi_mid))))
 
 
 def quality_rules(docs: DataFrame, cutoff: float = 12.0) -> DataFrame:
@@ -162,7 +187,7 @@ def quality_rules(docs: DataFrame, cutoff: float = 12.0) -> DataFrame:
     """
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = stored(document_stats(docs), "stats").withColumn("base_failed", failed).withColumns(_features())
-    judged = mcd_outliers(rows.where("not base_failed"), list(_features()), ["lang", "source"], cutoff=cutoff, floors=FLOORS)
+    judged = mcd_outliers(rows.where("not base_failed"), list(_features()), ["lang", "source"], cutoff=cutoff, floors=FLOORS, wider=(["lang"], []))
     out = ["doc_id", *STATS, "base_failed"]
     return judged.select(*out, "distance", (~F.col("outlier")).alias("kept")).unionByName(
         rows.where("base_failed").select(*out, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))

@@ -425,6 +425,16 @@ def test_quality_rules(spark, docs, hard, empty):
     out = {r["i"]: r for r in quality_rules.mcd_outliers(rows, ["a", "b"], ["g"], cutoff=6.0).collect()}
     assert all(out[i]["outlier"] for i in range(60)) and not any(out[i]["outlier"] for i in range(60, 600))
     assert not out[1000]["outlier"] and not out[1001]["outlier"]
+    few = spark.createDataFrame([(i, "g", "big", float(a), float(b)) for i, (a, b) in enumerate(x[60:])] + [(1000 + i, "g", "small", float(a), float(b)) for i, (a, b) in enumerate(x[60:80])] + [(2000, "g", "small", 9.0, -9.0), (2001, "h", None, 9.0, -9.0), (2002, "h", "small", 0.0, 5.0)], "i int, g string, s string, a double, b double")
+    plain = {r["i"]: r for r in quality_rules.mcd_outliers(few, ["a", "b"], ["g", "s"], cutoff=6.0).collect()}
+    wide = {r["i"]: r for r in quality_rules.mcd_outliers(few, ["a", "b"], ["g", "s"], cutoff=6.0, wider=(["g"], [])).collect()}
+    assert len(wide) == 563 and {i for i, r in wide.items() if r["outlier"]} == {2000, 2001} and not any(plain[i]["outlier"] for i in (2000, 2001))
+    assert all(wide[i]["distance"] == plain[i]["distance"] for i in range(540))
+    words_of = random.Random(8)
+    mixed = [(i, prose(words_of, words_of.randrange(80, 120), 50_000), "en", "a" if i < 80 else "b") for i in range(100)]
+    mixed.append((500, "Ja.&&& Lo%%% asdoci$$$ |||||| " * 2 + "###### <<<<<< >>>>>> $$$$$$ %%%%%% &&&&&&", "en", "b"))
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(mixed, "doc_id long, text string, lang string, source string")).collect()}
+    assert not kept[500] and sum(kept.values()) == 100
     clean = x[60:]
     inv = np.linalg.inv(np.cov(clean.T))
     d = np.sqrt(np.einsum("ij,jk,ik->i", clean - clean.mean(0), inv, clean - clean.mean(0)))
