@@ -32,8 +32,12 @@ def _shingles(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     return runs.select(*keys, "n", F.xxhash64(*(F.get("h", F.col("i") + k) for k in range(size))).alias("s"))
 
 
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("k"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(_key().alias("k"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _bounded(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -52,16 +56,22 @@ def _sketches(items: DataFrame, sketch: int, threshold: float) -> DataFrame:
     return ranked.select("item_id", "m", "s", need.alias("need"), F.ceil(F.col("m") * threshold).cast("long").alias("least"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, sketch: int = 16) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Pairs ``doc_id, item_id, n_shared, n_item, containment`` of at least ``threshold``.
 
     Containment: the share of an item's distinct shingles of ``shingle`` words
     that the document has. ``docs``: ``doc_id, text``; ``benchmark``: ``item_id,
     text``; other columns are not read. Texts without so many words (null and
-    empty ones too) match nothing. Rows of equal ``doc_id`` and text give one
-    pair, of equal ``doc_id`` and other text one each; rows of equal ``item_id``
-    are one item with the shingles of all. An empty table gives no pairs.
+    empty ones too) match nothing: fewer words are no evidence of a leak. Rows
+    of equal ``doc_id`` and text give one pair, of equal ``doc_id`` and other
+    text one each; rows of equal ``item_id`` are one item with the shingles of
+    all. An empty table gives no pairs. ``options`` are those of ``_matches``.
     """
+    return _matches(docs, benchmark, **options).select("doc_id", "item_id", "n_shared", "n_item", "containment")
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, sketch: int = 16) -> DataFrame:
+    """The pairs of ``contaminated`` with the key (k, t) of the text that matches: id and hash."""
     items = _shingles(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), ["item_id"], shingle).select("item_id", "s").distinct()
     items = stored(items.withColumn("m", F.count("*").over(Window.partitionBy("item_id"))), "items")
     sketches = stored(_sketches(items, sketch, threshold), "sketches")
@@ -75,20 +85,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, thresh
     shared = _shingles(some, ["k", "t", "doc_id"], shingle).join(_bounded(items.select("item_id", "s")), "s").select("k", "t", "doc_id", "item_id", "s").distinct()
     counts = shared.groupBy("k", "t", "doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     out = counts.join(pairs, ["k", "t", "item_id"])
-    return out.select("doc_id", "item_id", "n_shared", F.col("m").alias("n_item"), (F.col("n_shared") / F.col("m")).alias("containment")).where(F.col("containment") >= threshold)
+    return out.select("k", "t", "doc_id", "item_id", "n_shared", F.col("m").alias("n_item"), (F.col("n_shared") / F.col("m")).alias("containment")).where(F.col("containment") >= threshold)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no item of ``benchmark``."""
-    keys = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), "__t": F.xxhash64(F.col("text").cast("string"))})
-    texts = stored(contaminated_keys(docs, benchmark, **options), "leaks")
-    return keys.join(_bounded(texts), (keys["__k"] == texts["k"]) & (keys["__t"] == texts["t"]), "left_anti").drop("__k", "__t")
-
+    """The rows of ``docs``, with all their columns, whose text holds no item of ``benchmark``.
 
-def contaminated_keys(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    found = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    keyed = _keyed(docs).select("k", "t", "doc_id")
-    return keyed.join(_bounded(found.withColumn("k", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).select("k")), "k", "left_semi").select("k", "t").distinct()
+    Rows are told by ``doc_id`` and text: another text of the same id, or of a
+    null one, stays. ``options`` are those of ``contaminated``.
+    """
+    leaks = stored(_matches(docs, benchmark, **options).select(F.col("k").alias("__k"), F.col("t").alias("__t")).distinct(), "leaks")
+    names = docs.columns
+    keyed = docs.select("*", _key().alias("__k"), F.xxhash64(F.col("text").cast("string")).alias("__t"))
+    return keyed.join(_bounded(leaks), ["__k", "__t"], "left_anti").select(*names)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

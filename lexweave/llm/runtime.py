@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below a temporary one."""
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset a local session (tests) takes a temporary folder; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="lexweave-")
-        if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(base)
+        context = spark.sparkContext
+        held = context._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            base = held.get()
+        elif context.master.startswith("local"):
+            base = tempfile.mkdtemp(prefix="lexweave-")
+            context.setCheckpointDir(base)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{base.rstrip('/')}/lexweave-{name}-{uuid.uuid4().hex[:12]}"
 
 

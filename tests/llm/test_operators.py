@@ -350,6 +350,9 @@ def test_decontamination(spark, docs, empty):
     clean = decontamination.decontaminate(table, bench)
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in clean.collect()) == sorted((False, d) for d, _ in rows if d is not None and d not in {x for x, _ in expected})
     assert decontamination.decontaminate(docs, bench).count() == docs.count()
+    mixed = [(None, items[3][1]), (None, "a clean text without an id, of some words"), (None, None), (7, items[4][1]), (7, "a clean text of the same id, of some words")]
+    left = decontamination.decontaminate(spark.createDataFrame(mixed, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted((d or 0, t or "") for k, (d, t) in enumerate(mixed) if k not in (0, 3))
     assert decontamination.contaminated(empty, bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
