@@ -126,7 +126,7 @@ def pack(
     heads = cells.withColumns({"share": share, "served": served}).join(grid, "part")
     heads = heads.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "source", F.lit(None).cast("long").alias("salt"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("binary").alias("ids"), "share", (F.col("share") * F.col("all") - F.col("served")).alias("credit"))
     body = rows.select("part", F.lit(1).alias("kind"), "doc_id", "source", "salt", "n_tokens", "ids", F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("credit"))
-    dealt = heads.unionByName(body).repartition(n, "part").sortWithinPartitions("part", "kind", "doc_id", "salt")
+    dealt = heads.unionByName(body).repartitionById(n, F.col("part")).sortWithinPartitions("part", "kind", "doc_id", "salt")  # a part is a task's work
 
     def emit(part, shares, credits, queues):
         out = [[] for _ in range(8)]

@@ -128,8 +128,8 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_rated: int = 6000) -> OrdinalModel:
-    """A model from a bounded sample: the ``max_rated`` rated documents that come first by a hash of ``doc_id``, held-out ones left out."""
-    known = ratings.where("doc_id is not null and grade is not null").where(~held_out()).dropDuplicates(["doc_id"])
+    """A model from a bounded sample: the ``max_rated`` rated documents that come first by a hash of ``doc_id``, held-out ones left out; of repeated ratings the least."""
+    known = ratings.where("doc_id is not null and grade is not null").where(~held_out()).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = [(r["text"], r["grade"]) for r in texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").toLocalIterator()]

@@ -8,6 +8,7 @@ mapped to a probability.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
@@ -76,10 +77,17 @@ def hits(folded: str, automaton) -> tuple[float, int]:
             start = end + 1 - size
             if start and folded[start - 1].isalpha() or not prefix and end + 1 < n and folded[end + 1].isalpha():
                 continue
-            (shields if weight is None else found).append((start, end, weight))
+            (shields if weight is None else found).append((start, end, weight or 0.0))
+    # A hit is shielded if, of the shields that begin no later, the one that reaches farthest covers it.
     best: dict[int, float] = {}
+    found.sort()
+    shields.sort()
+    k, reach = 0, -1
     for start, end, weight in found:
-        if not any(a <= start and end <= b for a, b, _ in shields):
+        while k < len(shields) and shields[k][0] <= start:
+            reach = max(reach, shields[k][1])
+            k += 1
+        if end > reach:
             best[start] = max(best.get(start, 0.0), weight)
     return sum(best.values()), len(best)
 
@@ -103,11 +111,12 @@ def learn(rows: list[tuple[str | None, int]], prior: float, least: int = 3, prec
     odds. Word pairs around a taken term that occur in clean texts only become
     exceptions.
     """
-    seen: dict[str, int] = {}
-    for i, (t, y) in enumerate(rows):  # copies, told by their longest line, count once
-        seen.setdefault(f"{y} {max((t or '').split(chr(10)), key=len)[:50]}", i)
-    folded = [fold(rows[i][0]) for i in seen.values()]
-    labels = np.array([rows[i][1] for i in seen.values()], int)
+    distinct: dict[tuple[int, bytes], tuple[str, int]] = {}
+    for t, y in rows:  # texts that are equal once folded count once
+        t = fold(t)
+        distinct.setdefault((y, hashlib.md5(t.encode()).digest()), (t, y))
+    folded = [t for t, _ in distinct.values()]
+    labels = np.array([y for _, y in distinct.values()], int)
     pos, neg = int(labels.sum()), int((1 - labels).sum())
     if not pos or not neg:
         return Lexicon({}, slope=0.0, intercept=math.log((pos + 0.5) / (neg + 0.5)))
@@ -200,7 +209,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_clean: int = 5000, max
     A bounded sample: in the order of a hash of ``doc_id``, ``max_clean`` and
     ``max_toxic`` labelled documents that are not held out.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out()).dropDuplicates(["doc_id"])
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     order = F.xxhash64("doc_id")
     picked = known.where("toxic = 0").orderBy(order, "doc_id").limit(max_clean).unionByName(known.where("toxic = 1").orderBy(order, "doc_id").limit(max_toxic))
@@ -232,8 +241,8 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, **sample) -> DataFrame:
     """``doc_id, held_out, score, predicted, n_hits`` of each row of ``docs`` (``doc_id, text`` are read).
 
-    ``labels``: ``doc_id, toxic``; null labels are not used, of repeated ones an
-    arbitrary one. Without labels of both classes every text gets one score.
+    ``labels``: ``doc_id, toxic``; null labels are not used, of repeated ones the
+    largest. Without labels of both classes every text gets one score.
     """
     rows, share = training_rows(docs, labels, **sample)
     scored = score(docs, learn(rows, min(max(share, 0.01), 0.99)))
