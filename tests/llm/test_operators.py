@@ -164,6 +164,93 @@ def test_html_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+PARAGRAPH = "<p>A paragraph of running text, long enough to be one of an article, with <i>some</i> words in it.</p>"
+PLAIN = "A paragraph of running text, long enough to be one of an article, with some words in it."
+
+
+def test_html_text_without_names(monkeypatch):
+    """No tag, role or class helps here: menu, notice, side links and footer go by their density."""
+    for names in ("_BAD_TAG", "_BAD_ROLE", "_BAD_NAME", "_WEAK_NAME", "_SITE_HEAD", "_CONTENT"):
+        monkeypatch.setattr(html_text, names, set())
+    page = f"""<body><div><a href=1>Home</a> <a href=2>News</a> <a href=3>About us</a></div><div>Sunny today.</div>
+    <div><h2>Head</h2>{PARAGRAPH * 3}<p>Short.</p><div><a href=1>More</a> <a href=2>Even more of it</a></div>{PARAGRAPH}</div><div>Copyright 2020 Some Firm</div></body>"""
+    assert html_text.main_text(page) == " ".join(["Head", PLAIN, PLAIN, PLAIN, "Short.", PLAIN])
+    assert html_text.main_text("<div><a href=1>Home</a> <a href=2>News</a></div><div>" + "Long text without a further element in it. " * 5 + "</div><div>Copyright 2020</div>") == ("Long text without a further element in it. " * 5).strip()
+    nested = f"<body><table><tr><td><a href=1>One</a><a href=2>Two</a></td><td><div>{PARAGRAPH * 4}</div><div>{PARAGRAPH * 4}</div></td></tr></table></body>"
+    assert html_text.main_text(nested) == " ".join([PLAIN] * 8)
+    listed = f"<body><div>{PARAGRAPH * 4}</div><div>{'<div>One item</div>' * 20}</div></body>"
+    assert html_text.main_text(listed) == " ".join([PLAIN] * 4)
+    flat = lambda *a: float(a[0] > 0)
+    monkeypatch.setattr(html_text, "composite_density", flat)
+    assert html_text.main_text(listed) != " ".join([PLAIN] * 4)
+
+
+def test_html_names_are_a_prior():
+    wrapped = f"<form><div class='legal notice'>{PARAGRAPH * 2}</div></form><div class='notice'>We use cookies.</div>"
+    assert html_text.main_text(wrapped) == f"{PLAIN} {PLAIN}"
+    assert html_text.main_text(f"<article>{PARAGRAPH}<div class=comments>{PARAGRAPH * 5}</div></article>") == PLAIN
+    assert html_text.main_text(f"<div>{PARAGRAPH}<div hidden>{PARAGRAPH}</div></div>") == PLAIN
+    assert html_text.main_text("<p>" + "İ" * 60 + "</p><SCRIPT>x='</p>'</Script ><p>after the script</p>") == "İ" * 60 + " after the script"
+
+
+def test_html_densities_are_those_of_whole_subtrees():
+    import math
+
+    rng = random.Random(9)
+    for _ in range(30):
+        source, open_tags = [], []
+        for _ in range(40):
+            if open_tags and rng.random() < 0.4:
+                source.append(f"</{open_tags.pop()}>")
+            elif rng.random() < 0.5:
+                open_tags.append(rng.choice(["div", "section", "a", "span"]))
+                source.append(f"<{open_tags[-1]}>")
+            else:
+                source.append("x" * rng.randrange(1, 30))
+        page = html_text._Page("".join(source))
+        got, n = html_text._Densities(page), len(page.tag)
+        below = lambda i: [j for j in range(n) if i <= j < page.end[j] and (i == 0 or j < page.end[i])]
+
+        def up(i):
+            return [i] + up(page.parent[i]) if i >= 0 else []
+
+        length = lambda nodes, link: sum(len(t.strip()) for k, t in page.texts if t != "\n" and k in nodes and (not link or any(page.tag[x] == "a" for x in up(k))))
+        whole = length(set(range(n)), True) / max(length(set(range(n)), False), 1)
+        for i in range(n):
+            nodes = {j for j in range(n) if i in up(j)}
+            c, lc, t, lt = length(nodes, False), length(nodes, True), len(nodes), sum(page.tag[j] == "a" for j in nodes)
+            base = max(2.0, math.log(c / max(c - lc, 1) * lc + whole * c + math.e))
+            expected = c / t * math.log(max(1.0001, c / max(lc, 1) * t / max(lt, 1))) / math.log(base) if c else 0.0
+            assert math.isclose(got.density[i], max(expected, 1e-9) if c else 0.0, rel_tol=1e-9)
+            kids = [j for j in range(n) if page.parent[j] == i]
+            assert math.isclose(got.sums[i], sum(got.density[j] for j in kids) or got.density[i], rel_tol=1e-9)
+
+
+def test_html_trees_follow_open_and_close_tags():
+    def tree(source):
+        page = html_text._Page(source)
+        return [(t, page.tag[p]) for t, p in zip(page.tag[1:], page.parent[1:])]
+
+    assert tree("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>") == [("ul", "#root"), ("li", "ul"), ("li", "ul"), ("ul", "li"), ("li", "ul"), ("li", "ul")]
+    assert tree("<table><tr><td>a<td>b<tr><td>c</table>x") == [("table", "#root"), ("tr", "table"), ("td", "tr"), ("td", "tr"), ("tr", "table"), ("td", "tr")]
+    assert tree("<p>a<p>b<div>c</p></div>") == [("p", "#root"), ("p", "#root"), ("div", "#root")]
+    assert tree("<b><div>x</b>y</div></b><i>z") == [("b", "#root"), ("div", "b"), ("i", "#root")]
+    assert tree("<div></section></span>x<br/><img><p>y") == [("div", "#root"), ("img", "div"), ("p", "div")]
+
+
+@pytest.mark.parametrize("shape", [("<div>", "</p></span>x"), ("<span>", "<p>x"), ("", "a <b "), ("<i><div>", "</i>"), ("<div>", "<div>x y z</div>")])
+def test_html_time_is_linear(shape):
+    import time
+
+    def seconds(n):
+        t = time.process_time()
+        html_text.main_text(shape[0] * n + shape[1] * n)
+        return time.process_time() - t
+
+    seconds(200)
+    assert seconds(16_000) < 12 * max(seconds(4_000), 0.02)
+
+
 def test_toxicity(spark, docs, empty):
     assert toxicity.fold("1DІOT") == "idiot" and toxicity.fold("Ｉdiot 2020") == "idiot 2020" and toxicity.fold(None) == ""
     lex = toxicity.Lexicon({"idiot": 5.0, "scum*": 4.0}, ("scum line",), slope=4.0, intercept=-2.0)
