@@ -16,11 +16,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tokenization
 from .runtime import bounded_batches, partitions, shared_dir
 
-SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
+SCHEMA = T.StructType(
+    [
+        T.StructField("part", T.IntegerType()),
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("local_start", T.LongType()),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids", T.ArrayType(T.IntegerType(), containsNull=False)),
+    ]
+)
+_LISTS = pa.list_(pa.field("element", pa.int32(), nullable=False))
 
 
 def write_token_files(
@@ -50,6 +60,7 @@ def write_token_files(
         part, start = TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         enc = tokenization.encoder(tokenizer)
+        names = SCHEMA.names
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 some = b.slice(i, 512)
@@ -62,9 +73,9 @@ def write_token_files(
                         some.column(0),
                         pa.array(start + offs[:-1]),
                         pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32))),
+                        pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)), type=_LISTS),
                     ],
-                    ["part", "doc_id", "local_start", "n_tokens", "ids"],
+                    names,
                 )
                 start += int(offs[-1])
 

@@ -12,7 +12,7 @@ import os
 import re
 
 _ODD = re.compile(r" (?:\s|$)")
-_CACHE_SIZE = 300_000
+_CACHE_SIZE = 450_000
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -49,17 +49,14 @@ class Encoder:
                 return [raw[a:b] for a, b in zip(at[:-1], at[1:])]
         return self._encode([" " + p for p in pieces])
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: set[str]) -> None:
         """After it, ``young`` has all ``pieces``. Pieces not asked for during a generation are forgotten."""
         if len(self.young) > _CACHE_SIZE:
             self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for p in pieces:
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
-                else:
-                    new.append(p)
+        young, old = self.young, self.old
+        missing = [p for p in pieces if p not in young]
+        young.update((p, old[p]) for p in missing if p in old)
+        new = [p for p in missing if p not in old]
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
             young.update(zip(part, self._encode_pieces(part)))
