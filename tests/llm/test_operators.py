@@ -518,14 +518,40 @@ def test_quality_rules(spark, docs, hard, empty):
     few = spark.createDataFrame([(i, "g", "big", float(a), float(b)) for i, (a, b) in enumerate(x[60:])] + [(1000 + i, "g", "small", float(a), float(b)) for i, (a, b) in enumerate(x[60:80])] + [(2000, "g", "small", 9.0, -9.0), (2001, "h", None, 9.0, -9.0), (2002, "h", "small", 0.0, 5.0)], "i int, g string, s string, a double, b double")
     plain = {r["i"]: r for r in quality_rules.mcd_outliers(few, ["a", "b"], ["g", "s"], cutoff=6.0).collect()}
     wide = {r["i"]: r for r in quality_rules.mcd_outliers(few, ["a", "b"], ["g", "s"], cutoff=6.0, wider=(["g"], [])).collect()}
-    assert len(wide) == 563 and {i for i, r in wide.items() if r["outlier"]} == {2000, 2001} and not any(plain[i]["outlier"] for i in (2000, 2001))
+    assert len(wide) == 563 and {i for i, r in wide.items() if r["outlier"]} == {2000, 2001} and plain[2000]["outlier"] and not plain[2001]["outlier"]
     assert all(wide[i]["distance"] == plain[i]["distance"] for i in range(540))
     words_of = random.Random(8)
     mixed = [(i, prose(words_of, words_of.randrange(80, 120), 50_000), "en", "a" if i < 80 else "b") for i in range(100)]
     mixed.append((500, "Ja.&&& Lo%%% asdoci$$$ |||||| " * 2 + "###### <<<<<< >>>>>> $$$$$$ %%%%%% &&&&&&", "en", "b"))
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(mixed, "doc_id long, text string, lang string, source string")).collect()}
     assert not kept[500] and sum(kept.values()) == 100
+    few_docs = [(i, prose(words_of, words_of.randrange(30, 300), 50_000), "en", "a") for i in range(9)] + [mixed[-1]]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(few_docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert not kept[500] and sum(kept.values()) == 9
     clean = x[60:]
     inv = np.linalg.inv(np.cov(clean.T))
     d = np.sqrt(np.einsum("ij,jk,ik->i", clean - clean.mean(0), inv, clean - clean.mean(0)))
     assert np.corrcoef(d, [out[i]["distance"] for i in range(60, 600)])[0, 1] > 0.97
+
+
+def test_minimum_covariance_determinant_is_that_of_all_subsets(spark):
+    """Small groups: the estimate's support has the least determinant of all subsets of its size; ties count in part."""
+    from itertools import combinations
+
+    rng = np.random.RandomState(5)
+    rows, best = [], {}
+    for g in range(6):
+        x = rng.multivariate_normal([0, 0], [[1, 0.8], [0.8, 1]], 10)
+        x[:2] += rng.choice([-1, 1], 2) * [6, 9]
+        rows += [(g, float(a), float(b)) for a, b in x]
+        subsets = [x[list(k)] for k in combinations(range(10), 8)]
+        best[g] = min(np.linalg.det(np.cov(s.T, bias=True)) for s in subsets)
+    rows += [(9, 1.0, 2.0)] * 6 + [(9, 2.0, 1.0)] * 6
+    table = spark.createDataFrame(rows, "g int, a double, b double")
+    got = quality_rules.mcd_outliers(table, ["a", "b"], ["g"], floors=[1e-6, 1e-6]).collect()
+    for g in range(6):
+        own = [r for r in got if r["g"] == g]
+        x = np.array([(r["a"], r["b"]) for r in own])
+        near = np.argsort([r["distance"] for r in own])[:8]
+        assert np.isclose(np.linalg.det(np.cov(x[near].T, bias=True)), best[g], rtol=1e-6)
+    assert len([r for r in got if r["g"] == 9]) == 12
