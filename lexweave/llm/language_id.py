@@ -2,9 +2,9 @@
 
 Each language has probabilities over the pieces of a fixed public vocabulary.
 A word's probability is the sum over all its segmentations into pieces, by the
-forward algorithm; a text's is the product over its words. The probabilities
-are learned by expectation maximisation with the backward algorithm beside it.
-All of it runs on byte matrices of distinct words.
+forward algorithm, however long word and pieces are; a text's is the product over its
+words. The probabilities are learned by expectation maximisation with the
+backward algorithm beside it. Both run on byte matrices of distinct words.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import bounded_batches
+from .runtime import bounded_batches, stored
 from .words import column, doc_slices, hash_words, per_doc
 
 _U = np.uint64
 _K = 0x9E6C63D0876A9A47
-MAX_PIECE = 12
-MAX_WORD = 24
+#: Bytes of words whose probability is no smaller than a float can be; longer ones take steps with a running scale.
+SHORT = 32
 _KEEP = np.full(256, 0x20, np.uint8)
 _KEEP[0x61:0x7B] = np.arange(0x61, 0x7B)
 _KEEP[0x80:] = np.arange(0x80, 0x100)
@@ -34,7 +34,7 @@ _vocabularies: dict[str, "Vocabulary"] = {}
 
 
 class Vocabulary:
-    """Pieces of a sentencepiece model, lower-cased, of up to MAX_PIECE bytes, and every single byte; found by hash."""
+    """Pieces of a sentencepiece model, lower-cased, and every single byte; found by hash. ``longest``: bytes of the longest one."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -44,9 +44,10 @@ class Vocabulary:
         for i in range(model.get_piece_size()):
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
                 p = model.id_to_piece(i).replace("▁", " ").lower().encode()
-                if len(p) <= MAX_PIECE and b" " not in p[1:]:
+                if b" " not in p[1:]:
                     found.add(p)
         self.pieces = sorted(found)
+        self.longest = max(map(len, self.pieces))
         keys = np.zeros(len(self.pieces), _U)
         for k, p in enumerate(self.pieces):
             h = 0
@@ -92,26 +93,15 @@ def default_path() -> str:
 
 
 def distinct_words(data: np.ndarray, offs: np.ndarray):
-    """Distinct words of texts that are lower-cased already: runs of letters, cut every MAX_WORD bytes.
+    """Distinct words of texts that are lower-cased already: runs of letters.
 
-    Returns (bytes of the words' matrix with a leading space, lengths, index of
-    each word of the text in it, first word of each text).
+    Returns (bytes, first byte and length of each distinct word, index of each
+    word of the texts in them, first word of each text).
     """
     clean = _KEEP[data]
     h, starts, ends, first = hash_words(clean, offs)
-    size = ends - starts
-    if len(size) and size.max() > MAX_WORD:
-        n = -(-size // MAX_WORD)
-        cuts = np.repeat(starts, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * MAX_WORD
-        ends = np.minimum(cuts + MAX_WORD, np.repeat(ends, n))
-        first = np.concatenate(([0], np.cumsum(n)))[first]
-        whole = np.repeat(n == 1, n)
-        at = cuts - np.repeat(starts, n)
-        h = np.where(whole, np.repeat(h, n), np.repeat(h, n) * _U(31) + at.astype(_U))
-        starts, size = cuts, ends - cuts
     _, pick, back = np.unique(h, return_index=True, return_inverse=True)
-    size, starts = size[pick], starts[pick]
-    return clean, starts, size, back, first
+    return clean, starts[pick], (ends - starts)[pick], back, first
 
 
 def _matrix(clean: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -125,7 +115,7 @@ def _edges(m: np.ndarray, vocab: Vocabulary):
     n = m.shape[1]
     for i in range(n):
         h = np.zeros(len(m), _U)
-        for k in range(1, min(MAX_PIECE, n - i) + 1):
+        for k in range(1, min(vocab.longest, n - i) + 1):
             h = h * _U(_K) + (m[:, i + k - 1].astype(_U) + _U(1))
             found = vocab.find(h)
             if k == 1 or (found >= 0).any():
@@ -143,7 +133,12 @@ class Model:
     def word_log_probs(self, clean: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         vocab = vocabulary(self.vocabulary)
         out = np.zeros((len(starts), len(self.languages)))
-        for size in np.unique(sizes):
+        long = np.flatnonzero(sizes > SHORT)
+        long = long[np.argsort(sizes[long])]
+        for i in range(0, len(long), _WIDE):
+            r = long[i : i + _WIDE]
+            out[r] = long_log_probs([clean[x : x + y] for x, y in zip(starts[r], sizes[r])], vocab, self.prob)
+        for size in np.unique(sizes[sizes <= SHORT]):
             rows = np.flatnonzero(sizes == size)
             for i in range(0, len(rows), 50_000):
                 r = rows[i : i + 50_000]
@@ -184,14 +179,67 @@ def forward(m: np.ndarray, vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
     return a
 
 
-def learn(words: dict[str, Counter], vocab_path: str, steps: int = 4, max_types: int = 20_000, smooth: float = 0.02) -> Model:
+#: Long words that go side by side, and their bytes in one step.
+_WIDE, _STEP = 64, 256
+
+
+def long_log_probs(words: list[np.ndarray], vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
+    """Log probability of each word (bytes, without the leading space) and language, over all segmentations.
+
+    Forward probabilities of as many places as the longest piece has bytes are
+    held at a time, divided now and then by the present one, whose logarithm is kept.
+    """
+    reach, n_langs = vocab.longest, prob.shape[1]
+    size = np.array([len(w) + 1 for w in words])
+    m = np.zeros((len(words), size.max() + reach), np.uint8)
+    for k, w in enumerate(words):
+        m[k, 0], m[k, 1 : len(w) + 1] = 0x20, w
+    out = np.zeros((len(words), n_langs))
+    ahead = np.zeros((len(words), reach + 1, n_langs))  # of the present place and those a piece can reach
+    ahead[:, 0] = 1
+    scale = np.zeros((len(words), n_langs))
+    for at in range(0, size.max(), _STEP):
+        width = min(_STEP, size.max() - at)
+        place = np.arange(at, at + width)
+        edge = np.empty((len(words), width, reach), np.int32)
+        h = np.zeros((len(words), width), _U)
+        for k in range(reach):
+            h = h * _U(_K) + (m[:, at + k : at + k + width].astype(_U) + _U(1))
+            edge[:, :, k] = np.where(place[None, :] + k < size[:, None], vocab.find(h), -1)
+        a = np.concatenate((ahead, np.zeros((len(words), width, n_langs))), 1)
+        for i in range(width):
+            if i % 8 == 0:
+                now = np.where(a[:, i] > 0, a[:, i], 1.0)
+                a[:, i : i + reach + 1] /= now[:, None]
+                scale += np.log(now)
+            a[:, i + 1 : i + 1 + reach] += a[:, i, None] * prob[edge[:, i]]
+            done = np.flatnonzero(size == at + i + 1)
+            if len(done):
+                out[done] = np.log(a[done, i + 1]) + scale[done]
+        ahead = a[:, width : width + reach + 1]
+    return out
+
+
+def _parts(raw: bytes) -> list[bytes]:
+    """``raw`` in parts of at most SHORT bytes, cut before whole characters."""
+    out = []
+    while len(raw) > SHORT:
+        k = next((k for k in range(SHORT, SHORT - 4, -1) if raw[k] & 0xC0 != 0x80), SHORT)
+        out.append(raw[:k])
+        raw = raw[k:]
+    return [*out, raw]
+
+
+def learn(words: dict[str, Counter], vocab_path: str, steps: int = 4, smooth: float = 0.02) -> Model:
     """Piece probabilities of each language from counts of its words (lower-case, letters only).
 
-    ``max_types``: most frequent words of a language that are used. Expected
-    counts of pieces come from forward and backward probabilities; at the end a
-    share ``smooth`` goes to the average of all languages, and every piece keeps
-    a small floor.
+    Expected counts of pieces come from forward and backward probabilities, of
+    words over SHORT bytes part by part; at the end a share ``smooth`` goes to
+    the average of all languages, and every piece keeps a small floor. Without
+    words the model knows no language.
     """
+    if not words:
+        return Model([], np.zeros((0, 0)), vocab_path)
     vocab = vocabulary(vocab_path)
     langs = sorted(words)
     n = len(vocab.pieces)
@@ -200,11 +248,10 @@ def learn(words: dict[str, Counter], vocab_path: str, steps: int = 4, max_types:
     single = np.array([len(p) == 1 for p in vocab.pieces])
     for li, lang in enumerate(langs):
         by_size: dict[int, tuple[list[bytes], list[int]]] = {}
-        for w, c in sorted(words[lang].items(), key=lambda x: (-x[1], x[0]))[:max_types]:
-            raw = w.encode()
-            for i in range(0, len(raw), MAX_WORD):
-                ws, cs = by_size.setdefault(len(raw[i : i + MAX_WORD]), ([], []))
-                ws.append(raw[i : i + MAX_WORD])
+        for w, c in sorted(words[lang].items()):
+            for part in _parts(w.encode()):
+                ws, cs = by_size.setdefault(len(part), ([], []))
+                ws.append(part)
                 cs.append(c)
         lattices = []
         for size, (ws, cs) in by_size.items():
@@ -239,19 +286,20 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, max_docs: int = 400, max_chars: int = 20_000, vocab: str | None = None) -> Model:
-    """A model from a bounded sample: per non-null language ``max_docs`` documents that are not held out, in the order of a hash of ``doc_id``.
-
-    ``max_chars``: of a longer sample document the first so many characters are learned from (scores are of whole texts).
-    """
+def train(docs: DataFrame, max_docs: int = 400, vocab: str | None = None) -> Model:
+    """A model from a bounded sample: the whole texts of ``max_docs`` documents a non-null language that are not held out, in the order of a hash of ``doc_id``."""
     from pyspark.sql import Window
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("lang is not null and doc_id is not null").where(~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_docs).select("doc_id").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, max_chars).alias("text")).join(F.broadcast(picked), "doc_id").where("lang is not null")
+    # A cut of the hash leaves about eight times the wanted rows of a language, so none of them meet in one task.
+    sizes = stored(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    share = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / F.lit(1 << 30)
+    few = known.join(sizes, "lang").where(share * F.col("n") < 8 * max_docs)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
+    picked = stored(few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_docs).select("doc_id").distinct(), "sample")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").where("lang is not null")
     words: dict[str, Counter] = {}
-    for r in rows.orderBy("lang", "doc_id").toLocalIterator():
+    for r in rows.orderBy("lang", "doc_id", "text").toLocalIterator():
         clean = bytes(_KEEP[np.frombuffer((r["text"] or "").lower().encode(), np.uint8)])
         words.setdefault(r["lang"], Counter()).update(clean.decode(errors="ignore").split())
     return learn(words, vocab or default_path())

@@ -452,13 +452,40 @@ def test_forward_sums_all_segmentations():
     def brute(w):
         if not w:
             return np.ones(2)
-        return sum((prob[index[w[:k]]] * brute(w[k:]) for k in range(1, min(len(w), 12) + 1) if w[:k] in index), np.zeros(2))
+        return sum((prob[index[w[:k]]] * brute(w[k:]) for k in range(1, len(w) + 1) if w[:k] in index), np.zeros(2))
 
     for w in (b" the", b" zqx", " été".encode(), b" information"):
         m = np.frombuffer(w, np.uint8)[None, :]
         assert np.allclose(language_id.forward(m, vocab, prob)[0, -1], brute(w), rtol=1e-9)
 
 
+def test_long_words_sum_all_segmentations():
+    vocab = language_id.vocabulary(language_id.default_path())
+    rng = np.random.RandomState(1)
+    prob = np.vstack((np.maximum(rng.dirichlet(np.full(len(vocab.pieces), 0.1), 3).T, 1e-9), np.zeros((1, 3))))
+    index = {p: k for k, p in enumerate(vocab.pieces)}
+
+    def by_place(w):
+        a = np.full((len(w) + 1, 3), -np.inf)
+        a[0] = 0
+        for e in range(1, len(w) + 1):
+            from_ = [a[i] + np.log(prob[index[w[i:e]]]) for i in range(max(0, e - vocab.longest), e) if w[i:e] in index]
+            a[e] = np.logaddexp.reduce(from_)
+        return a[-1]
+
+    letters = [*map(str, "etaoinshrdlu"), "é", "ñ", "中", "文"]
+    some = ["".join(rng.choice(letters, n)).encode() for n in (5, 33, 40, 255, 256, 257, 700)] + [b"unterhaltungselektronik" * 30, b"a" * 2000]
+    got = language_id.long_log_probs([np.frombuffer(w, np.uint8) for w in some], vocab, prob)
+    assert np.allclose(got, [by_place(b" " + w) for w in some], rtol=1e-9)
+    model = language_id.Model(["x", "y", "z"], prob, language_id.default_path())
+    text = " ".join(w.decode() for w in some)
+    data, offs = words.column(pa.array([text]))
+    clean, starts, sizes, _, _ = language_id.distinct_words(data, offs)
+    by_word = {bytes(clean[x : x + n]): v for x, n, v in zip(starts, sizes, model.word_log_probs(clean, starts, sizes))}
+    assert set(by_word) == set(some) and all(np.allclose(by_word[w], by_place(b" " + w)) for w in some)
+    assert all(len(p) <= language_id.SHORT for w in some for p in language_id._parts(w)) and all(b"".join(language_id._parts(w)) == w and [x.decode() for x in language_id._parts(w)] for w in some)
+
+
 def test_language_id(spark, docs, empty):
     rng = random.Random(6)
     parts = {"xx": ["ka", "ri", "mo", "tel"], "yy": ["sch", "ung", "eit", "zu"], "zz": ["ño", "ción", "las", "que"]}
