@@ -3,7 +3,7 @@
 A text's shingles are runs of five words; a shingle weighs its count in the
 text times an inverse document frequency. Consistent weighted samples agree
 between two texts with a probability equal to their weighted Jaccard
-similarity; they are banded, texts in one bucket are compared with leaders
+similarity; they are banded, texts in one bucket are compared with its leader
 first, then, where it still holds several components, each with every one of
 another component. Every link is verified by the weighted Jaccard similarity
 of the whole texts. Linked texts form classes.
@@ -32,6 +32,12 @@ _LN_C = np.log(_RNG.gamma(2, 1, _N))
 _BETA = _RNG.uniform(0, 1, _N)
 #: Join sides with more rows are not broadcast.
 BROADCAST_ROWS = 500_000
+#: More candidates for frequent shingles are not broadcast but joined: 8 bytes each.
+BROADCAST_SHINGLES = 2_000_000
+#: Documents or shingles of a group that is counted by itself, and documents under which its counts are sent on.
+GROUP_DOCS, GROUP_SHINGLES, LEAST_DOCS = 4000, 4_000_000, 1000
+#: Pairs with one leader that one task compares.
+LEADER_PAIRS = 500
 #: Bytes of text of a block of a bucket; every two blocks of it are compared in one task.
 BLOCK_BYTES = 1 << 20
 
@@ -50,47 +56,70 @@ def shingle_counts(texts, size: int):
         yield i, j - i, doc[new], h[new], np.diff(np.concatenate((new, [len(h)])))
 
 
+def _flushed(batches, size: int):
+    """Yield (distinct shingles, documents that have each, documents) of groups of documents, cut by documents and shingles held."""
+    held, n, m = [], 0, 0
+    for b in batches:
+        for _, docs, _, h, _ in shingle_counts(b.column(0), size):
+            held.append(h)
+            n, m = n + docs, m + len(h)
+            if n >= GROUP_DOCS or m >= GROUP_SHINGLES:
+                yield *np.unique(np.concatenate(held), return_counts=True), n
+                held, n, m = [], 0, 0
+    if n:
+        yield *np.unique(np.concatenate(held), return_counts=True), n
+
+
 def frequent_shingles(docs: DataFrame, size: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Shingles in at least ``share`` of the documents, and that part of them each is in.
 
-    At most (mean shingles of a document) / ``share`` of them exist. The
-    candidates are those as frequent in some group of a few thousand documents.
+    At most (mean shingles of a document) / ``share`` of them exist, and no more
+    come to the driver. A frequent shingle is as frequent in one of any groups
+    that the documents are cut into. Groups within a task name their candidates;
+    those of few documents, in which all would be candidates, send their counts
+    and are one group over all tasks. Candidates are then counted in all
+    documents, by a broadcast if they are few enough, else by a join.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"))
 
     def local(batches):
-        held, n = [], 0
-        def frequent():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            h = h[c >= share * n]
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["s"])
-        for b in batches:
-            for _, m, _, h, _ in shingle_counts(b.column(0), size):
-                held.append(h)
-                n += m
-                if n >= 4000:
-                    yield frequent()
-                    held, n = [], 0
-        if n:
-            yield frequent()
-
-    names = stored(texts.mapInArrow(local, "s long").distinct(), "candidates")
+        """(s, null) candidates; (s, n) counts and (null, n) documents of small groups."""
+        for h, c, n in _flushed(batches, size):
+            if n >= LEAST_DOCS:
+                h = h[c >= share * n]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.nulls(len(h), pa.int64())], ["s", "n"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["s", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], ["s", "n"])
+
+    seen = stored(texts.mapInArrow(local, "s long, n long"), "candidates")
+    rest = seen.where("s is null").agg(F.sum("n")).first()[0] or 0
+    small = seen.where("s is not null and n is not null").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= share * rest)
+    names = stored(seen.where("s is not null and n is null").select("s").unionByName(small.select("s")).distinct(), "candidates")
     total = docs.count()
-    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in names.toLocalIterator()], np.int64).view(_U)))
-
-    def count(batches):
-        keys = wanted.value
-        seen = np.zeros(len(keys), np.int64)
-        if len(keys):
-            for b in batches:
-                for _, _, _, h, _ in shingle_counts(b.column(0), size):
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    seen += np.bincount(at[keys[at] == h], minlength=len(keys))
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(seen[some])], ["s", "n"])
-
-    rows = texts.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= share * total).orderBy("s").collect()
-    wanted.unpersist()
+    if names.count() <= BROADCAST_SHINGLES:
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in names.toLocalIterator()], np.int64).view(_U)))
+
+        def count(batches):
+            keys = wanted.value
+            met = np.zeros(len(keys), np.int64)
+            if len(keys):
+                for b in batches:
+                    for _, _, _, h, _ in shingle_counts(b.column(0), size):
+                        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                        met += np.bincount(at[keys[at] == h], minlength=len(keys))
+            some = np.flatnonzero(met)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(met[some])], ["s", "n"])
+
+        counts = texts.mapInArrow(count, "s long, n long")
+    else:
+
+        def every(batches):
+            for h, c, _ in _flushed(batches, size):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["s", "n"])
+
+        counts = texts.mapInArrow(every, "s long, n long").join(names, "s")
+    rows = counts.groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= share * total).collect()
     keys = np.array([r[0] for r in rows], np.int64).view(_U)
     order = np.argsort(keys)
     return keys[order], np.array([r[1] for r in rows], float)[order] / max(total, 1)
@@ -192,11 +221,17 @@ def _bounded(table: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, weights, size: int, threshold: float) -> DataFrame:
-    """The ``pairs`` (a, b) of at least ``threshold`` similarity; joins deal each pair with both texts to some task."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    """The links (a, b) among ``pairs`` (leader, node) of at least ``threshold`` similarity.
+
+    Joins deal each pair with both texts to some task; the text of a leader of
+    many pairs goes to as many tasks as they fill.
+    """
+    nodes = pairs.select(F.col("leader").alias("node")).unionByName(pairs.select("node")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(_bounded(stored(nodes, "nodes")), "node", "left_semi")
-    texts = stored(texts.dropDuplicates(["node"]), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    texts = stored(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
+    parts = stored(pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_PAIRS).cast("int").alias("parts")), "leaders")
+    leading = texts.withColumnRenamed("node", "leader").join(parts, "leader").withColumn("part", F.explode(F.sequence(F.lit(1), "parts"))).select("leader", "part", F.col("text").alias("tl"))
+    both = pairs.join(parts, "leader").withColumn("part", (F.pmod(F.xxhash64("node"), "parts") + 1).cast("int")).drop("parts").join(texts, "node").join(leading, ["leader", "part"])
 
     def run(batches):
         for batch in batches:
@@ -205,7 +240,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, weights, size: int, threshold: fl
                 ok = pa.array(weighted_jaccard(x.column(2), x.column(3), weights.value, size) >= threshold)
                 yield pa.RecordBatch.from_arrays([x.column(0).filter(ok), x.column(1).filter(ok)], ["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"), "tl", "text").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -265,15 +300,23 @@ def links_between(sets: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
 def _linked_in_buckets(mixed: DataFrame, docs: DataFrame, weights, size: int, threshold: float) -> DataFrame:
     """Links (a, b) of at least ``threshold`` among ``mixed`` (key, node, label): every two nodes of a bucket and different labels are compared, or connected by links found there.
 
-    A bucket is cut into blocks by a hash of the node, and every two blocks go
-    to some task with their texts, so no task holds more than two blocks.
+    A bucket is cut into blocks by a hash of the node: the nodes of its largest
+    class, which need no comparison with each other, and the rest. Every block
+    of the rest goes with every block to some task, so no task holds more than
+    two blocks, and work follows the size of the class times that of the rest.
     """
     nodes = stored(mixed.select("node").distinct(), "nodes")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(_bounded(nodes), "node", "left_semi")
-    texts = stored(texts.dropDuplicates(["node"]), "texts")
+    texts = stored(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
     sized = mixed.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
-    blocks = sized.groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-    dealt = sized.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    by_label = sized.groupBy("key", "label").agg(F.sum("bytes").alias("bytes"))
+    blocks = by_label.groupBy("key").agg(F.max_by("label", F.struct("bytes", "label")).alias("main"), F.max("bytes").alias("most"), F.sum("bytes").alias("all"))
+    fits = F.col("all") <= BLOCK_BYTES
+    side, main = (F.ceil(c / BLOCK_BYTES).cast("int") for c in (F.col("all") - F.col("most"), F.col("most")))
+    blocks = blocks.select("key", "main", F.when(fits, 1).otherwise(side).alias("side"), F.when(fits, 0).otherwise(main).alias("more"))
+    dealt = sized.join(blocks, "key").withColumn("in_main", (F.col("label") == F.col("main")) & (F.col("more") > 0))
+    dealt = dealt.withColumn("own", F.when(F.col("in_main"), F.col("side") + F.pmod(F.xxhash64("node"), "more")).otherwise(F.pmod(F.xxhash64("node"), "side")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side") - 1 + F.when(F.col("in_main"), 0).otherwise(F.col("more")))))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
     whole_texts = dealt.join(texts, "node").select("key", "i", "j", "own", "node", "label", "text")
     groups = whole_texts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "node")
@@ -306,16 +349,6 @@ def _linked_in_buckets(mixed: DataFrame, docs: DataFrame, weights, size: int, th
     return groups.mapInArrow(run, "a long, b long")
 
 
-def _combined(level: int):
-    """Hashes of all sets of ``level`` of a node's ``keys``, which are sorted; two texts with such a set in common have its hash."""
-    after = lambda i: F.slice(F.col("keys"), i + 2, F.size("keys"))
-    pairs = lambda i, h: F.transform(after(i), lambda y: F.xxhash64(h, y))
-    if level == 2:
-        return F.flatten(F.transform("keys", lambda x, i: pairs(i, x)))
-    triples = lambda x, i: F.flatten(F.transform(after(i), lambda y, j: pairs(i + j + 1, F.xxhash64(x, y))))
-    return F.flatten(F.transform("keys", triples))
-
-
 def classes(
     docs: DataFrame,
     shingle: int = 5,
@@ -323,7 +356,6 @@ def classes(
     bands: int = 16,
     rows: int = 4,
     share: float = 0.01,
-    depth: int = 3,
 ) -> DataFrame:
     """``doc_id, class_id`` of each row of ``docs`` (``doc_id, text``; other columns are not read).
 
@@ -332,17 +364,13 @@ def classes(
     ones too) is a class of its own; one of fewer than ``shingle`` words has
     only equal texts in its class; a null ``doc_id`` takes part with none and
     has a null class. Rows of equal ``doc_id`` should have equal texts; else
-    one text stands for them. An empty table gives no rows.
-
-    Equal texts are one node. The leader of a bucket is the node with the
-    largest buckets in all, which is near the middle of a group of copies. Texts
-    in buckets that hold several classes after that are compared with random
-    leaders of the buckets of every two, then every three (to a ``depth`` of
-    1 to 3) of those bands: two texts of similarity 0.8 share about 20 of the former and 60
-    of the latter, so that one of them, or a text linked with both, often leads some.
-    These passes only save comparisons: in the buckets of one band that hold
-    several classes after them, all texts of different classes are compared,
-    so no two texts that share a bucket stay apart without a comparison.
+    the smallest text stands for them. An empty table gives no rows.
+
+    Equal texts are one node. First every node of a bucket is compared with its
+    leader, the node with the largest buckets in all, which is near the middle
+    of a group of copies. That only saves comparisons: in the buckets that hold
+    several classes after it, all texts of different classes are compared, so
+    no two texts that share a bucket stay apart without a comparison.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -355,24 +383,10 @@ def classes(
     buckets = stored(members.join(shared, "key"), "buckets")
     degree = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = buckets.join(degree, "node").withColumn("rank", F.struct(-F.col("degree"), F.col("node")))
-    edges, done, labels = None, None, None
-    for level in range(1, depth + 1):
-        if level > 1:
-            held_by = _mixed(buckets, labels).select("key", "node")
-            keys = held_by.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-            ranked = keys.select("node", F.explode(_combined(level)).alias("key"))
-            ranked = ranked.withColumn("rank", F.struct(F.xxhash64("node", "key").alias("o"), F.col("node")))
-        leaders = ranked.groupBy("key").agg(F.min("rank").alias("first"), F.count("*").alias("c")).where("c > 1").select("key", F.col("first.node").alias("leader"))
-        met = ranked.select("key", "node").join(leaders, "key").where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        if level > 1:
-            of = labels.select(F.col("node").alias("x"), F.col("label"))
-            met = met.join(of.select(F.col("x").alias("a"), F.col("label").alias("la")), "a", "left").join(of.select(F.col("x").alias("b"), F.col("label").alias("lb")), "b", "left")
-            met = met.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b").join(done, ["a", "b"], "left_anti")
-        met = stored(met, "pairs")
-        found = _linked(met, docs, held, shingle, threshold)
-        edges = stored(found if edges is None else edges.unionByName(found), "links")
-        done = met if done is None else stored(done.unionByName(met), "pairs")
-        labels = components(edges)
+    leaders = ranked.groupBy("key").agg(F.min("rank").alias("first")).select("key", F.col("first.node").alias("leader"))
+    met = stored(ranked.select("key", "node").join(leaders, "key").where("node <> leader").select("leader", "node").distinct(), "pairs")
+    edges = stored(_linked(met, docs, held, shingle, threshold), "links")
+    labels = components(edges)
     mixed = stored(_mixed(buckets, labels), "mixed")
     if mixed.limit(1).count():
         labels = components(stored(edges.unionByName(_linked_in_buckets(mixed, docs, held, shingle, threshold)), "links"))

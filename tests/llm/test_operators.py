@@ -1,6 +1,5 @@
 """Each operator against brute force on small tables, and on hard ones: nulls, empty and long texts, repeats, ties, empty tables, clashing columns."""
 
-import inspect
 import random
 import re
 import zlib
@@ -344,8 +343,19 @@ def test_near_duplicates_among_many_variants(spark):
     assert got == dict(enumerate(label.tolist()))
 
 
-def test_near_duplicates_use_buckets_of_three_bands():
-    assert inspect.signature(near_duplicates.classes).parameters["depth"].default == 3
+@pytest.mark.parametrize("limits", [(4000, 4_000_000, 1000, 2_000_000), (3, 4_000_000, 1, 2_000_000), (3, 100, 1000, 2_000_000), (5, 4_000_000, 4, 0)])
+def test_frequent_shingles_are_all_frequent_ones(spark, monkeypatch, limits):
+    """However documents are dealt and grouped, counted by broadcast or by join."""
+    for name, v in zip(("GROUP_DOCS", "GROUP_SHINGLES", "LEAST_DOCS", "BROADCAST_SHINGLES"), limits):
+        monkeypatch.setattr(near_duplicates, name, v)
+    rng = random.Random(12)
+    common = [prose(rng, 8, 10_000) for _ in range(4)]
+    texts = [" ".join([prose(rng, 20, 10_000), *(c for k, c in enumerate(common) if rng.random() < 0.05 * (k + 1))]) for _ in range(150)] + [None, ""]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    keys, freq = near_duplicates.frequent_shingles(table, 5, 0.1)
+    df = Counter(h for _, _, doc, h, _ in near_duplicates.shingle_counts(pa.array(texts), 5) for h in h.tolist())
+    expected = {h: n / len(texts) for h, n in df.items() if n >= 0.1 * len(texts)}
+    assert expected and dict(zip(keys.tolist(), freq)) == expected
 
 
 def test_links_between_are_those_of_all_pairs():
