@@ -34,8 +34,8 @@ _BETA = _RNG.uniform(0, 1, _N)
 BROADCAST_ROWS = 500_000
 #: More candidates for frequent shingles are not broadcast but joined: 8 bytes each.
 BROADCAST_SHINGLES = 2_000_000
-#: Documents or shingles of a group that is counted by itself, and documents under which its counts are sent on.
-GROUP_DOCS, GROUP_SHINGLES, LEAST_DOCS = 4000, 4_000_000, 1000
+#: Documents or shingles of a group that is counted by itself, and documents under which its counts are sent on: from there on one document alone makes no candidate at a share of 1 %.
+GROUP_DOCS, GROUP_SHINGLES, LEAST_DOCS = 4000, 4_000_000, 200
 #: Pairs with one leader that one task compares.
 LEADER_PAIRS = 500
 #: Bytes of text of a block of a bucket; every two blocks of it are compared in one task.
