@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexweave.functions.tables import ES_CHAT, KO_ENDINGS
+
 # Accented Latin letters and their base letters.
 _LATIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćČčĎďĒēĖėĘęĚěĞğĪīŁłŃńŇňŌōŐőŘřŚśŞşŠšŤťŪūŮůŰűŹźŻżŽž"
 _LATIN_BASE = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcDdEeEeEeEeGgIiŁłNnNnOoOoRrSsSsSsTtUuUuUuZzZzZz"
@@ -88,6 +90,47 @@ def shape_es(x) -> Column:
     return collapse(F.regexp_replace(s, r"\p{Nd}", "0"), 2)
 
 
+# Kana that decompose into a letter and a voicing mark.
+_VOICED = "がぎぐげござじずぜぞだぢづでどばびぶべぼぱぴぷぺぽゔゞガギグゲゴザジズゼゾダヂヅデドバビブベボパピプペポヴヷヸヹヺヾ"
+
+
+def shape_marked(x, mark: str = "á") -> Column:
+    """``shape_es`` with one sign for the letters without case that decompose: Hangul syllables and voiced kana."""
+    return collapse(F.regexp_replace(shape_es(x), rf"[\x{{AC00}}-\x{{D7A3}}{_VOICED}]", mark), 2)
+
+
+def shape_ja(x) -> Column:
+    """H hiragana, K katakana, C kanji, 0 digit, a other letters, signs as they are; runs over two shortened to two."""
+    s = F.regexp_replace(c(x), r"[\p{L}&&[^\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]]", "a")
+    for pattern, sign in ((r"[\x{3040}-\x{309F}]", "H"), (r"[\x{30A0}-\x{30FF}]", "K"), (r"[\x{4E00}-\x{9FFF}]", "C"), (r"\p{Nd}", "0")):
+        s = F.regexp_replace(s, pattern, sign)
+    return collapse(s, 2)
+
+
+def shape_class(x) -> Column:
+    """One word for the look of a token: EMPTY, URL, MENTION, HASHTAG, PUNCT, ALLCAPS, LOWER, TITLE, HASDIGIT or MIXED; the first that holds."""
+    x = c(x)
+    return (
+        F.when(x == "", "EMPTY")
+        .when(x.rlike(r"(?i)^(https?://|www\.)"), "URL")
+        .when(x.rlike(r"(?U)^@\w+"), "MENTION")
+        .when(x.rlike(r"^#\S+"), "HASHTAG")
+        .when(x.rlike(r"(?U)^[^\wÀ-ÖØ-öø-ÿ]+$"), "PUNCT")
+        .when(is_upper(x), "ALLCAPS")
+        .when(is_lower(x), "LOWER")
+        .when(first_upper(x), "TITLE")
+        .when(x.rlike(r"\p{Nd}"), "HASDIGIT")
+        .otherwise("MIXED")
+    )
+
+
+def like_case(raw, cand) -> Column:
+    """``cand`` in the case of ``raw``: capitals if it has several, a first capital if it has one."""
+    r, k = c(raw), c(cand)
+    title = F.concat(F.upper(F.substring(k, 1, 1)), rest(k))
+    return F.when(is_upper(r) & (F.length(r) > 1), F.upper(k)).when(first_upper(r), title).otherwise(k)
+
+
 def case_shape(x) -> Column:
     x = c(x)
     return F.when(is_lower(x), "lower").when(is_upper(x), "upper").when(first_upper(x) & is_lower(rest(x)), "title").when(F.lower(x) == F.upper(x), "none").otherwise("mixed")
@@ -101,6 +144,11 @@ def edit_distance(a, b, cutoff: int | None = None) -> Column:
     return F.when(d < 0, cutoff + 1).otherwise(d)
 
 
+def prefix_distance(a, b, most: int = 64) -> Column:
+    """Levenshtein distance of the first ``most`` characters."""
+    return F.levenshtein(F.left(c(a), F.lit(most)), F.left(c(b), F.lit(most)))
+
+
 def roman_distance(a, b) -> Column:
     return F.least(F.levenshtein(F.lower(c(a)), F.lower(c(b))), F.levenshtein(strip_accents(F.lower(c(a))), strip_accents(F.lower(c(b)))))
 
@@ -108,7 +156,7 @@ def roman_distance(a, b) -> Column:
 def spanish_edit_cost(raw, cand) -> Column:
     """0 equal, 0.3 accents or repeats, 0.4 equal keys, 0.6 chat spelling, else the distance of keys."""
     r, k = F.lower(plain_apostrophe(raw)), F.lower(plain_apostrophe(cand))
-    chat = reduce(lambda s, p: F.replace(s, F.lit(p[0]), F.lit(p[1])), [("k", "qu"), ("ke", "que"), ("ki", "qui"), ("x", "ch"), ("xq", "porque"), ("xk", "porque"), ("w", "gu"), ("w", "bu"), ("ao", "ado")], r)
+    chat = reduce(lambda s, p: F.replace(s, F.lit(p[0]), F.lit(p[1])), ES_CHAT, r)
     return (
         F.when(c(raw) == c(cand), 0.0)
         .when((deaccent_spanish(r) == deaccent_spanish(k)) & (r != k), 0.3)
@@ -134,6 +182,38 @@ def jamo(x) -> Column:
     return F.array_join(F.transform(F.split(c(x), ""), part), "")
 
 
+def first_jamo(x) -> Column:
+    """The first letter of a Hangul syllable, or the first character in lower case without accents."""
+    return strip_accents(F.lower(F.substring(jamo(F.substring(c(x), 1, 1)), 1, 1)))
+
+
+def emote_candidates(x) -> Column:
+    """Two and one of the sign that a run of three or more of one Korean emote consists of; none for other tokens."""
+    x = c(x)
+    one = F.substring(x, 1, 1)
+    return F.when(x.rlike(r"^([ㅋㅎㅠㅜ])\1{2,}$"), F.array(F.repeat(one, F.lit(2)), one)).otherwise(F.array().cast("array<string>"))
+
+
+def short_emote(x) -> Column:
+    """Two signs for a run of four or more of one Korean emote; null for other tokens."""
+    return F.when(c(x).rlike(r"^([ㅋㅎㅠㅜ])\1{3,}$"), F.repeat(F.substring(c(x), 1, 1), F.lit(2)))
+
+
+def short_syllables(x) -> Column:
+    """A word without the repeats of its last syllable, of which there are three or more; null for other tokens and emotes."""
+    x = c(x)
+    pattern = r"^(.+?)(.)\2{2,}$"
+    last = F.regexp_extract(x, pattern, 2)
+    return F.when(x.rlike(pattern) & ~last.isin(*"ㅋㅎㅠㅜ"), F.concat(F.regexp_extract(x, pattern, 1), last))
+
+
+def plain_ending(x) -> Column:
+    """A word with a playful ending in its plain form, by the first ending that fits; null for other tokens."""
+    x = c(x)
+    forms = [F.when(x.endswith(old) & (F.length(x) > len(old)), F.concat(F.left(x, F.length(x) - len(old)), F.lit(new))) for old, new in KO_ENDINGS]
+    return F.coalesce(*forms)
+
+
 def korean_distance(a, b) -> Column:
     return F.least(F.levenshtein(c(a), c(b)).cast("double"), 0.6 * F.levenshtein(jamo(a), jamo(b)))
 
@@ -200,3 +280,44 @@ def script_ratio(x, block: str) -> Column:
 def length_bin(x) -> Column:
     n = F.length(c(x))
     return F.when(n <= 3, F.concat(F.lit("len_"), n.cast("string"))).when(n <= 5, "len_4_5").when(n <= 8, "len_6_8").otherwise("len_9p")
+
+
+def ratio_bin(x) -> Column:
+    return F.when(c(x) == 0, "0").when(c(x) < 0.25, "low").when(c(x) < 0.60, "mid").otherwise("high")
+
+
+def short_length_bin(x) -> Column:
+    n = F.length(c(x))
+    return F.when(n <= 1, "1").when(n <= 3, "2-3").when(n <= 6, "4-6").when(n <= 10, "7-10").otherwise("11+")
+
+
+def number_bin(x, bins: list[float]) -> Column:
+    """The first bound that a number does not exceed, as ``<=b``, or ``>last``."""
+    found = F.lit(f">{bins[-1]:.3f}")
+    for b in reversed(bins):
+        found = F.when(c(x) <= b, f"<={b:.3f}").otherwise(found)
+    return found
+
+
+def position_bin(pos, size) -> Column:
+    share = c(pos) / (c(size) - 1)
+    return F.when(c(size) <= 1, "only").when(share < 0.2, "start").when(share < 0.8, "middle").otherwise("end")
+
+
+def prompt(words, pos, lang, kind: str = "natural", candidates: Column | None = None) -> Column:
+    """What a generator is asked for the word at ``pos``.
+
+    ``kind``: natural, sentinel, marked_natural, lexnorm, indexed or action;
+    ``candidates``: an array that the prompt names where it is not empty.
+    """
+    sentence, word = F.array_join(c(words), " "), F.get(c(words), c(pos))
+    marked, lit = marked_prompt(words, pos), F.lit
+    text = {
+        "natural": F.concat(lit("lang: "), c(lang), lit(" word: "), word, lit(" context: "), sentence),
+        "sentinel": marked,
+        "marked_natural": F.concat(lit("normalize lang: "), c(lang), lit(" target: "), word, lit(" context: "), marked),
+        "lexnorm": F.concat(lit("lexnorm lang: "), c(lang), lit(" word: "), word, lit(" context: "), sentence),
+        "indexed": F.concat(lit("normalize "), c(lang), lit(": word: "), word, lit(" index: "), c(pos).cast("string"), lit(" context: "), sentence),
+        "action": F.concat(lit("task: lexical_normalization lang: "), c(lang), lit(" target: "), word, lit(" sentence: "), marked),
+    }[kind]
+    return text if candidates is None else F.when(F.size(candidates) > 0, F.concat(text, lit(" candidates: "), F.array_join(candidates, " | "))).otherwise(text)

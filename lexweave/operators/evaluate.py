@@ -94,3 +94,59 @@ def threshold_sweep(tokens: DataFrame, score: str, thresholds: list[float]) -> D
 def best_threshold(sweep: DataFrame) -> DataFrame:
     """The threshold of the highest F1; the lowest wins ties."""
     return sweep.groupBy("lang").agg(F.max_by("threshold", F.struct("f1", -F.col("threshold"))).alias("threshold"), F.max("f1").alias("f1"))
+
+
+def error_sweep(tokens: DataFrame, score: str, candidate: str, thresholds: list[float]) -> DataFrame:
+    """``lang, threshold, total, changed, correct, false_pos, err, accuracy``: the candidate is taken where the score reaches the threshold; one pass for all."""
+    g = F.col("raw") != F.col("norm")
+    aggs = [F.count("*").alias("total"), _n(g).alias("changed")]
+    for i, t in enumerate(thresholds):
+        pred = F.when(F.col(score) >= t, F.col(candidate)).otherwise(F.col("raw"))
+        aggs += [_n(pred == F.col("norm")).alias(f"c{i}"), _n(~g & (pred != F.col("raw"))).alias(f"f{i}")]
+    wide = tokens.groupBy("lang").agg(*aggs)
+    each = F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"c{i}").alias("correct"), F.col(f"f{i}").alias("false_pos")) for i, t in enumerate(thresholds)))
+    rows = wide.select("lang", "total", "changed", F.explode(each).alias("z")).select("lang", "z.threshold", "total", "changed", "z.correct", "z.false_pos")
+    return rows.withColumns({"err": _ratio(F.col("correct") - (F.col("total") - F.col("changed")), F.col("changed")), "accuracy": _ratio(F.col("correct"), F.col("total"))})
+
+
+def best_error_threshold(sweep: DataFrame) -> DataFrame:
+    """The threshold of the highest error reduction, then accuracy, then of the fewest false changes; the lowest wins ties."""
+    order = F.struct("err", "accuracy", (-F.col("false_pos")).alias("f"), (-F.col("threshold")).alias("t"))
+    return sweep.groupBy("lang").agg(F.max_by("threshold", order).alias("threshold"), F.max("err").alias("err"))
+
+
+def action_metrics(tokens: DataFrame) -> DataFrame:
+    """COPY and NORM decisions against gold changes: decisions right, recall of changes, changes with the right text, copies kept."""
+    g, d = F.col("raw") != F.col("norm"), F.col("decision") == "NORM"
+    t = tokens.groupBy("lang").agg(F.count("*").alias("total"), _n(g).alias("changed"), _n(g == d).alias("right"), _n(g & d).alias("found"), _n(g & d & (F.col("pred") == F.col("norm"))).alias("exact"), _n(~g & ~d).alias("kept"), _n(F.col("decision") == "MALFORMED").alias("malformed"))
+    same = F.col("total") - F.col("changed")
+    return t.select("lang", "total", "changed", "malformed", _ratio(F.col("right"), F.col("total")).alias("decision_accuracy"), _ratio(F.col("found"), F.col("changed")).alias("change_recall"), _ratio(F.col("exact"), F.col("changed")).alias("text_accuracy"), _ratio(F.col("kept"), same).alias("copy_recall"))
+
+
+def fold_means(metrics_by_fold: DataFrame) -> DataFrame:
+    """Mean leave-as-is accuracy, accuracy and error reduction of each language over its folds."""
+    return metrics_by_fold.groupBy("lang").agg(F.count("*").alias("folds"), *(F.round(F.avg(c), 6).alias(c) for c in ("lai", "accuracy", "err")))
+
+
+def error_listing(tokens: DataFrame, most: int = 20) -> DataFrame:
+    """The first ``most`` false and missed changes of each language in order of the text: a report."""
+    kind = F.when((F.col("raw") == F.col("norm")) & (F.col("pred") != F.col("raw")), "false").when((F.col("raw") != F.col("norm")) & (F.col("pred") == F.col("raw")), "missed")
+    rank = Window.partitionBy("lang", "kind").orderBy("sent_id", "pos")
+    return tokens.withColumn("kind", kind).where("kind is not null").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most).select("lang", "kind", "rank", "sent_id", "pos", "raw", "norm", "pred")
+
+
+def change_summary(tokens: DataFrame) -> DataFrame:
+    """``lang, category, changed, correct, share``: predicted changes by kind, and their part of all tokens of the language."""
+    from lexweave.functions import text as X
+
+    total = tokens.groupBy("lang").agg(F.count("*").alias("all"))
+    t = tokens.where("raw <> pred").withColumn("category", X.mapping_class("raw", "pred")).groupBy("lang", "category").agg(F.count("*").alias("changed"), _n(F.col("pred") == F.col("norm")).alias("correct"))
+    return t.join(F.broadcast(total), "lang").select("lang", "category", "changed", "correct", _ratio(F.col("changed"), F.col("all")).alias("share"))
+
+
+def top_words(tokens: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` most frequent words, replacements and changes of each language: a report."""
+    kinds = F.array(F.struct(F.lit("raw").alias("kind"), F.col("raw").alias("item")), F.struct(F.lit("norm").alias("kind"), F.col("norm").alias("item")), F.when(F.col("raw") != F.col("norm"), F.struct(F.lit("change").alias("kind"), F.concat_ws(" -> ", "raw", "norm").alias("item"))))
+    t = tokens.select("lang", F.explode(F.filter(kinds, lambda z: z.isNotNull())).alias("z")).groupBy("lang", "z.kind", "z.item").agg(F.count("*").alias("n"))
+    rank = Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "item")
+    return t.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n)

@@ -267,13 +267,3 @@ def safe_output(raw: Column, output: Column, longest: int = 30, times: int = 4,
     o = F.trim(output)
     bad = (o == "") | (F.length(o) > F.greatest(F.lit(longest), F.length(raw) * times)) | o.rlike("<extra_id_|</?s>|normalize|context:") | (X.spanish_edit_cost(raw, o) > max_cost)
     return F.when(~bad, o)
-
-
-POLICY_BY_LANGUAGE = {"ja": "backoff", "ko": "master_map", "es": "hybrid"}
-
-
-def dispatch(tokens: DataFrame, policies: dict[str, str] | None = None, default: str = "mfr") -> DataFrame:
-    """Adds the policy of each token's language; unknown languages have the default."""
-    return tokens.withColumn("policy", F.coalesce(_mapped(F.col("lang"), policies or POLICY_BY_LANGUAGE), F.lit(default)))
-
-

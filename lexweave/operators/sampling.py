@@ -12,8 +12,8 @@ def share(seed: int, *keys: str) -> Column:
 
 
 def holdout(sentences: DataFrame, seed: int = 42, part: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """Training and validation sentences; the same on every run and cluster."""
-    s = share(seed, "sent_id")
+    """Training and validation sentences, about ``part`` of each language; the same on every run and cluster."""
+    s = share(seed, *(k for k in ("lang", "sent_id") if k in sentences.columns))
     return sentences.where(s >= part), sentences.where(s < part)
 
 
@@ -32,16 +32,70 @@ def oversample_changed(tokens: DataFrame, times: int) -> DataFrame:
 
 
 def limit_negatives(tokens: DataFrame, ratio: int = 6, seed: int = 42) -> DataFrame:
-    """Changed tokens and at most ``ratio`` times as many others of each language, by the order of a hash.
+    """Changed tokens and exactly ``ratio`` times as many others of each language (all if there are no more), the first in the order of a hash.
 
-    The cut is a hash value found from counts of 1,000 bins, so no group is sorted.
+    The cut is found from counts of 1,000 bins of the hash; only the bin that it falls in is ordered.
     """
-    t = tokens.withColumns({"changed": F.col("raw") != F.col("norm"), "bin": F.floor(share(seed, "sent_id", "pos") * 1000).cast("int")})
-    n = t.groupBy("lang").agg(F.sum(F.col("changed").cast("long")).alias("pos"))
+    t = tokens.withColumns({"changed": F.col("raw") != F.col("norm"), "s": share(seed, "sent_id", "pos")}).withColumn("bin", F.floor(F.col("s") * 1000).cast("int"))
+    wanted = t.groupBy("lang").agg((F.sum(F.col("changed").cast("long")) * ratio).alias("wanted"))
     bins = t.where("not changed").groupBy("lang", "bin").agg(F.count("*").alias("n"))
     up = Window.partitionBy("lang").orderBy("bin")
-    kept = bins.withColumn("upto", F.sum("n").over(up)).join(n, "lang").where(F.col("upto") <= F.col("pos") * ratio).select("lang", "bin")
-    return t.where("changed").select(*tokens.columns).unionByName(t.where("not changed").join(F.broadcast(kept), ["lang", "bin"], "left_semi").select(*tokens.columns))
+    bins = bins.withColumn("before", F.sum("n").over(up) - F.col("n")).join(wanted, "lang").where(F.col("before") < F.col("wanted"))
+    others = t.where("not changed").join(bins.select("lang", "bin", "n", (F.col("wanted") - F.col("before")).alias("room")), ["lang", "bin"])
+    edge = Window.partitionBy("lang", "bin").orderBy("s", "sent_id", "pos")
+    part = others.where("n > room").withColumn("r", F.row_number().over(edge)).where("r <= room")
+    return t.where("changed").select(*tokens.columns).unionByName(others.where("n <= room").select(*tokens.columns)).unionByName(part.select(*tokens.columns))
+
+
+def corrupt_thai(words: DataFrame, column: str = "raw", seed: int = 42, delete: float = 0.03, substitute: float = 0.03, insert: float = 0.03, repeat_mark: float = 0.08, repeat: float = 0.02, swap: float = 0.10) -> DataFrame:
+    """Adds ``corrupted``: the Thai word with random deletions, substitutions, insertions, repeats and one swapped mark.
+
+    Chances are of the word, its row's ``sent_id`` and ``pos`` and the seed, so
+    every run gives the same. A word of several characters never stays as it is.
+    """
+    import random
+
+    import pandas as pd
+
+    from lexweave.functions import tables as T
+
+    noise, marks = T.TH_BASE + T.TH_TONES + T.TH_HANGING, set(T.TH_TONES + T.TH_HANGING + T.TH_LEADING)
+
+    def spoil(word: str | None, key: str) -> str | None:
+        if not word:
+            return word
+        rng = random.Random(key)
+        out = []
+        for ch in word:
+            if len(word) > 1 and rng.random() < delete:
+                continue
+            out.append(rng.choice(noise) if rng.random() < substitute else ch)
+            if rng.random() < insert:
+                out.append(rng.choice(noise))
+            if rng.random() < (repeat_mark if ch in marks else repeat):
+                out.append(ch)
+        places = [i for i in range(len(out) - 2) if out[i + 2] in T.TH_TONES and (out[i + 1] in T.TH_HANGING or out[i] in T.TH_LEADING)]
+        if places and rng.random() < swap:
+            i = places[0]
+            a = i + 1 if out[i + 1] in T.TH_HANGING else i
+            out[a], out[i + 2] = out[i + 2], out[a]
+        spoiled = "".join(out)
+        if spoiled == word and len(word) > 1:
+            i = rng.randrange(len(word))
+            spoiled = word[:i] + rng.choice([c for c in noise if c != word[i]]) + word[i + 1 :]
+        return spoiled
+
+    @F.pandas_udf("string")
+    def run(word: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([spoil(w, k) for w, k in zip(word, key)], dtype=object)
+
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("sent_id").cast("string"), F.col("pos").cast("string"), F.col(column))
+    return words.withColumn("corrupted", run(F.col(column), key))
+
+
+def refit(fit, train: DataFrame, valid: DataFrame):
+    """``fit`` on training and validation rows together, once tuning is over."""
+    return fit(train.unionByName(valid))
 
 
 def with_gold(candidates: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -43,9 +43,9 @@ def with_confidence(mfr: DataFrame) -> DataFrame:
     return mfr.withColumn("conf", F.round(F.col("best_count") / F.col("total"), 6))
 
 
-def raw_stats(counts: DataFrame, keys: tuple[str, ...] = ("lang", "raw"), tie: str = "T2") -> DataFrame:
+def raw_stats(counts: DataFrame, keys: tuple[str, ...] = ("lang", "raw"), tie: str = "T2", identity: str = "raw") -> DataFrame:
     """Totals, copies, changes, their shares and the best replacement with its share."""
-    m = most_frequent(counts, keys, tie)
+    m = most_frequent(counts, keys, tie, identity)
     return m.select(*keys, "total", "copy", (F.col("total") - F.col("copy")).alias("changed"), F.round((F.col("total") - F.col("copy")) / F.col("total"), 6).alias("change_prob"), F.round(F.col("copy") / F.col("total"), 6).alias("copy_prob"), F.col("pred").alias("best_norm"), "best_count", F.round(F.col("best_count") / F.col("total"), 6).alias("best_prob"))
 
 

@@ -25,14 +25,32 @@ def read_sentences(spark: SparkSession, path: str, fallback: str | None = None)
     """Parquet sentences with the declared schema; ``fallback`` is read where ``path`` does not exist."""
     from pyspark.errors import AnalysisException
 
+    from lexweave.sources.artifacts import missing_path
+
     try:
         return spark.read.schema(SENTENCES).parquet(path)
-    except AnalysisException:
-        if fallback is None:
+    except AnalysisException as error:
+        if fallback is None or not missing_path(error):
             raise
         return spark.read.schema(SENTENCES).parquet(fallback)
 
 
+def of_language(rows: DataFrame, *languages: str) -> DataFrame:
+    """The rows of some languages; on a table that is partitioned by ``lang`` no other is read."""
+    return rows.where(F.col("lang").isin(*languages))
+
+
+#: Marks beyond both ends of a sentence.
+SENTINELS = {"marks": (BOS, EOS), "anchors": ("^", "$"), "empty": ("", "")}
+
+
+def with_sentinels(rows: DataFrame, kind: str) -> DataFrame:
+    """Neighbour columns with other marks beyond the ends: ``anchors`` or ``empty``."""
+    first, last = SENTINELS[kind]
+    swap = lambda c: F.when(F.col(c) == BOS, first).when(F.col(c) == EOS, last).otherwise(F.col(c))
+    return rows.withColumns({c: swap(c) for c in ("prev", "next", "prev2", "next2") if c in rows.columns})
+
+
 def well_formed(sentences: DataFrame) -> DataFrame:
     """Sentences with words and as many replacements as words."""
     return sentences.where((F.size("raw") > 0) & (F.size("raw") == F.size("norm")))
@@ -104,8 +122,10 @@ def write_predictions(rows: DataFrame, path: str, name: str = "predictions.json"
 
 
 def read_predictions(spark: SparkSession, path: str, name: str = "predictions.json") -> DataFrame:
-    """``sent_id, raw, pred, lang`` from a prediction ZIP or JSON file."""
+    """``sent_id, raw, pred, lang`` from a prediction ZIP or JSON file, whose one array is read on the driver, or from Parquet."""
     p = Path(path)
+    if p.suffix == ".parquet":
+        return spark.read.parquet(str(p))
     data = json.loads(zipfile.ZipFile(p).read(name) if p.suffix == ".zip" else p.read_bytes())
     return spark.createDataFrame([(i, x["raw"], x["pred"], x["lang"]) for i, x in enumerate(data)], "sent_id long, raw array<string>, pred array<string>, lang string")
 
