@@ -63,10 +63,10 @@ class _Windows:
             h.append(a[fits])
             g.append((hash_windows(w, size, 1)[fits] >> _U(32)).astype(np.uint32))
             d = d[fits]
-            doc.append(d + i)
-            at.append(np.flatnonzero(fits) - first[d])
+            doc.append((d + i).astype(np.int32))
+            at.append((np.flatnonzero(fits) - first[d]).astype(np.int32))
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        self.high, self.low, self.doc, self.at = cat(h, _U), cat(g, np.uint32), cat(doc, np.int64), cat(at, np.int64)
+        self.high, self.low, self.doc, self.at = cat(h, _U), cat(g, np.uint32), cat(doc, np.int32), cat(at, np.int32)
         self.ids = ids
         self.id = ids[self.doc] if len(self.doc) else np.zeros(0, np.int64)
 
@@ -87,7 +87,7 @@ def _binary(values):
     return pa.array(values, pa.binary())
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 6 << 20, keep_layout: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, keep_layout: bool = False) -> DataFrame:
     """``docs`` with ``text`` replaced by its kept words, and ``n_words, n_removed``.
 
     A word goes if a window of ``window`` words that covers it also starts in a
