@@ -263,9 +263,11 @@ def near_vocabulary(words: DataFrame, vocabulary: DataFrame, language: str = "ko
     left = words.select("lang", "raw").distinct().where("raw <> ''")
     right = vocabulary.select("lang", F.col("word").alias("cand"), "n")
     if language == "ko":
-        left = left.withColumns({"b": X.first_jamo("raw"), "l": F.explode(F.sequence(F.greatest(F.length("raw") - 2, F.lit(1)), F.length("raw") + 2))})
-        near = left.join(right.withColumns({"b": X.first_jamo("cand"), "l": F.length("cand")}), ["lang", "b", "l"]).where("raw <> cand")
-        near = near.withColumn("dist", F.round(X.korean_distance("raw", "cand"), 6)).where(F.col("dist") <= F.when(F.length("raw") <= 3, 1.2).otherwise(1.8))
+        left = left.withColumns({"b": X.first_jamo("raw"), "jr": X.jamo("raw"), "l": F.explode(F.sequence(F.greatest(F.length("raw") - 2, F.lit(1)), F.length("raw") + 2))})
+        near = left.join(right.withColumns({"b": X.first_jamo("cand"), "jc": X.jamo("cand"), "l": F.length("cand")}), ["lang", "b", "l"]).where("raw <> cand")
+        # 1.8 is three letters at 0.6 or one syllable: distances beyond are not worked out.
+        whole, letters = F.levenshtein("raw", "cand", 1), F.levenshtein("jr", "jc", 3)
+        near = near.withColumn("dist", F.round(F.least(F.when(whole >= 0, whole.cast("double")), F.when(letters >= 0, letters * 0.6)), 6)).where(F.col("dist") <= F.when(F.length("raw") <= 3, 1.2).otherwise(1.8))
     else:
         bare = lambda x: X.strip_accents(F.lower(F.col(x)))
         near = left.withColumn("k", F.explode(_deletions(bare("raw"), 1))).join(right.withColumn("k", F.explode(_deletions(bare("cand"), 1))), ["lang", "k"])

@@ -64,28 +64,23 @@ def char_ngrams(x, least: int = 2, most: int = 5, bounded: bool = True) -> Colum
     """Character n-grams of a text as an array with repeats; ``bounded``: within words that have a space at each end, as a whole where they are shorter."""
     words = F.transform(F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" "))) if bounded else F.array(F.lower(x))
 
-    def grams(w, n):
+    def grams(n):
+        return lambda w: cut(w, n)
+
+    def cut(w, n):
         size = F.length(w)
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(n)))
+        parts = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(n)))
         # A word shorter than n stands once, for the smallest n that exceeds it.
-        return F.when(size >= n, cut).when((size < n) & (F.lit(n) == F.greatest(size, F.lit(least))), F.array(w)).otherwise(F.array().cast("array<string>"))
+        return F.when(size >= n, parts).when((size < n) & (F.lit(n) == F.greatest(size, F.lit(least))), F.array(w)).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.concat(*(F.transform(words, lambda w, n=n: grams(w, n)) for n in range(least, most + 1))))
+    return F.flatten(F.concat(*(F.transform(words, grams(n)) for n in range(least, most + 1))))
 
 
 def fit_text_classifier(rows: DataFrame, text: str = "text", least: int = 2, most: int = 5, features: int = 1 << 16, bounded: bool = True, positive: float = 1.0) -> Callable[[DataFrame], DataFrame]:
-    """Logistic regression of ``label`` on hashed character n-grams: 1 + ln(count), inverse document frequency, unit length. Returns what adds ``p``."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    @F.udf(VectorUDT())
-    def sublinear(v):
-        import numpy as np
-
-        return SparseVector(v.size, v.indices, 1 + np.log(v.values))
-
+    """Logistic regression of ``label`` on hashed character n-grams: counts as they are, inverse document frequency, unit length. Returns what adds ``p``."""
     def prepared(df: DataFrame) -> DataFrame:
-        hashed = HashingTF(inputCol="__grams", outputCol="__tf", numFeatures=features).transform(df.withColumn("__grams", char_ngrams(F.col(text), least, most, bounded)))
-        return hashed.withColumn("__tf", sublinear("__tf")).drop("__grams")
+        grams = df.withColumn("__grams", char_ngrams(F.col(text), least, most, bounded))
+        return HashingTF(inputCol="__grams", outputCol="__tf", numFeatures=features).transform(grams).drop("__grams")
 
     train = prepared(class_weights(rows, positive))
     pipeline = Pipeline(stages=[IDF(inputCol="__tf", outputCol="__idf"), Normalizer(inputCol="__idf", outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol="label", weightCol="weight", regParam=1e-3, maxIter=50)]).fit(train)

@@ -215,7 +215,11 @@ def italian_conservative(tokens: DataFrame, counts: DataFrame, config: ItalianCo
         sources.append(("first_capital", C.one(F.when(X.is_lower(raw) & (F.length(raw) > 1), F.concat(F.upper(F.substring(raw, 1, 1)), X.rest(raw)))), F.lit(2.3), True))
     if config.split:
         sources.append(("split", C.one(C.mapped(low, T.IT_SPLIT)), F.lit(2.5), False))
-    listed = F.concat(*(F.transform(cands, lambda x, s=s, b=b, v=v: F.struct(F.lit(s).alias("source"), x.alias("cand"), b.cast("double").alias("base"), F.lit(v).alias("in_vocabulary"))) for s, cands, b, v in sources))
+
+    def rows(source, cands, base, asked):
+        return F.transform(cands, lambda x: F.struct(F.lit(source).alias("source"), x.alias("cand"), base.cast("double").alias("base"), F.lit(asked).alias("in_vocabulary")))
+
+    listed = F.concat(*(rows(*s) for s in sources))
     flat = w.where("not protected").select("lang", "raw", "n_raw", F.explode(listed).alias("z")).select("lang", "raw", "n_raw", "z.*").withColumn("cand_low", F.lower("cand"))
     flat = C.known(C.known(flat, "cand", vocabulary, "nc"), "cand_low", vocabulary, "nl")
     # first_capital asks for the candidate itself, repeats for it or its lower case

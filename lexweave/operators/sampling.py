@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.functions import tables as T
+
 
 def share(seed: int, *keys: str) -> Column:
     """A number from 0 to 1 that depends on the seed and the keys only."""
@@ -53,12 +58,6 @@ def corrupt_thai(words: DataFrame, column: str = "raw", seed: int = 42, delete:
     Chances are of the word, its row's ``sent_id`` and ``pos`` and the seed, so
     every run gives the same. A word of several characters never stays as it is.
     """
-    import random
-
-    import pandas as pd
-
-    from lexweave.functions import tables as T
-
     noise, marks = T.TH_BASE + T.TH_TONES + T.TH_HANGING, set(T.TH_TONES + T.TH_HANGING + T.TH_LEADING)
 
     def spoil(word: str | None, key: str) -> str | None:

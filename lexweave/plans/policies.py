@@ -409,3 +409,304 @@ _sql("c7_case_variants", f""", c AS (SELECT lang, raw, norm AS cand FROM cnt), v
 SELECT lang, raw, cand, 'lookup' AS source FROM c UNION ALL SELECT lang, raw, cand, 'case_variant' FROM v WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = v.lang AND c.raw = v.raw AND c.cand = v.cand)""")
 _A5 = lambda kind, key: f"SELECT '{kind}' AS kind, lang, key, total, pred AS best_norm, best_count, round(best_count / total, 6) AS best_prob FROM (" + _best(f"(SELECT lang, {key} AS key, '' AS raw, norm, sum(n)::BIGINT AS n FROM cnt GROUP BY ALL)", "n DESC, norm", "lang, key") + ")"
 _sql("a5_key_counts", " UNION ALL ".join((_A5("plain", _key("raw")), _A5("es", _es_key("raw")), _A5("ja", _coll("lower(raw)", 2)))))
+
+
+# --- conservative policy, generators, features, selections ---
+
+
+def _values(name: str, cols: str, rows) -> str:
+    q = lambda v: "'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"{name} AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(q, r)) + ')' for r in rows)}) v({cols}))"
+
+
+_ABBREV = _values("sa", "raw, cand", T.IT_SAFE_ABBREV.items())
+_CONTEXT = _values("ca", "raw, cand", [(k, c) for k, cs in T.IT_CONTEXT_ABBREV.items() for c in cs])
+_DIACRITIC = _values("di", "raw, cand", {**T.IT_DIACRITIC_LOWER, **{k: v for k, v in T.IT_DIACRITIC_EXACT.items() if k == k.lower()}}.items())
+_LETTERS = "abcdefghijklmnopqrstuvwxyzäçèéêíñóöü"
+
+
+def _runs(x: str, keep: int) -> str:
+    """Runs of three or more of one letter cut to ``keep``."""
+    for ch in _LETTERS:
+        x = f"regexp_replace({x}, '{ch}{{3,}}', '{ch * keep}', 'g')"
+    return x
+
+
+@_query(", ex AS (" + _best("tr", _T["T2"]) + "), fo AS (" + _best("tr", _T["T6"]) + f"""), {_ABBREV}, {_CONTEXT}, {_DIACRITIC}, vo AS (SELECT lang, norm AS word, sum(n) AS n FROM tr GROUP BY ALL), w AS (SELECT DISTINCT lang, raw FROM pairs WHERE fold = 0),
+x AS (SELECT w.lang, w.raw, ex.pred AS e, coalesce(ex.pred <> w.raw AND round(ex.best_count / ex.total, 6) >= 0.55, false) AS strong, round(ex.best_count / ex.total, 6) AS ec, fo.pred AS f, coalesce(fo.pred <> w.raw AND fo.best_count >= 2 AND round(fo.best_count / fo.total, 6) >= 0.7, false) AS slow, round(fo.best_count / fo.total, 6) AS fc, v.n AS nr, {_K4('w.raw')} AS prot
+ FROM w LEFT JOIN ex USING (lang, raw) LEFT JOIN fo USING (lang, raw) LEFT JOIN vo v ON v.lang = w.lang AND v.word = w.raw),
+rp AS (SELECT DISTINCT lang, raw, unnest([{_runs('raw', 1)}, {_runs('raw', 2)}]) AS cand FROM w),
+c0 AS (SELECT lang, raw, 'exact_mfr' AS source, e AS cand, 6.0::DOUBLE + 3.0::DOUBLE * ec AS base, false AS iv FROM x WHERE strong UNION ALL SELECT lang, raw, 'casefold_mfr', f, 4.4::DOUBLE + 2.2::DOUBLE * fc, false FROM x WHERE slow UNION ALL SELECT x.lang, x.raw, 'diacritics', cand, 4.0, false FROM x JOIN di USING (raw)
+ UNION ALL SELECT x.lang, x.raw, 'safe_abbrev', cand, 3.7, false FROM x JOIN sa USING (raw) UNION ALL SELECT x.lang, x.raw, 'context_abbrev', cand, 3.0, false FROM x JOIN ca USING (raw) UNION ALL SELECT lang, raw, 'repeat', cand, 2.7, true FROM rp WHERE cand <> raw),
+c1 AS (SELECT c0.*, v.n AS nc, l.n AS nl, nr FROM c0 JOIN x USING (lang, raw) LEFT JOIN vo v ON v.lang = c0.lang AND v.word = c0.cand LEFT JOIN vo l ON l.lang = c0.lang AND l.word = lower(c0.cand) WHERE NOT prot AND (NOT iv OR v.n IS NOT NULL OR l.n IS NOT NULL)),
+c2 AS (SELECT lang, raw, source, cand, base + CASE WHEN nc IS NOT NULL THEN 0.9 + least(1.2, ln(nc + 1) / 4) WHEN nl IS NOT NULL THEN 0.55 ELSE 0 END - CASE WHEN nr IS NOT NULL AND source NOT IN ('exact_mfr', 'casefold_mfr') THEN 1.25 ELSE 0 END - CASE WHEN contains(cand, ' ') AND source <> 'exact_mfr' THEN 2.5 ELSE 0 END AS score FROM c1),
+cp AS (SELECT lang, raw, round(CASE WHEN nr IS NOT NULL THEN 1.55 + 0.45 ELSE 0 END, 6) AS copy FROM x),
+tk AS (SELECT sent_id, pos, p.lang, p.raw, CASE WHEN prev = '<BOS>' THEN '' ELSE lower(prev) END AS pv, CASE WHEN next = '<EOS>' THEN '' ELSE lower(next) END AS nx, x.e, x.strong, x.prot, cp.copy FROM pairs p JOIN x USING (lang, raw) JOIN cp USING (lang, raw) WHERE p.fold = 0),
+al AS (SELECT sent_id, pos, copy AS score, raw AS cand, 'copy' AS source FROM tk UNION ALL SELECT sent_id, pos, round(score + CASE WHEN tk.raw = 'x' THEN CASE WHEN regexp_matches(pv, '^[0-9]+$') OR regexp_matches(nx, '^[0-9]+$') THEN -2.0 ELSE 0.25 END WHEN tk.raw = '6' THEN CASE WHEN regexp_matches(pv, '^[0-9]+$') OR regexp_matches(nx, '^[0-9]+$') THEN -2.5 WHEN nx IN ({_LIST(T.IT_AFTER_SEI)}) THEN 1.0 ELSE 0.15 END WHEN tk.raw = 'c' AND cand = 'ci' AND regexp_matches(nx, '[oiae]$') THEN 0.2 ELSE 0 END, 6), cand, source FROM tk JOIN c2 USING (lang, raw)),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sent_id, pos ORDER BY score DESC, cand DESC, source DESC) AS rn FROM al) WHERE rn = 1),
+d AS (SELECT tk.*, tp.cand, CASE WHEN prot THEN CASE WHEN strong THEN 'strong' ELSE 'protected' END WHEN tp.cand = tk.raw THEN 'copy' WHEN round(score - copy, 6) < 1.15 OR (contains(tp.cand, ' ') AND tp.source <> 'exact_mfr' AND round(score - copy, 6) < 2.15) THEN 'low_margin' ELSE 'change' END AS decision FROM tk JOIN tp USING (sent_id, pos))
+SELECT sent_id, pos, lang, raw, CASE decision WHEN 'strong' THEN e WHEN 'change' THEN cand ELSE raw END AS pred, decision FROM d""")
+def d7_italian_conservative(t):
+    return D.italian_conservative(_valid(t), S.pair_counts(_train(t))).select("sent_id", "pos", "lang", "raw", "pred", "decision")
+
+
+def d17_korean_ranked(t):
+    """Rows only: the least cost is over Korean distances to all words of a block; a test holds small cases."""
+    counts = S.pair_counts(_train(t))
+    return D.korean_ranked(_valid(t), counts, S.candidate_info(counts), _p()).select("sent_id", "pos", "lang", "raw", "pred", "decision")
+
+
+_query()(d17_korean_ranked)
+
+_TH = ", m AS (" + _best("tr", _T["T3"]) + f"""), th AS (SELECT lang, raw, pred AS mfr, round(best_count / total, 6) AS conf, total FROM m), gd AS (SELECT DISTINCT lang, norm AS cand FROM tr), w AS (SELECT DISTINCT lang, raw FROM pairs WHERE fold = 0),
+er AS (SELECT lang, raw, norm, n, sum(n) OVER (PARTITION BY lang, raw) AS errors, row_number() OVER (PARTITION BY lang, raw ORDER BY n DESC, norm) AS r FROM tr WHERE norm <> raw),
+ru AS (SELECT lang, raw, cand, i FROM (SELECT lang, raw, unnest(fs) AS cand, generate_subscripts(fs, 1) AS i FROM (SELECT lang, raw, list_filter([{_coll('raw', 2)}, {_coll('raw', 1)}], lambda c: c <> raw AND c <> '') AS fs FROM w WHERE {_coll('raw', 2)} <> raw)))
+"""
+
+
+@_query(_TH + f""", kk AS (SELECT lang, raw, raw AS cand, 'keep' AS source, 0.0::DOUBLE AS score, 0 AS ord FROM w), q AS (SELECT lang, raw, arg_max(norm, n * 10000000000 + (norm = mfr)::INT * 100000000 + r) AS cand, max(n) AS n, any_value(errors) AS errors FROM (SELECT er.*, th.mfr, row_number() OVER (PARTITION BY er.lang, er.raw ORDER BY norm) AS r FROM (SELECT * EXCLUDE (r) FROM er) er JOIN th USING (lang, raw)) SEMI JOIN w USING (lang, raw) GROUP BY ALL),
+al AS (SELECT * FROM kk UNION ALL SELECT lang, raw, mfr, 'mfr', 3 + 3 * conf + ln(1 + total) / 4, 1 FROM th SEMI JOIN w USING (lang, raw) WHERE mfr <> raw AND conf >= 0.8 AND total >= 2 UNION ALL SELECT lang, raw, cand, 'errdict', 2.8 + 2 * n / errors + ln(1 + n) / 4, 2 FROM q
+ UNION ALL SELECT ru.lang, ru.raw, ru.cand, 'rule', 1.3 + (gd.cand IS NOT NULL)::INT + (ru.cand = coalesce(th.mfr, ru.raw))::INT - 0.15::DOUBLE * least({_lev('ru.raw', 'ru.cand')}, 9), 2 + i FROM ru LEFT JOIN gd ON gd.lang = ru.lang AND gd.cand = ru.cand LEFT JOIN th ON th.lang = ru.lang AND th.raw = ru.raw)
+SELECT lang, raw, cand, source, score FROM (SELECT lang, raw, cand, source, round(score, 6) AS score, row_number() OVER (PARTITION BY lang, raw ORDER BY round(score, 6) DESC, ord) AS rn FROM al) WHERE rn = 1""")
+def c9_thai_best(t):
+    return C.thai_best(_valid(t), S.pair_counts(_train(t)))
+
+
+@_query(_TH + "SELECT lang, raw, cand, (i - 1)::INT AS ord FROM ru")
+def c8_thai_rules(t):
+    return C.thai_rules(_valid(t)).select("lang", "raw", "cand", "ord")
+
+
+def d24_thai_two_stage(t):
+    return D.thai_two_stage(_valid(t), S.pair_counts(_train(t)), _p()).select("sent_id", "pos", "lang", "raw", "pred", "decision")
+
+
+# No word of the corpus is Thai: all with letters or digits are protected from rules.
+_query(_TH + f""", a0 AS (SELECT lang, raw, mfr AS cand, 'mfr' AS source, 2.2 + 2.5 * conf + ln(1 + total) / 5 AS own, 0 AS ord FROM th WHERE mfr <> raw AND conf >= 0.8 AND total >= 2 UNION ALL SELECT lang, raw, norm, 'errdict', 2 + 2 * n / errors + ln(1 + n) / 5, r FROM er WHERE r <= 8 UNION ALL SELECT lang, raw, cand, 'rule', NULL, 99 + i FROM ru),
+a1 AS (SELECT a0.*, (gd.cand IS NOT NULL)::INT AS ok, coalesce(mfr, a0.raw) AS mfr, least({_lev('a0.raw', 'a0.cand')}, 21) AS dist FROM a0 SEMI JOIN w USING (lang, raw) LEFT JOIN th ON th.lang = a0.lang AND th.raw = a0.raw LEFT JOIN gd ON gd.lang = a0.lang AND gd.cand = a0.cand),
+a2 AS (SELECT *, round(0.7 * ok + 0.8 * (cand = mfr AND cand <> raw)::INT - 0.1::DOUBLE * dist - 0.05::DOUBLE * abs(length(cand) - length(raw)) + coalesce(CASE WHEN source = 'rule' THEN 1.35 + 0.8 * ok ELSE own END, 0), 6) AS score FROM a1 WHERE length(cand) <= greatest(2, length(raw) * 2 + 6) AND (source <> 'rule' OR NOT {_K5('raw')}) AND (source <> 'rule' OR dist / greatest(length(raw), length(cand), 1) <= 0.75)),
+bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, raw ORDER BY score DESC, ord) AS rn FROM a2) WHERE rn = 1),
+d AS (SELECT p.sent_id, p.pos, p.lang, p.raw, bs.cand, CASE WHEN bs.cand IS NULL THEN 'keep' WHEN NOT ({_P.replace('raw', 'p.raw')} >= 0.5 OR coalesce(th.mfr <> p.raw AND conf >= 0.93 AND total >= 2, false)) THEN 'detector_keep' WHEN round(score + 0.8 * ({_P.replace('raw', 'p.raw')}), 6) < 2.4 THEN 'low_score' ELSE bs.source END AS decision FROM pairs p LEFT JOIN th USING (lang, raw) LEFT JOIN bs USING (lang, raw) WHERE p.fold = 0)
+SELECT sent_id, pos, lang, raw, CASE WHEN decision IN ('mfr', 'errdict', 'rule') THEN cand ELSE raw END AS pred, decision FROM d""")(d24_thai_two_stage)
+
+_ESC = ", m AS (" + _best("tr", _T["T2"]) + f"""), ek AS (SELECT lang, raw, {_es_key('raw')} AS key FROM (SELECT DISTINCT lang, raw FROM pairs)), kc AS (SELECT lang, key, norm, sum(n) AS n FROM tr JOIN ek USING (lang, raw) GROUP BY ALL), kr AS (SELECT *, row_number() OVER (PARTITION BY lang, key ORDER BY n DESC, norm) AS r FROM kc), w AS (SELECT DISTINCT lang, raw FROM pairs WHERE fold = 0),
+{_values("ab", "raw, cand, i", [(k, c, i) for k, cs in T.ES_ABBREV.items() for i, c in enumerate(cs)])}, {_values("ac", "raw, cand, i", [(k, c, i) for k, cs in T.ES_ACCENTS.items() for i, c in enumerate(cs)])}, {_values("fu", "raw, cand", T.ES_FUSED.items())},
+fm AS (SELECT lang, raw, list_sort(list_distinct(list_filter([regexp_replace(raw, '\\bke\\b', 'que', 'g'), regexp_replace(raw, '\\bki', 'qui', 'g'), replace(raw, 'k', 'qu'), replace(raw, 'x', 'ch'), CASE WHEN raw LIKE 'w%' THEN 'gu' || substr(raw, 2) END, CASE WHEN raw LIKE 'w%' THEN 'bu' || substr(raw, 2) END, CASE WHEN raw LIKE '%ao' AND length(raw) > 3 THEN left(raw, length(raw) - 2) || 'ado' END, CASE WHEN raw LIKE '%aos' AND length(raw) > 4 THEN left(raw, length(raw) - 3) || 'ados' END], lambda z: z IS NOT NULL AND z <> raw))) AS fs FROM w),
+al AS (SELECT lang, raw, raw AS cand, 'copy' AS source, 0 AS o FROM w UNION ALL SELECT m.lang, m.raw, pred, 'mfr', 100 FROM m SEMI JOIN w USING (lang, raw) UNION ALL SELECT w.lang, w.raw, norm, 'key', 200 + r FROM w JOIN ek USING (lang, raw) JOIN kr USING (lang, key) WHERE r <= 5
+ UNION ALL SELECT w.lang, w.raw, cand, 'abbrev', 300 + i FROM w JOIN ab USING (raw) UNION ALL SELECT w.lang, w.raw, cand, 'accent_lexicon', 400 + i FROM w JOIN ac USING (raw) UNION ALL SELECT lang, raw, {_coll('raw', 2)}, 'repeat2', 500 FROM w WHERE {_coll('raw', 2)} <> raw UNION ALL SELECT lang, raw, {_coll('raw', 1)}, 'repeat1', 501 FROM w WHERE {_coll('raw', 1)} <> raw
+ UNION ALL SELECT lang, raw, unnest(fs), 'cyber_rule', 600 + generate_subscripts(fs, 1) FROM fm UNION ALL SELECT w.lang, w.raw, cand, 'split_rule', 700 FROM w JOIN fu USING (raw)),
+fi AS (SELECT lang, raw, cand, arg_min(source, o) AS source, min(o) AS o FROM al GROUP BY ALL)
+"""
+
+
+@_query(_ESC + "SELECT lang, raw, cand, source, (row_number() OVER (PARTITION BY lang, raw ORDER BY o) - 1)::INT AS ord FROM fi")
+def c1_spanish_final(t):
+    return C.spanish_final(_valid(t), S.pair_counts(_train(t)))
+
+
+_IT3 = ", m AS (" + _best("tr", _T["T2"]) + f"""), vo AS (SELECT DISTINCT lang, norm AS word FROM tr), w AS (SELECT DISTINCT lang, raw FROM pairs WHERE fold = 0), {_values("rd", "raw, cand", [(k, v) for k, v in T.IT_RANKER_DIACRITIC.items() if k == k.lower()])}, {_values("ra", "raw, cand", T.IT_RANKER_ABBREV.items())},
+rp AS (SELECT lang, raw, cand, i FROM (SELECT lang, raw, unnest([{_runs('raw', 1)}, {_runs('raw', 2)}]) AS cand, unnest([0, 1]) AS i FROM w) z WHERE cand <> raw AND (EXISTS (SELECT 1 FROM vo WHERE vo.lang = z.lang AND vo.word = z.cand) OR EXISTS (SELECT 1 FROM vo WHERE vo.lang = z.lang AND vo.word = lower(z.cand)))),
+al AS (SELECT lang, raw, raw AS cand, 'raw' AS source, 0 AS o FROM w UNION ALL SELECT lang, raw, pred, 'mfr', 1 FROM m SEMI JOIN w USING (lang, raw) WHERE NOT {_K3('raw')} UNION ALL SELECT w.lang, w.raw, cand, 'diacritic', 3 FROM w JOIN rd USING (raw) WHERE NOT {_K3('raw')} UNION ALL SELECT lang, raw, cand, 'repeat', 4 + i FROM rp WHERE NOT {_K3('raw')} UNION ALL SELECT w.lang, w.raw, cand, 'abbrev', 6 FROM w JOIN ra USING (raw) WHERE NOT {_K3('raw')}),
+fi AS (SELECT lang, raw, cand, arg_min(source, o) AS source, min(o) AS o FROM al GROUP BY ALL)
+SELECT lang, raw, cand, source, (row_number() OVER (PARTITION BY lang, raw ORDER BY o) - 1)::INT AS ord FROM fi"""
+
+
+@_query(_IT3)
+def c3_italian_ranker(t):
+    """Words of the corpus are in lower case, so the case-folded dictionary repeats the exact one."""
+    return C.italian_ranker(_valid(t), S.pair_counts(_train(t)))
+
+
+def c6_monoise(t):
+    """Rows only: nine sources over four keys; each source has its own test."""
+    return C.monoise(_valid(t), S.pair_counts(_train(t)), extended=True).select("lang", "raw", "cand", F.array_join("sources", ",").alias("sources"), "ord")
+
+
+def c12_korean_rules(t):
+    return C.korean_rules(t)
+
+
+def m4_italian_detector(t):
+    return M.italian_detector(_valid(t), S.pair_counts(_train(t)))
+
+
+def m5_italian_ranker(t):
+    counts = S.pair_counts(_train(t))
+    tokens = _valid(t).withColumn("caps_ratio", F.lit(0.0))
+    return M.italian_ranker(tokens, C.italian_ranker(tokens, counts), counts)
+
+
+def m7_accept_pairs(t):
+    counts = S.pair_counts(_train(t))
+    cands = C.monoise(_valid(t), counts).withColumn("score", _score())
+    return M.accept_features(D.accept_pairs(cands, S.most_frequent(counts)), counts).drop("sources", "base_sources")
+
+
+def m9_japanese_detector(t):
+    return M.japanese_detector(_valid(t), S.pair_counts(_train(t)))
+
+
+def m10_thai_features(t):
+    return M.thai_features(_valid(t), S.pair_counts(_train(t))).select("sent_id", "pos", "lang", "raw", *M.THAI_FEATURES)
+
+
+def h2_text_classifier(t):
+    """Probability that a word of the hold-out changes, from its letters."""
+    rows = G.thin_unchanged(_train(t), 0.2).select(F.col("raw").alias("text"), (F.col("raw") != F.col("norm")).cast("double").alias("label"))
+    score = H.fit_text_classifier(rows, features=1 << 12, positive=3.5)
+    return score(_valid(t).select("lang", F.col("raw").alias("text")).distinct()).select("lang", "text", F.round("p", 6).alias("p"))
+
+
+def g8_corrupted(t):
+    return G.corrupt_thai(_valid(t).select("sent_id", "pos", "raw"))
+
+
+for _f in (c6_monoise, c12_korean_rules, m4_italian_detector, m5_italian_ranker, m7_accept_pairs, m9_japanese_detector, m10_thai_features, h2_text_classifier, g8_corrupted):
+    _query()(_f)
+
+
+@_query(", m AS (" + _best("tr", _T["T2"]) + rf""") SELECT p.sent_id, p.pos, p.lang, p.raw, lower(p.raw) AS tok, lower(prev) AS prev1, lower(next) AS next1, lower(prev) || '|' || lower(p.raw) AS prev_bigram, lower(p.raw) || '|' || lower(next) AS next_bigram, length(p.raw)::INT AS len, round(p.pos / greatest(p.size - 1, 1), 6) AS pos_rel, {_LOW('p.raw')}::INT AS is_lower, {_UP('p.raw')}::INT AS is_upper,
+ regexp_matches(p.raw, '\p{{L}}')::INT AS has_alpha, regexp_matches(p.raw, '\p{{Nd}}')::INT AS has_digit, regexp_matches(p.raw, '[^\p{{L}}\p{{N}}]')::INT AS has_punct, regexp_matches(lower(p.raw), 'http|www|\.com')::INT AS has_url_piece, ({_coll('p.raw', 1)} <> p.raw)::INT AS repeated_char, round(len(regexp_extract_all(p.raw, '\p{{L}}')) / greatest(length(p.raw), 1), 6) AS alpha_ratio,
+ round(len(regexp_extract_all(p.raw, '[^\p{{L}}\p{{N}}]')) / greatest(length(p.raw), 1), 6) AS punct_ratio, (m.pred IS NOT NULL)::INT AS mfr_seen, coalesce((m.pred <> p.raw)::INT, 0) AS mfr_would_change, lower(coalesce(m.pred, p.raw)) AS mfr_pred, CASE WHEN length(p.raw) >= 4 THEN left(lower(p.raw), 4) END AS prefix4, CASE WHEN length(p.raw) >= 2 THEN right(lower(p.raw), 2) END AS suffix2 FROM pairs p LEFT JOIN m USING (lang, raw) WHERE p.fold = 0""")
+def m8_croatian_detector(t):
+    f = M.croatian_detector(_valid(t), S.most_frequent(S.pair_counts(_train(t))))
+    return f.select("sent_id", "pos", "lang", "raw", "tok", "prev1", "next1", "prev_bigram", "next_bigram", "len", "pos_rel", "is_lower", "is_upper", "has_alpha", "has_digit", "has_punct", "has_url_piece", "repeated_char", "alpha_ratio", "punct_ratio", "mfr_seen", "mfr_would_change", "mfr_pred", "prefix4", "suffix2")
+
+
+@_query(", m AS (" + _best("tr", _T["T2"]) + rf"""), ek AS (SELECT lang, raw, {_es_key('raw')} AS key FROM (SELECT DISTINCT lang, raw FROM pairs)), kc AS (SELECT lang, key, norm, sum(n)::BIGINT AS n, '' AS raw FROM tr JOIN ek USING (lang, raw) GROUP BY lang, key, norm), kb AS ({_best('kc', 'n DESC, norm', 'lang, key')})
+SELECT p.sent_id, p.pos, p.lang, p.raw, p.raw AS raw_lower, ek.key, {_SHAPE_RAW.replace('raw', 'p.raw')} AS shape, least(length(p.raw), 30)::INT AS len, least(len(regexp_extract_all(p.raw, '\p{{L}}')), 30)::INT AS letters, least(len(regexp_extract_all(p.raw, '\p{{Nd}}')), 30)::INT AS digits, least(len(regexp_extract_all(p.raw, '[^\p{{L}}\p{{N}}]')), 30)::INT AS punct, {_K2('p.raw')}::INT AS is_protected, ({_coll('p.raw', 2)} <> p.raw)::INT AS has_long_repetition,
+ {_LOW('p.raw')}::INT AS is_all_lower, regexp_matches(p.raw, '[kqxw]')::INT AS has_kqxw, (m.total IS NOT NULL)::INT AS raw_seen, least(coalesce(m.total, 0), 10)::BIGINT AS raw_total, coalesce(round((m.total - m.copy) / m.total, 6), 0) AS raw_change_prob, coalesce(round(m.copy / m.total, 6), 0) AS raw_copy_prob, coalesce((m.pred = p.raw)::INT, 0) AS raw_best_is_copy, coalesce(round(m.best_count / m.total, 6), 0) AS raw_best_prob,
+ (kb.total IS NOT NULL)::INT AS key_seen, least(coalesce(kb.total, 0), 10)::BIGINT AS key_total, round(coalesce(kb.best_count / kb.total, 0), 6) AS key_best_prob, coalesce((kb.pred = p.raw)::INT, 0) AS key_best_is_raw, left(ek.key, 3) AS prefix3, right(ek.key, 1) AS suffix1 FROM pairs p JOIN ek USING (lang, raw) LEFT JOIN m USING (lang, raw) LEFT JOIN kb ON kb.lang = p.lang AND kb.key = ek.key WHERE p.fold = 0""")
+def m1_spanish_detector(t):
+    f = M.spanish_detector(_valid(t), S.pair_counts(_train(t)))
+    names = "raw_lower key shape len letters digits punct is_protected has_long_repetition is_all_lower has_kqxw raw_seen raw_total raw_change_prob raw_copy_prob raw_best_is_copy raw_best_prob key_seen key_total key_best_prob key_best_is_raw prefix3 suffix1".split()
+    return f.select("sent_id", "pos", "lang", "raw", *names)
+
+
+_M6 = f""", w AS (SELECT DISTINCT lang, raw FROM pairs WHERE fold = 0), fr AS (SELECT * FROM w WHERE NOT {_K1('raw')}), ak AS (SELECT lang, raw, {_key('raw')} AS key FROM (SELECT DISTINCT lang, raw FROM pairs)), kt AS (SELECT lang, key, norm, sum(n) AS n FROM tr JOIN ak USING (lang, raw) GROUP BY ALL), ct AS (SELECT lang, lower(norm) AS key, norm, sum(n) AS n FROM tr GROUP BY ALL), vo AS (SELECT lang, norm, sum(n) AS n FROM tr GROUP BY ALL),
+lk AS (SELECT *, row_number() OVER (PARTITION BY lang, raw ORDER BY n DESC, norm) AS r FROM tr), kr AS (SELECT *, row_number() OVER (PARTITION BY lang, key ORDER BY n DESC, norm) AS r FROM kt), cr AS (SELECT *, row_number() OVER (PARTITION BY lang, key ORDER BY n DESC, norm) AS r FROM ct),
+{_values("ia", "raw, cand", [(k, c) for k, cs in T.IT_ABBREV.items() for c in cs])}, rp AS (SELECT DISTINCT lang, raw, unnest([{_coll('raw', 1)}, {_coll('raw', 2)}]) AS cand FROM fr),
+al AS (SELECT lang, raw, raw AS cand, 'original' AS source FROM w UNION ALL SELECT lang, raw, norm, 'lookup' FROM fr JOIN lk USING (lang, raw) WHERE r <= 8 UNION ALL SELECT lang, raw, norm, 'mfr' FROM fr JOIN lk USING (lang, raw) WHERE r = 1 UNION ALL SELECT fr.lang, fr.raw, norm, 'key' FROM fr JOIN ak USING (lang, raw) JOIN kr USING (lang, key) WHERE r <= 8 UNION ALL SELECT fr.lang, fr.raw, norm, 'case' FROM fr JOIN cr ON cr.lang = fr.lang AND cr.key = lower(fr.raw) WHERE r <= 8
+ UNION ALL SELECT fr.lang, fr.raw, cand, 'rule' FROM fr JOIN ia USING (raw) UNION ALL SELECT fr.lang, fr.raw, cand, 'rule_lower' FROM fr JOIN ia ON ia.raw = lower(fr.raw) UNION ALL SELECT rp.lang, rp.raw, rp.cand, 'repeat' FROM rp JOIN vo ON vo.lang = rp.lang AND vo.norm = rp.cand WHERE rp.cand <> rp.raw),
+mo AS (SELECT lang, raw, cand, list_sort(list(DISTINCT source)) AS sources FROM al GROUP BY ALL)
+"""
+
+
+@_query(_M6 + "SELECT lang, raw, cand, array_to_string(sources, ',') AS sources FROM mo")
+def c5_monoise(t):
+    return C.monoise(_valid(t), S.pair_counts(_train(t))).select("lang", "raw", "cand", F.array_join("sources", ",").alias("sources"))
+
+
+@_query(_M6 + f""", rt AS (SELECT lang, raw, sum(n) AS rt, sum(CASE WHEN norm = raw THEN n ELSE 0 END) AS cc FROM tr GROUP BY ALL), ks AS (SELECT lang, key, sum(n) AS kt FROM kt GROUP BY ALL), cs AS (SELECT lang, key, sum(n) AS ct FROM ct GROUP BY ALL),
+j AS (SELECT mo.*, ak.key, rt, cc, tr.n AS pc, kt.n AS kc, ks.kt AS kk, ct.n AS lc, cs.ct AS lt, vo.n AS f FROM mo JOIN ak USING (lang, raw) LEFT JOIN rt USING (lang, raw) LEFT JOIN tr ON tr.lang = mo.lang AND tr.raw = mo.raw AND tr.norm = mo.cand LEFT JOIN kt ON kt.lang = mo.lang AND kt.key = ak.key AND kt.norm = mo.cand LEFT JOIN ks ON ks.lang = mo.lang AND ks.key = ak.key
+ LEFT JOIN ct ON ct.lang = mo.lang AND ct.key = lower(mo.raw) AND ct.norm = mo.cand LEFT JOIN cs ON cs.lang = mo.lang AND cs.key = lower(mo.raw) LEFT JOIN vo ON vo.lang = mo.lang AND vo.norm = mo.cand)
+SELECT lang, raw, cand, (raw = cand)::INT AS is_original, list_contains(sources, 'lookup')::INT AS from_lookup, (list_contains(sources, 'rule') OR list_contains(sources, 'rule_lower'))::INT AS from_rule, len(sources)::INT AS num_sources, coalesce(rt > 0, false)::INT AS raw_seen, round(ln(1 + coalesce(rt, 0)), 6) AS raw_total_log, round(ln(1 + coalesce(pc, 0)), 6) AS pair_count_log, round(coalesce(pc / rt, 0), 6) AS pair_conf, round(coalesce(cc / rt, 0), 6) AS copy_conf,
+ round(ln(1 + coalesce(kc, 0)), 6) AS key_count_log, round(coalesce(kc / kk, 0), 6) AS key_conf, round(coalesce(lc / lt, 0), 6) AS case_conf, round(ln(1 + coalesce(f, 0)), 6) AS cand_freq_log, (key = {_key('cand')})::INT AS same_key, (lower({_bare('raw')}) = lower({_bare('cand')}))::INT AS same_accentless, least({_lev('left(lower(raw), 64)', 'left(lower(cand), 64)')}, 10)::INT AS edit_distance, least(abs(length(raw) - length(cand)), 40)::INT AS len_diff, {_ORDERED}::INT AS chars_order_preserved FROM j""")
+def m6_monoise_features(t):
+    counts = S.pair_counts(_train(t))
+    names = "is_original from_lookup from_rule num_sources raw_seen raw_total_log pair_count_log pair_conf copy_conf key_count_log key_conf case_conf cand_freq_log same_key same_accentless edit_distance len_diff chars_order_preserved".split()
+    return M.monoise_features(C.monoise(_valid(t), counts), counts).select("lang", "raw", "cand", *names)
+
+
+@_query(_PICK + ", b AS (SELECT lang, raw, cand, source, score, ord FROM (SELECT lang, raw, cand, ord, score, CASE WHEN ord = 1 THEN 'first' ELSE 'other' END AS source FROM sc)) SELECT lang, raw, cand, source, score, ord FROM b WHERE cand <> raw")
+def x4_max_score(t):
+    """Each candidate twice, the second time with half its score: the higher stays; copies are taken out."""
+    s = _scored(t).withColumn("source", F.when(F.col("ord") == 1, "first").otherwise("other"))
+    twice = s.unionByName(s.withColumns({"score": F.col("score") / 2, "source": F.lit("half"), "ord": F.col("ord") + 100}))
+    return C.without_copy(C.best_score(twice)).select("lang", "raw", "cand", "source", "score", "ord")
+
+
+_SET = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+@_query(_M6 + f"SELECT lang, raw, cand, len(sources)::INT AS num_sources, (len(list_filter(sources, lambda s: NOT list_contains({_SET(T.WEAK_SOURCES)}, s))) = 0)::INT AS weak_only, list_has_any(sources, {_SET(T.STRONG_SOURCES)})::INT AS has_strong, list_contains(sources, 'lookup')::INT AS has_lookup, list_contains(sources, 'mfr')::INT AS has_mfr, list_has_any(sources, ['rule', 'rule_lower'])::INT AS has_rule, list_contains(sources, 'repeat')::INT AS has_repeat, list_contains(sources, 'case')::INT AS has_case, list_contains(sources, 'key')::INT AS has_key, 0 AS has_diacritic FROM mo")
+def x5_source_sets(t):
+    c = C.monoise(_valid(t), S.pair_counts(_train(t)))
+    return c.select("lang", "raw", "cand", *(v.alias(k) for k, v in C.source_sets(F.col("sources")).items()))
+
+
+@_query(_EV + ", k AS (SELECT *, CASE WHEN raw = norm AND pred <> raw THEN 'false' WHEN raw <> norm AND pred = raw THEN 'missed' END AS kind FROM ev), r AS (SELECT lang, kind, row_number() OVER (PARTITION BY lang, kind ORDER BY sent_id, pos)::INT AS rank, sent_id, pos, raw, norm, pred FROM k WHERE kind IS NOT NULL) SELECT * FROM r WHERE rank <= 20")
+def l4_error_listing(t):
+    return E.error_listing(_evaluated(t))
+
+
+@_query(_EV + f", c AS (SELECT lang, raw, norm, pred, {_class('pred')} AS category FROM ev WHERE raw <> pred), n AS (SELECT lang, count(*) AS a FROM ev GROUP BY lang) SELECT c.lang, category, count(*) AS changed, sum((pred = norm)::INT)::BIGINT AS correct, round(count(*) / any_value(a), 6) AS share FROM c JOIN n USING (lang) GROUP BY c.lang, category")
+def e9_change_summary(t):
+    return E.change_summary(_evaluated(t))
+
+
+@_query(", i AS (SELECT lang, 'raw' AS kind, raw AS item FROM pairs UNION ALL SELECT lang, 'norm', norm FROM pairs UNION ALL SELECT lang, 'change', raw || ' -> ' || norm FROM pairs WHERE raw <> norm), c AS (SELECT lang, kind, item, count(*) AS n FROM i GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang, kind ORDER BY n DESC, item)::INT AS rank FROM c) SELECT * FROM r WHERE rank <= 20")
+def a20_top_words(t):
+    return E.top_words(t)
+
+
+@_query(_EV + ", f AS (SELECT lang, sent_id % 3 AS part, count(*) AS t, sum((raw = norm)::INT) AS s, sum((pred = norm)::INT) AS c FROM ev GROUP BY ALL) SELECT lang, count(*) AS folds, round(avg(round(s / t, 6)), 6) AS lai, round(avg(round(c / t, 6)), 6) AS accuracy, round(avg(round(coalesce((c - s) / nullif(t - s, 0), 0), 6)), 6) AS err FROM f GROUP BY lang")
+def e14_fold_means(t):
+    parts = _evaluated(t).withColumn("part", F.pmod("sent_id", F.lit(3)))
+    return E.fold_means(E.metrics(parts, ("lang", "part")))
+
+
+_GRID = [round(0.2 + 0.1 * i, 1) for i in range(8)]
+_GRID_SQL = ", ".join(map(str, _GRID))
+
+
+@_query(f", g AS (SELECT unnest([{_GRID_SQL}]::DOUBLE[]) AS threshold), s AS (SELECT lang, threshold, sum((raw <> norm AND {_P} >= threshold)::INT) AS tp, sum((raw = norm AND {_P} >= threshold)::INT) AS fp, sum((raw <> norm AND {_P} < threshold)::INT) AS fn FROM pairs, g WHERE fold = 0 GROUP BY ALL), f AS (SELECT lang, threshold, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM s) SELECT lang, threshold, f1 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY f1 DESC, threshold) AS rn FROM f) WHERE rn = 1")
+def h9_best_threshold(t):
+    return E.best_threshold(E.threshold_sweep(_valid(t).withColumn("p", _p()), "p", _GRID))
+
+
+_SWEEP = _EV + f", g AS (SELECT unnest([{_GRID_SQL}]::DOUBLE[]) AS threshold), x AS (SELECT *, CASE WHEN {_P} >= threshold THEN pred ELSE raw END AS p2 FROM ev, g), s AS (SELECT lang, threshold, count(*) AS total, sum((raw <> norm)::INT)::BIGINT AS changed, sum((p2 = norm)::INT)::BIGINT AS correct, sum((raw = norm AND p2 <> raw)::INT)::BIGINT AS false_pos FROM x GROUP BY ALL), z AS (SELECT *, round(coalesce((correct - (total - changed)) / nullif(changed, 0), 0), 6) AS err, round(correct / total, 6) AS accuracy FROM s)\n"
+
+
+def _swept(t):
+    return E.error_sweep(_evaluated(t).withColumn("p", _p()), "p", "pred", _GRID)
+
+
+@_query(_SWEEP + "SELECT * FROM z")
+def h10_error_sweep(t):
+    return _swept(t)
+
+
+@_query(_SWEEP + "SELECT lang, threshold, err FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY err DESC, accuracy DESC, false_pos, threshold) AS rn FROM z) WHERE rn = 1")
+def h10_best_error_threshold(t):
+    return E.best_error_threshold(_swept(t))
+
+
+@_query(_EV + f", g AS (SELECT unnest([0.3, 0.5, 0.7]::DOUBLE[]) AS threshold), k AS (SELECT 'all' AS config UNION ALL SELECT 'short'), x AS (SELECT *, sent_id % 3 AS part, CASE WHEN {_P} >= threshold AND (config = 'all' OR length(raw) <= 6) THEN pred ELSE raw END AS p2 FROM ev, g, k), f AS (SELECT lang, config, threshold, part, count(*) AS t, sum((raw = norm)::INT) AS s, sum((p2 = norm)::INT) AS c FROM x GROUP BY ALL), m AS (SELECT lang, config, threshold, round(avg(round(coalesce((c - s) / nullif(t - s, 0), 0), 6)), 6) AS err, round(avg(round(c / t, 6)), 6) AS accuracy FROM f GROUP BY ALL) SELECT lang, config, threshold, err, accuracy FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY err DESC, accuracy DESC, config, threshold) AS rn FROM m) WHERE rn = 1")
+def h11_select_config(t):
+    base = _evaluated(t).withColumns({"p": _p(), "part": F.pmod("sent_id", F.lit(3))})
+    out = None
+    for config, ok in (("all", F.lit(True)), ("short", F.length("raw") <= 6)):
+        for limit in (0.3, 0.5, 0.7):
+            used = base.withColumn("pred", F.when((F.col("p") >= limit) & ok, F.col("pred")).otherwise(F.col("raw")))
+            part = E.metrics(used, ("lang", "part")).withColumns({"config": F.lit(config), "threshold": F.lit(limit)})
+            out = part if out is None else out.unionByName(part)
+    return H.select_config(out)
+
+
+@_query(_MFR + ", e AS (SELECT p.sent_id, p.pos, p.lang, p.raw, coalesce(m.pred, p.raw) AS m FROM pairs p LEFT JOIN mfr m USING (lang, raw) WHERE p.fold = 0) SELECT sent_id, pos, lang, raw, CASE WHEN lang = 'en' THEN raw ELSE m END AS pred, CASE WHEN lang = 'en' OR m = raw THEN 'copy' ELSE 'mfr' END AS decision, CASE WHEN lang = 'en' THEN 'copy' ELSE 'mfr' END AS policy FROM e")
+def p6_registry(t):
+    """English copies, Spanish asks for a hybrid without a detector and degrades, others have the default."""
+    return D.run(_valid(t), D.Resources(S.pair_counts(_train(t))), {"en": "copy", "es": "hybrid"})
+
+
+@_query(", x AS (SELECT sent_id, pos, lang, raw, norm, CASE WHEN prev = '<BOS>' THEN '' ELSE prev END || ' ' || raw || ' ' || CASE WHEN next = '<EOS>' THEN '' ELSE next END AS text FROM pairs) SELECT sent_id, pos, lang, text FROM x")
+def m13_neighbour_text(t):
+    return t.select("sent_id", "pos", "lang", M.neighbour_text(t).alias("text"))
+
+
+@_query("SELECT sent_id, pos, lang, raw, CASE WHEN prev = '<BOS>' THEN '^' ELSE prev END AS prev, CASE WHEN next = '<EOS>' THEN '$' ELSE next END AS next FROM pairs WHERE lang IN ('de', 'fr')")
+def p1_language_and_anchors(t):
+    from lexweave.sources.sentences import of_language, with_sentinels
+
+    return with_sentinels(of_language(t, "de", "fr"), "anchors").select("sent_id", "pos", "lang", "raw", "prev", "next")
+
+
+@_query("SELECT sent_id, pos, lang, raw, coalesce(concat_ws(' ', lag(raw, 3) OVER w, lag(raw, 2) OVER w, lag(raw, 1) OVER w), '') AS \"left\", coalesce(concat_ws(' ', lead(raw, 1) OVER w, lead(raw, 2) OVER w, lead(raw, 3) OVER w), '') AS \"right\" FROM pairs WINDOW w AS (PARTITION BY sent_id ORDER BY pos)")
+def w3_wide_context(t):
+    """Three neighbours on each side, from the sentence's array by the window of its token."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("sent_id").orderBy("pos")
+    near = lambda f, ks: F.concat_ws(" ", *(f("raw", k).over(w) for k in ks))
+    return t.select("sent_id", "pos", "lang", "raw", near(F.lag, (3, 2, 1)).alias("left"), near(F.lead, (1, 2, 3)).alias("right"))
