@@ -146,12 +146,12 @@ def _starts(data: DataFrame, centre: DataFrame, keys: list[str], p: int) -> Data
     scales = centre.select(*keys, *(f"__w{i}" for i in range(p)))
 
     def run(batches):
-        for pdf in batches:
-            n = np.maximum(pdf["__n"].to_numpy(float), 1)
-            square = lambda name: _square(pdf, name, p) / n[:, None, None]
-            mean = _columns(pdf, "__t", p) / n[:, None]
+        for b in batches:
+            n = np.maximum(_numbers(b, "__n"), 1)
+            square = lambda name: _square(b, name, p) / n[:, None, None]
+            mean = _columns(b, "__t", p) / n[:, None]
             full = square("__t") - mean[:, :, None] * mean[:, None, :]
-            scale = np.maximum(_columns(pdf, "__w", p), 1e-6)
+            scale = np.maximum(_columns(b, "__w", p), 1e-6)
             # Directions have no length: each axis takes the quartiles' scale.
             way = square("__d")
             way = way * (scale[:, :, None] * scale[:, None, :]) * p
@@ -159,32 +159,34 @@ def _starts(data: DataFrame, centre: DataFrame, keys: list[str], p: int) -> Data
             eye = np.broadcast_to(np.eye(p), full.shape)
             tiny = 1e-9 * eye
             for start, (m, c) in enumerate([(none, eye), (none, eye * scale[:, :, None] ** 2), (mean, full + tiny), (none, way + tiny)]):
-                yield _model(pdf[keys], start, m, np.linalg.pinv(c, hermitian=True), None)
+                yield _model(b, keys, np.full(len(n), start), m, np.linalg.pinv(c, hermitian=True), None)
 
-    return sums.join(scales, keys).mapInPandas(run, _model_schema(data, keys, p))
+    return stored(sums.join(scales, keys), "sums").mapInArrow(run, _model_schema(data, keys, p))
 
 
-def _columns(pdf, name: str, p: int) -> np.ndarray:
-    return np.stack([pdf[f"{name}{i}"].to_numpy(float) for i in range(p)], 1) if len(pdf) else np.zeros((0, p))
+def _numbers(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(name).to_numpy(zero_copy_only=False).astype(float)
 
 
-def _square(pdf, name: str, p: int) -> np.ndarray:
-    out = np.zeros((len(pdf), p, p))
-    for i, j in _pairs(p):
-        out[:, i, j] = out[:, j, i] = pdf[f"{name}{i}_{j}"].to_numpy(float)
-    return out
+def _columns(b: pa.RecordBatch, name: str, p: int) -> np.ndarray:
+    return np.stack([_numbers(b, f"{name}{i}") for i in range(p)], 1)
 
 
-def _model(keyed, start, mean: np.ndarray, inverse: np.ndarray, log_det: np.ndarray | None):
-    out, p = keyed.copy(), mean.shape[1]
-    out["start"], out["__q"] = start, log_det
-    for i in range(p):
-        out[f"__m{i}"] = mean[:, i]
+def _square(b: pa.RecordBatch, name: str, p: int) -> np.ndarray:
+    out = np.zeros((b.num_rows, p, p))
     for i, j in _pairs(p):
-        out[f"__s{i}_{j}"] = inverse[:, i, j]
+        out[:, i, j] = out[:, j, i] = _numbers(b, f"{name}{i}_{j}")
     return out
 
 
+def _model(b: pa.RecordBatch, keys: list[str], start: np.ndarray, mean: np.ndarray, inverse: np.ndarray, log_det: np.ndarray | None) -> pa.RecordBatch:
+    p = mean.shape[1]
+    columns = {k: b.column(k) for k in keys} | {"start": pa.array(start.astype(np.int32))}
+    columns["__q"] = pa.nulls(b.num_rows, pa.float64()) if log_det is None else pa.array(log_det)
+    columns |= {f"__m{i}": pa.array(mean[:, i]) for i in range(p)} | {f"__s{i}_{j}": pa.array(inverse[:, i, j]) for i, j in _pairs(p)}
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 def _model_schema(data: DataFrame, keys: list[str], p: int) -> T.StructType:
     numbers = ["__q", *(f"__m{i}" for i in range(p)), *(f"__s{i}_{j}" for i, j in _pairs(p))]
     return T.StructType([*(data.schema[k] for k in keys), T.StructField("start", T.IntegerType()), *(T.StructField(x, T.DoubleType()) for x in numbers)])
@@ -218,16 +220,16 @@ def _distances(data: DataFrame, features: list[str], keys: list[str], support: f
         return d.withColumn("__d2", sum(((1 if i == j else 2) * F.col(f"__s{i}_{j}") * z[i] * z[j] for i, j in pairs), F.lit(0.0)))
 
     def step(batches):
-        for pdf in batches:
-            below, at = pdf["__h"].to_numpy(float), np.maximum(pdf["__e"].to_numpy(float), 1)
-            part = np.clip((np.ceil(support * pdf["__n"].to_numpy(float)) - below) / at, 0, 1)
+        for b in batches:
+            below, at = _numbers(b, "__h"), np.maximum(_numbers(b, "__e"), 1)
+            part = np.clip((np.ceil(support * _numbers(b, "__n")) - below) / at, 0, 1)
             n = np.maximum(below + part * at, 1)
-            mean = (_columns(pdf, "__t", p) + part[:, None] * _columns(pdf, "__u", p)) / n[:, None]
-            cov = (_square(pdf, "__t", p) + part[:, None, None] * _square(pdf, "__u", p)) / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
+            mean = (_columns(b, "__t", p) + part[:, None] * _columns(b, "__u", p)) / n[:, None]
+            cov = (_square(b, "__t", p) + part[:, None, None] * _square(b, "__u", p)) / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
             if prior:
                 cov = (cov * n[:, None, None] + (p + 1) * np.diag(np.square(prior))) / (n[:, None, None] + p + 1)
             cov += np.diag(np.square(floors or [0.02] * p))
-            yield _model(pdf[keys], pdf["start"].to_numpy(), mean, np.linalg.inv(cov), np.linalg.slogdet(cov)[1] if len(pdf) else np.zeros(0))
+            yield _model(b, keys, _numbers(b, "start"), mean, np.linalg.inv(cov), np.linalg.slogdet(cov)[1])
 
     y = [F.col(f"__y{i}") for i in range(p)]
     inner, edge = F.col("__d2") < F.col("__cut"), F.col("__d2") == F.col("__cut")
@@ -240,7 +242,8 @@ def _distances(data: DataFrame, features: list[str], keys: list[str], support: f
             *(F.sum(F.when(c, y[i]).otherwise(0.0)).alias(f"{name}{i}") for name, c in (("__t", inner), ("__u", edge)) for i in range(p)),
             *(F.sum(F.when(c, y[i] * y[j]).otherwise(0.0)).alias(f"{name}{i}_{j}") for name, c in (("__t", inner), ("__u", edge)) for i, j in pairs),
         )
-        new = stored(sums.mapInPandas(step, model.schema), "mcd")
+        # Sums are written first: reading them takes a few tasks, not one a shuffle partition, with Python.
+        new = stored(stored(sums, "sums").mapInArrow(step, model.schema), "mcd")
         was = model.select(*keys, "start", F.col("__q").alias("__was"))
         falls = new.join(was, [*keys, "start"]).where("__was is null or __was - __q > 1e-7").limit(1).count()
         model = new
