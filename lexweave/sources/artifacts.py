@@ -80,7 +80,7 @@ def save_splits(sentences: DataFrame, path: str, seed: int = 42, part: float = 0
 
     paths = f"{path.rstrip('/')}_train", f"{path.rstrip('/')}_valid"
     for df, p in zip(holdout(sentences, seed, part), paths):
-        df.write.mode("overwrite").partitionBy("lang").parquet(p)
+        df.write.mode("overwrite").parquet(p)
     return paths
 
 

@@ -202,7 +202,6 @@ def test_policies_and_gates(spark):
     t = C.tokens(sentences(spark, [("es", ["q", "w", "a"], None)]))
     d = P.mfr_first(t, S.most_frequent(counts), detector=F.when(F.col("raw") == "w", 0.9).otherwise(0.1), generated=F.lit("W")).orderBy("pos").collect()
     assert [(r["pred"], r["decision"]) for r in d] == [("que", "mfr"), ("W", "model"), ("a", "detector_copy")]
-    assert [r["policy"] for r in P.dispatch(t.limit(1).withColumn("lang", F.lit("xx"))).collect()] == ["mfr"]
 
 
 def test_oof_counts_equal_recounts(spark):
