@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, near_duplicates, packing, quality_model, quality_rules, substring_dedup, token_files, toxicity
+from . import byte_pairs, decontamination, html_text, language_id, near_duplicates, packing, quality_model, quality_rules, substring_dedup, token_files, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_packing": packing.op9_packing,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op12_byte_pairs": byte_pairs.op12_byte_pairs,
     }
 
 
