@@ -77,12 +77,14 @@ class Codec:
         self.n = max(self.tokens) + 1
         self.size = np.zeros(self.n, np.int64)
         self.shorter = np.full(self.n, -1, np.int64)  # the longest token that begins a token
+        self.byte = np.append(np.array([ranks[bytes([b])] for b in range(256)], np.int64), -1)
         self.starts = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k in self.made:
             token = self.tokens[k]
             self.size[k] = len(token)
             self.shorter[k] = next((x for i in range(len(token) - 1, 0, -1) if (x := ranks.get(token[:i], -1)) in self.made), -1)
-            self.starts.add_word(token[::-1].decode("latin-1"), k)
+            if len(token) > 1:
+                self.starts.add_word(token[::-1].decode("latin-1"), k)
         self.starts.make_automaton()
         self.memo_key = np.full(_MEMO, -1, np.int64)
         self.memo = np.zeros(_MEMO, bool)
@@ -119,10 +121,10 @@ class Codec:
             else:
                 return True
 
-    def _longest(self, text: str) -> np.ndarray:
-        """The longest token that starts at each character of a Latin-1 text (-1: none)."""
-        out, n = np.full(len(text), -1, np.int64), len(text)
-        found, seen = self.starts.iter(text[::-1]), -1
+    def _longest(self, text: np.ndarray) -> np.ndarray:
+        """The longest token that starts at each byte of a text; 256 in the text separates pieces (-1 there)."""
+        out, n = self.byte[text], len(text)
+        found, seen = self.starts.iter(text[::-1].tobytes().decode("utf-16-le")), -1
         while True:
             flat = np.fromiter(chain.from_iterable(islice(found, _SOME)), np.int64)
             if not len(flat):
@@ -149,21 +151,16 @@ class Codec:
             self.memo_key[at], self.memo[at] = new[one], known[one]
         return fit
 
-    def _short_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of pieces, step by step for all at once. ``ending`` holds the token that ends before a character."""
-        text = "\u0100".join(p.decode("latin-1") for p in pieces)
-        longest, sizes = self._longest(text), np.array([len(p) for p in pieces])
-        last = np.cumsum(sizes + 1) - 1
-        base = last - sizes
-        ending = np.full(len(text) + 1, -1, np.int64)
-        stuck = np.zeros(len(text) + 1, bool)
-        at, to = base.copy(), last
+    def _side_by_side(self, longest: np.ndarray, at: np.ndarray, to: np.ndarray, ending: np.ndarray) -> None:
+        """Encodes the pieces from ``at`` to ``to``, a step of all at once. ``ending`` gets the token that ends before a byte."""
+        stuck = np.zeros(len(ending), bool)
         token = longest[at]
         while len(at):
             back = np.flatnonzero(token < 0)
             if len(back):
                 stuck[at[back]] = True
                 gone = ending[at[back]]
+                ending[at[back]] = -1
                 at[back] -= self.size[gone]
                 token[back] = self.shorter[gone]
             before, end = ending[at], at + self.size[token]
@@ -176,26 +173,18 @@ class Codec:
             token = np.where(token < 0, -1, self.shorter[token])
             at[go] = end[go]
             going = at < to
-            token[go] = np.where(going[go], longest[np.minimum(at[go], len(longest) - 1)], 0)
+            token[go] = longest[np.minimum(at[go], len(longest) - 1)]
             at, to, token = at[going], to[going], token[going]
-        placed = np.flatnonzero((ending >= 0) & ~stuck)
-        ids = ending[placed].astype("<u4").tobytes()
-        cuts = (4 * np.searchsorted(placed, last, "right")).tolist()
-        return [ids[i:j] for i, j in zip([0, *cuts], cuts)]
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """The ids of the merges of one piece; a piece that is a token is that token. For long pieces: one token at a time."""
-        if (k := self.ranks.get(piece)) is not None:
-            return [k]
-        longest = self._longest(piece.decode("latin-1"))
+
+    def _by_itself(self, longest: np.ndarray, at: int, to: int, ending: np.ndarray) -> None:
+        """The same for one long piece, a token at a time."""
         size, shorter, pairs = self.size, self.shorter, self.pairs
         out: list[int] = []
-        stuck, at, n = bytearray(len(piece) + 1), 0, len(piece)
-        token = int(longest[0]) if n else -1
-        while at < n:
+        first, stuck, token = at, bytearray(to - at + 1), int(longest[at])
+        while at < to:
             while token >= 0:
                 end = at + int(size[token])
-                if not stuck[end]:
+                if not stuck[end - first]:
                     if not out:
                         break
                     pair = out[-1] * self.n + token
@@ -210,70 +199,89 @@ class Codec:
             if token >= 0:
                 out.append(token)
                 at = end
-                token = int(longest[at]) if at < n else -1
+                token = int(longest[at]) if at < to else -1
             else:
-                stuck[at] = 1
+                stuck[at - first] = 1
                 token = out.pop()
                 at -= int(size[token])
                 token = int(shorter[token])
-        return out
-
-    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Little-endian unsigned 32-bit ids of each piece."""
-        out, short, size = {}, [], 0
-        for i, p in enumerate(pieces):
-            raw = p.encode()
-            if (k := self.ranks.get(raw)) is not None:
-                out[p] = k.to_bytes(4, "little")
-            elif len(raw) > _SHORT:
-                out[p] = np.array(self.encode_piece(raw), "<u4").tobytes()
-            else:
-                short.append((p, raw))
-                size += len(raw)
-            if short and (size > _SOME or i == len(pieces) - 1):
-                out.update(zip((p for p, _ in short), self._short_pieces([raw for _, raw in short])))
-                short, size = [], 0
-        if short:
-            out.update(zip((p for p, _ in short), self._short_pieces([raw for _, raw in short])))
-        return out
-
-    def _matches(self, text: str):
-        """Pieces of a text in lists of bounded size."""
-        if len(text) <= _LONG:
-            yield self.pattern.findall(text)
-        else:
-            found = self.pattern.finditer(text)
-            while some := [m.group() for m in islice(found, _SOME)]:
-                yield some
+        ending[first + np.cumsum(size[out])] = out
+
+    def _flat(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in turn, and how many there are up to the end of each piece."""
+        raw = np.frombuffer("".join(pieces).encode(), np.uint8)
+        chars = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        stops = chars[np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))]
+        text = np.insert(raw.astype("<u2"), stops[:-1], 256)
+        to = stops + np.arange(len(pieces))
+        at = np.append(0, to[:-1] + 1)
+        ending = np.full(len(text) + 1, -1, np.int64)
+        longest = self._longest(text)
+        apart = to - at > _SHORT
+        if len(self.made) < len(self.ranks):  # a piece that is a token is that token, also if no merges make it
+            for i, p in enumerate(pieces):
+                k = self.ranks.get(p.encode(), -1)
+                if k >= 0 and k not in self.made:
+                    ending[to[i]], apart[i] = k, True
+        for i in np.flatnonzero(apart & (ending[to] < 0)).tolist():
+            self._by_itself(longest, int(at[i]), int(to[i]), ending)
+        self._side_by_side(longest, at[~apart], to[~apart], ending)
+        placed = np.flatnonzero(ending >= 0)
+        return ending[placed].astype("<u4"), np.searchsorted(placed, to, "right")
 
     def _encode_whole(self, texts: list[str]) -> list[bytes]:
-        """Texts to pieces and ids, without the words' cache."""
-        split, seen = [], set()
+        """Ids of texts without the words' cache."""
+        out, some, size = [], [], 0
+
+        def flush():
+            nonlocal size
+            if some:
+                split = [self.pattern.findall(t) for t in some]
+                pieces = [p for s in split for p in s]
+                ids, ends = self._flat(pieces) if pieces else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+                cuts = np.append(0, ends)[np.cumsum([0, *map(len, split)])].tolist()
+                out.extend(ids[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:]))
+                some.clear()
+                size = 0
+
         for t in texts:
             if len(t) > _LONG:
-                out = []
-                for pieces in self._matches(t):
-                    ids = self.encode_pieces(list(set(pieces)))
-                    out.append(b"".join(map(ids.__getitem__, pieces)))
-                split.append(b"".join(out))
+                flush()
+                found, parts = self.pattern.finditer(t), []
+                while pieces := [m.group() for m in islice(found, _SOME)]:
+                    parts.append(self._flat(pieces)[0].tobytes())
+                out.append(b"".join(parts))
             else:
-                split.append(self.pattern.findall(t))
-                seen.update(split[-1])
-        ids = self.encode_pieces(list(seen))
-        return [x if isinstance(x, bytes) else b"".join(map(ids.__getitem__, x)) for x in split]
+                some.append(t)
+                size += len(t)
+                if size > _LONG:
+                    flush()
+        flush()
+        return out
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """After it ``young`` has all ``words`` (each stands for itself after a space) but the long ones, which are returned. Words not asked for during a generation are forgotten."""
         if len(self.young) > _WORDS:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
+        young, old, long = self.young, self.old, {}
         missing = [w for w in words if w not in young]
         young.update((w, old[w]) for w in missing if w in old)
-        new = [w for w in missing if w not in old]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            young.update(zip(part, self._encode_whole([" " + w for w in part])))
-        return {w: young.pop(w) for w in new if len(w) > _KEPT}
+        new = []
+        for w in missing:
+            if w not in young:
+                if len(w) <= _KEPT:
+                    new.append(w)
+                else:
+                    long[w] = self._encode_whole([" " + w])[0]
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            pieces = self.pattern.findall(" " + " ".join(part))
+            ids, ends = self._flat(pieces)
+            chars = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            last = np.searchsorted(chars, np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1))
+            cuts, raw = (4 * np.append(0, ends[last])).tolist(), ids.tobytes()
+            young.update((w, raw[i:j]) for w, i, j in zip(part, cuts[:-1], cuts[1:]))
+        return long
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, none of a null one."""
