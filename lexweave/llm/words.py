@@ -28,6 +28,10 @@ IS_SEP = np.zeros(256, bool)
 IS_SEP[list(SEPARATORS)] = True
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x2545F4914F6CDD1D))
 _BYTE[IS_SEP] = 0
+#: Letters and digits of ASCII and all other characters make terms; A to Z count as a to z.
+TERM_SEP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_TERM_BYTE = mix(np.array([b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], _U) * _U(0x2545F4914F6CDD1D))
+_TERM_BYTE[TERM_SEP] = 0
 _P = 0x5851F42D4C957F2D
 _P_INV = pow(_P, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -68,10 +72,15 @@ def doc_slices(offs: np.ndarray, limit: int = 2 << 20):
         i = j
 
 
-def hash_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hash_terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same as ``hash_words`` for terms: runs of letters, digits and characters beyond ASCII, in lower case within ASCII."""
+    return hash_words(data, offs, TERM_SEP, _TERM_BYTE)
+
+
+def hash_words(data: np.ndarray, offs: np.ndarray, is_sep: np.ndarray = IS_SEP, values: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word, and each document's first word (one more entry at the end)."""
     n = len(data)
-    sep = IS_SEP[data]
+    sep = is_sep[data]
     head = np.empty(n, bool)
     if n:
         head[0] = True
@@ -93,7 +102,7 @@ def hash_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
         z = max(w + 1, int(np.searchsorted(starts, base + _SLICE, "left")))
         stop = int(starts[z]) if z < len(starts) else n
         p, inv = _table(max(_SLICE + 1, stop - int(base)))
-        part = _BYTE[data[base:stop]]
+        part = values[data[base:stop]]
         part *= p[: stop - base]
         at = starts[w:z] - base
         out[w:z] = mix(np.add.reduceat(part, at) * inv[at])
