@@ -9,10 +9,10 @@ what the anchor has found so far, or which lie beyond the wanted range, are
 discarded early, and the rest is verified by integer products. How well the
 sample fits decides the work, never the result.
 
-Anchors, in blocks, meet all rows, in blocks: rows are dealt to groups and
-every group gets all blocks of anchors (an equality join on the group), so no
-side is collected and memory is that of two blocks and the best rows of the
-anchors that a task has met.
+Anchors, in blocks, meet all rows, in blocks: a few megabytes of anchors are
+broadcast, more are shuffled to groups of rows (an equality join on the group),
+so memory is that of two blocks and the best rows of the anchors that a task
+has met.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import bounded_batches, partitions, stored
+from .runtime import beside, bounded_batches, stored
 
 BLOCK = 1024
 _SLICE = 256  # rows of a block that are compared at once, so that bounds tighten soon
@@ -157,12 +157,14 @@ class Best:
         self.score[query, rank], self.id[query, rank], self.uid[query, rank] = score[order], row_id[order], uid[order]
 
 
-def _grid(anchors: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every block of anchors beside every block of rows; the latter are dealt to groups, the former go to each of them."""
-    groups = partitions(rows.sparkSession)
-    x = rows.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    a = anchors.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return a.select("g", F.struct(*anchors.columns).alias("a")).join(x.select("g", F.struct(*rows.columns).alias("x")), "g").select("a", "x")
+def _grid(anchors: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """Every block of anchors beside every block of rows."""
+    a, x = anchors.select(F.struct(*anchors.columns).alias("a")), rows.select("block", F.struct(*rows.columns).alias("x"))
+    return beside(x, "block", a, size).select("a", "x")
+
+
+def _size(anchors: DataFrame) -> int:
+    return 8 * (anchors.agg(F.sum(F.size("parts") + 4)).first()[0] or 0)
 
 
 def _search(grid: DataFrame, axes: np.ndarray, schema: str, begin, compare, emit) -> DataFrame:
@@ -213,7 +215,7 @@ def positives(anchors: DataFrame, rows: DataFrame, axes: np.ndarray, k: int = 5)
         i, slot = np.nonzero(best.uid >= 0)
         return pa.RecordBatch.from_arrays([pa.array(v) for v in (a.uid[i], a.id[i], best.id[i, slot], best.uid[i, slot], best.score[i, slot])], ["anchor_uid", "anchor_id", "row_id", "row_uid", "score"])
 
-    found = _search(_grid(_blocks(anchors), _blocks(rows)), axes, "anchor_uid long, anchor_id long, row_id long, row_uid long, score long", begin, compare, emit)
+    found = _search(_grid(_blocks(anchors), _blocks(rows), _size(anchors)), axes, "anchor_uid long, anchor_id long, row_id long, row_uid long, score long", begin, compare, emit)
     return _ranked(found, ["anchor_uid"], k, "place")
 
 
@@ -255,7 +257,7 @@ def negatives(anchors: DataFrame, rows: DataFrame, found: DataFrame, axes: np.nd
         return pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["anchor_uid", "anchor_id", "place", "positive_id", "positive_score", "row_id", "row_uid", "score"])
 
     schema = "anchor_uid long, anchor_id long, place long, positive_id long, positive_score long, row_id long, row_uid long, score long"
-    return _ranked(_search(_grid(blocks, _blocks(rows)), axes, schema, begin, compare, emit), ["anchor_uid", "place"], k, "rank")
+    return _ranked(_search(_grid(blocks, _blocks(rows), _size(anchors)), axes, schema, begin, compare, emit), ["anchor_uid", "place"], k, "rank")
 
 
 def _asking_blocks(asking: DataFrame) -> DataFrame:

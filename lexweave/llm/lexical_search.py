@@ -12,8 +12,8 @@ of the item's k-th best score are left out: what remains is exact.
 
 Terms are told by 64-bit hashes. The index is Parquet, a row for each shard:
 lexicon, bit vectors and impacts; statistics of terms read the lexicon only.
-Queries come in blocks, beside which Spark puts each shard (an equality join
-on a group, broadcast or dealt as sizes allow).
+Queries come in blocks, beside which Spark puts each shard: broadcast where
+they are a few megabytes, else shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .runtime import bounded_batches, partitions, stored
+from .runtime import beside, bounded_batches, stored
 
 SHARD_BYTES = 8 << 20
 ITEMS = 256  # of a block of queries
@@ -159,17 +159,10 @@ def query_terms(items: DataFrame) -> DataFrame:
     return stored(_texts(items, "item_id").mapInArrow(run, "item long, item_id long, block long, term long, repeats long"), "query-terms")
 
 
-def _beside(index: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Each shard beside each block of queries."""
-    groups = partitions(index.sparkSession)
-    shards = index.withColumn("g", F.pmod(F.xxhash64("shard"), F.lit(groups)))
-    asked = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return shards.join(asked, "g").drop("g")
-
-
 def document_frequencies(index: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, df`` for the terms of ``query_terms``, from the shards' lexicons alone."""
     blocks = terms.groupBy("block").agg(F.collect_set("term").alias("asked"))
+    size = 8 * terms.count()
 
     def run(batches):
         held: dict = {}
@@ -185,7 +178,7 @@ def document_frequencies(index: DataFrame, terms: DataFrame) -> DataFrame:
                 there = np.flatnonzero(lexicon[np.minimum(at, len(lexicon) - 1)] == asked) if len(lexicon) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(asked[there].view(np.int64)), pa.array(np.diff(starts)[at[there]]), pa.array(np.full(len(there), row["block"][0]))], ["term", "n", "block"])
 
-    counted = _beside(index.select("shard", "terms", "starts"), blocks).select("terms", "starts", "block", "asked").mapInArrow(run, "term long, n long, block long")
+    counted = beside(index.select("shard", "terms", "starts"), "shard", blocks, size).select("terms", "starts", "block", "asked").mapInArrow(run, "term long, n long, block long")
     # a term of several blocks is counted in each
     return counted.groupBy("block", "term").agg(F.sum("n").alias("df"))
 
@@ -339,7 +332,7 @@ def search(index: DataFrame, terms: DataFrame, n_docs: int, k: int = 20) -> Data
                     yield emit()
         yield emit()
 
-    found = _beside(index.select("shard", *columns), blocks).select(*columns, "block", "asked").mapInArrow(run, "item long, item_id long, doc_id long, score long")
+    found = beside(index.select("shard", *columns), "shard", blocks, 40 * terms.count()).select(*columns, "block", "asked").mapInArrow(run, "item long, item_id long, doc_id long, score long")
     order = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -42,3 +43,20 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes up to which a set of blocks is broadcast.
+SMALL = 8 << 20
+
+
+def beside(rows: DataFrame, key: str, blocks: DataFrame, size: int) -> DataFrame:
+    """Every row beside every block, a pair a row. ``size``: the blocks' bytes, as counted.
+
+    Up to SMALL bytes the blocks are broadcast. Beyond, rows are dealt to as many
+    groups as there are shuffle partitions by a hash of ``key``, and each group
+    gets all blocks by a shuffle. Column ``g`` is the group.
+    """
+    groups = 1 if size <= SMALL else partitions(rows.sparkSession)
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64(key), F.lit(groups)))
+    every = blocks.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    return dealt.join(F.broadcast(every) if groups == 1 else every.hint("merge"), "g")
