@@ -250,11 +250,73 @@ def korean_rules(words: DataFrame) -> DataFrame:
     return w.select("lang", "raw", F.posexplode(cands).alias("ord", "cand")).select("lang", "raw", "cand", F.lit("rule").alias("source"), "ord")
 
 
+def _split_hot(left: DataFrame, right: DataFrame, keys: tuple[str, ...], spread: str, most: int) -> DataFrame:
+    """The equality join of both on ``keys``; a key that more than ``most`` rows of ``right`` have is dealt to several tasks by a hash of ``spread``, beside each of which stand the rows of ``left``."""
+    hot = right.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias("__parts")).where(F.col("__parts") > 1)
+    parts = F.coalesce("__parts", F.lit(1))
+    r = right.join(hot, list(keys), "left").withColumn("__part", F.pmod(F.xxhash64(spread), parts)).drop("__parts")
+    every = left.join(hot, list(keys), "left").withColumn("__n", parts)
+    ell = every.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__parts", "__n")
+    return ell.join(r, [*keys, "__part"]).drop("__part")
+
+
+#: Letters of the longest word whose letters are deleted; what longer words share is found by their quarters.
+_FEW = 16
+
+
+def _without_letters(x: Column, most: Column) -> Column:
+    """The word and what is left of it without up to ``most`` letters (1 at least)."""
+    one = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    return F.aggregate(F.sequence(F.lit(1), most), F.array(x), lambda found, _: F.array_distinct(F.concat(found, F.flatten(F.transform(found, one)))))
+
+
+def _quarters(x: Column) -> Column:
+    """(quarter, length, its letters) of a word cut into four: of two words within three edits one quarter of either stands in the other as it is, three places off at most."""
+    n = F.length(x)
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(i.alias("i"), n.alias("n"), F.substr(x, F.floor(n * i / 4) + 1, F.floor(n * (i + 1) / 4) - F.floor(n * i / 4)).alias("w")))
+
+
+def _quarters_of_others(x: Column) -> Column:
+    """What ``_quarters`` of any word within three edits of ``x`` can be."""
+    n = F.length(x)
+    at = lambda i, m, d: F.struct(i.alias("i"), m.alias("n"), F.substr(x, F.greatest(F.floor(m * i / 4) + 1 + d, F.lit(1)), F.floor(m * (i + 1) / 4) - F.floor(m * i / 4)).alias("w"))
+    shifts, quarters = F.sequence(F.lit(-3), F.lit(3)), F.sequence(F.lit(0), F.lit(3))
+    return F.array_distinct(F.flatten(F.transform(shifts, lambda e: F.flatten(F.transform(quarters, lambda i: F.transform(shifts, lambda d: at(i, n + e, d)))))))
+
+
+def near_korean(words: DataFrame, vocabulary: DataFrame, hot: int = 2000) -> DataFrame:
+    """``lang, raw, cand, n``: pairs with the same first letter of the first syllable, lengths at most two syllables apart, that can be near; each once.
+
+    One syllable apart, two letters (words of up to three syllables) or three:
+    such words leave the same string when each loses one syllable, or two or
+    three of its letters. Words of over 16 letters would leave too many strings;
+    of four parts of one of them the other has one as it is. So the join is on
+    strings, grows with the words, and loses no pair.
+    """
+    def keys(x: str, b: str, j: str, own: bool) -> Column:
+        tag = lambda kind, found: F.transform(found, lambda k: F.xxhash64(F.lit(kind), F.col(b), k))
+        letters = F.length(j)
+        most = F.when(F.length(x) > (3 if own else 1), 3).otherwise(2)
+        few = letters <= (_FEW if own else _FEW + 3)
+        none = F.array().cast("array<bigint>")
+        deleted = F.when(few, tag("j", _without_letters(F.col(j), most))).otherwise(none)
+        parts = _quarters_of_others(F.col(j)) if own else _quarters(F.col(j))
+        quarters = F.when(letters > (_FEW if own else _FEW - 3), F.transform(parts, lambda q: F.xxhash64(F.lit("q"), F.col(b), q["i"], q["n"], q["w"]))).otherwise(none)
+        return F.array_distinct(F.concat(tag("s", _without_letters(F.col(x), F.lit(1))), deleted, quarters))
+
+    left = words.select("lang", "raw").distinct().where("raw <> ''").withColumns({"b": X.first_jamo("raw"), "j": X.jamo("raw")})
+    right = vocabulary.select("lang", F.col("word").alias("cand"), "n").where("cand <> ''").withColumns({"b": X.first_jamo("cand"), "j": X.jamo("cand")})
+    left = left.select("lang", "raw", F.explode(keys("raw", "b", "j", True)).alias("k"))
+    right = right.select("lang", "cand", "n", F.explode(keys("cand", "b", "j", False)).alias("k"))
+    near = _split_hot(left, right, ("lang", "k"), "cand", hot).where((F.col("raw") != F.col("cand")) & (F.abs(F.length("raw") - F.length("cand")) <= 2))
+    return near.groupBy("lang", "raw", "cand").agg(F.first("n").alias("n"))
+
+
 def near_vocabulary(words: DataFrame, vocabulary: DataFrame, language: str = "ko", most: int = 8) -> DataFrame:
     """``lang, raw, cand, dist, n, r``: vocabulary words near a word, nearest first, then most frequent.
 
     ``ko``: same first letter of the first syllable, at most two syllables
-    longer or shorter, Korean distance up to 1.2 (three syllables) or 1.8; blocks are letter and length.
+    longer or shorter, Korean distance up to 1.2 (three syllables) or 1.8.
     Others: same first letter without accents, one longer or shorter, one edit
     of the lower-cased words without accents; the join is on what both leave when a letter is deleted.
     """
@@ -263,10 +325,9 @@ def near_vocabulary(words: DataFrame, vocabulary: DataFrame, language: str = "ko
     left = words.select("lang", "raw").distinct().where("raw <> ''")
     right = vocabulary.select("lang", F.col("word").alias("cand"), "n")
     if language == "ko":
-        left = left.withColumns({"b": X.first_jamo("raw"), "jr": X.jamo("raw"), "l": F.explode(F.sequence(F.greatest(F.length("raw") - 2, F.lit(1)), F.length("raw") + 2))})
-        near = left.join(right.withColumns({"b": X.first_jamo("cand"), "jc": X.jamo("cand"), "l": F.length("cand")}), ["lang", "b", "l"]).where("raw <> cand")
+        near = near_korean(left, vocabulary).where(X.first_jamo("raw") == X.first_jamo("cand"))  # keys are hashes
         # 1.8 is three letters at 0.6 or one syllable: distances beyond are not worked out.
-        whole, letters = F.levenshtein("raw", "cand", 1), F.levenshtein("jr", "jc", 3)
+        whole, letters = F.levenshtein("raw", "cand", 1), F.levenshtein(X.jamo("raw"), X.jamo("cand"), 3)
         near = near.withColumn("dist", F.round(F.least(F.when(whole >= 0, whole.cast("double")), F.when(letters >= 0, letters * 0.6)), 6)).where(F.col("dist") <= F.when(F.length("raw") <= 3, 1.2).otherwise(1.8))
     else:
         bare = lambda x: X.strip_accents(F.lower(F.col(x)))

@@ -67,16 +67,23 @@ def top_changes(tokens: DataFrame, n: int = 30) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n)
 
 
-def quantiles(values: DataFrame, column: str, shares: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)) -> DataFrame:
-    """``lang, p, value``: exact lower nearest-rank quantiles, element int((n - 1) p) of the order.
+def quantiles(values: DataFrame, column: str, shares: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0), bins: int = 4096) -> DataFrame:
+    """``lang, p, value``: exact lower nearest-rank quantiles of numbers, element int((n - 1) p) of the order; nulls are left out.
 
-    Equal values are counted first, so the order is over distinct values only.
+    A histogram of ``bins`` equal steps a language tells in which step a
+    quantile lies; only that step's distinct values are ordered, so no window
+    covers a language's rows.
     """
-    c = values.groupBy("lang", F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    up = Window.partitionBy("lang").orderBy("value")
-    c = c.withColumns({"to": F.sum("n").over(up), "total": F.sum("n").over(Window.partitionBy("lang"))})
-    c = c.withColumn("p", F.explode(F.array(*(F.lit(s) for s in shares)))).withColumn("at", F.floor((F.col("total") - 1) * F.col("p")))
-    return c.where((F.col("at") < F.col("to")) & (F.col("at") >= F.col("to") - F.col("n"))).select("lang", "p", "value")
+    c = values.where(F.col(column).isNotNull()).groupBy("lang", F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    span = c.groupBy("lang").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("total"))
+    step = F.floor((F.col("value") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0)) * bins)
+    c = c.join(F.broadcast(span), "lang").withColumn("bin", F.least(F.coalesce(step, F.lit(0)), F.lit(bins - 1)))  # one row a language
+    steps = c.groupBy("lang", "bin").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
+    to = F.sum("m").over(Window.partitionBy("lang").orderBy("bin"))  # of as many rows as there are steps
+    asked = steps.withColumn("to", to).withColumn("p", F.explode(F.array(*(F.lit(s) for s in shares)))).withColumn("at", F.floor((F.col("total") - 1) * F.col("p")))
+    asked = asked.where((F.col("at") < F.col("to")) & (F.col("at") >= F.col("to") - F.col("m"))).select("lang", "bin", "p", (F.col("at") - F.col("to") + F.col("m")).alias("at"))
+    inner = c.join(F.broadcast(asked), ["lang", "bin"]).withColumn("upto", F.sum("n").over(Window.partitionBy("lang", "p").orderBy("value")))  # a row a language and share
+    return inner.where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))).select("lang", "p", "value")
 
 
 def threshold_sweep(tokens: DataFrame, score: str, thresholds: list[float]) -> DataFrame:

@@ -197,9 +197,12 @@ def loo_decisions(counts: DataFrame, policy: str) -> DataFrame:
     A word-level table, so a corpus of any size pays for it once per word.
     """
     rule = POLICIES[policy]
-    m = S.most_frequent(counts).withColumn("category", X.mapping_class("raw", "pred"))
-    m = m.join(S.loo_raw(counts).select("lang", "raw", F.col("total").alias("rt"), F.col("precision").alias("rp")), ["lang", "raw"], "left")
-    m = m.join(S.loo_pair(counts).select("lang", "raw", F.col("cand").alias("pred"), F.col("total").alias("pt"), F.col("precision").alias("pp")), ["lang", "raw", "pred"], "left")
+    pairs = S.leave_one_out(counts)
+    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    hit, own = F.col("winner") == F.col("norm"), (F.col("winner") == F.col("pred")) & (F.col("winner") != F.col("raw"))
+    m = pairs.groupBy("lang", "raw").agg(F.first("pred").alias("pred"), F.first("best_count").alias("best_count"), F.sum("n").alias("total"), n(hit).alias("right"), n(own).alias("pt"), n(own & hit).alias("pair_right"))
+    share = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 6)
+    m = m.select("lang", "raw", "pred", "best_count", "total", F.col("total").alias("rt"), share("right", "total").alias("rp"), "pt", share("pair_right", "pt").alias("pp"), X.mapping_class("raw", "pred").alias("category"))
     m = m.join(F.broadcast(S.loo_category(counts).select("lang", "category", F.col("total").alias("ct"), F.col("precision").alias("cp"))), ["lang", "category"], "left")  # a dozen rows a language
 
     def gated(g: Gate | None) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
-from lexweave.sources.sentences import BOS, EOS
+from lexweave.sources.sentences import BOS, EOS, shifted
 
 
 def pair_counts(tokens: DataFrame, keys: tuple[str, ...] = ("lang", "raw"), ordinals: bool = False) -> DataFrame:
@@ -82,6 +82,60 @@ def ngram_counts(tokens: DataFrame, order: int) -> DataFrame:
     return rows.groupBy("lang", *(f"w{i + 1}" for i in range(order))).agg(F.count("*").alias("n"))
 
 
+def gold_trigrams(sentences: DataFrame) -> DataFrame:
+    """``lang, w1, w2, w3, n, firsts, lasts``: each gold word (a null one is the word) between its neighbours, with marks beyond both ends.
+
+    ``firsts`` and ``lasts`` count the cases at a sentence's beginning and end.
+    Neighbours come from the array; the only exchange is that of the counts.
+    """
+    size = F.when(F.col("norm").isNull(), F.size("raw")).otherwise(F.least(F.size("raw"), F.size("norm")))
+    s = sentences.where(F.size("raw") > 0).withColumn("__n", size).where(F.col("__n") > 0)
+    gold = F.zip_with(F.slice("raw", 1, F.col("__n")), F.coalesce("norm", F.array().cast("array<string>")), lambda r, g: F.coalesce(g, r))
+    s = s.select("lang", F.slice(gold, 1, F.col("__n")).alias("g"), "__n")
+    s = s.select("lang", "__n", F.posexplode(F.arrays_zip(shifted(F.col("g"), -1, BOS).alias("w1"), F.col("g").alias("w2"), shifted(F.col("g"), 1, EOS).alias("w3"))).alias("pos", "z"))
+    end = lambda c: F.sum(c.cast("long"))
+    return s.groupBy("lang", *(F.col(f"z.{w}").alias(w) for w in ("w1", "w2", "w3"))).agg(F.count("*").alias("n"), end(F.col("pos") == 0).alias("firsts"), end(F.col("pos") == F.col("__n") - 1).alias("lasts"))
+
+
+def marginals(trigrams: DataFrame, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """``ord, lang, w1, w2, w3, n``: n-grams of several orders as sums over trigrams, padded by one mark at each end."""
+    none = F.lit(None).cast("string")
+
+    def row(order, n, a, b=none, c=none):
+        return F.when(n > 0, F.struct(F.lit(order).alias("ord"), a.alias("w1"), b.alias("w2"), c.alias("w3"), n.alias("n")))
+
+    w1, w2, w3, n = (F.col(c) for c in ("w1", "w2", "w3", "n"))
+    firsts, lasts = F.col("firsts"), F.col("lasts")
+    rows = {
+        1: [row(1, n, w2), row(1, firsts, F.lit(BOS)), row(1, lasts, F.lit(EOS))],
+        2: [row(2, n, w2, w3), row(2, firsts, F.lit(BOS), w2)],
+        3: [row(3, n, w1, w2, w3)],
+    }
+    t = trigrams.select("lang", F.explode(F.array_compact(F.array(*(r for k in orders for r in rows[k])))).alias("z")).select("lang", "z.*")
+    return t.groupBy("ord", "lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
+
+
+def trigram_scores(trigrams: DataFrame) -> DataFrame:
+    """``lang, left, cand, right, uni, bi_left, bi_right, tri``: add-one smoothed log probabilities of every trigram's middle word.
+
+    Counts of both pairs are sums over the trigrams that share them (a pair is
+    a small part even of a frequent word's trigrams); counts of words are joined.
+    """
+    words = marginals(trigrams, (1,)).select("lang", F.col("w1").alias("word"), F.col("n").alias("k"))
+    size = words.groupBy("lang").agg(F.count("*").alias("v"), F.sum("k").alias("total"))
+    beside = lambda *keys: F.sum("n").over(Window.partitionBy("lang", *keys))
+    t = trigrams.withColumn("nlc", beside("w1", "w2")).withColumn("ncr", beside("w2", "w3"))
+    t = t.join(F.broadcast(size), "lang")  # one row a language
+    t = t.join(words.select("lang", F.col("word").alias("w2"), F.col("k").alias("nc")), ["lang", "w2"])
+    t = t.join(words.select("lang", F.col("word").alias("w1"), F.col("k").alias("nl")), ["lang", "w1"])
+    log = lambda a, b: F.round(F.log((F.col(a) + 1) / b), 6)
+    v = F.col("v")
+    return t.select(
+        "lang", F.col("w1").alias("left"), F.col("w2").alias("cand"), F.col("w3").alias("right"),
+        log("nc", F.col("total") + v).alias("uni"), log("nlc", F.col("nl") + v).alias("bi_left"), log("ncr", F.col("nc") + v).alias("bi_right"), log("n", F.col("nlc") + v).alias("tri"),
+    )
+
+
 def context_tables(tokens: DataFrame, tie: str = "T2") -> dict[str, DataFrame]:
     """Best replacement by word, word and next word, and both neighbours; only where the neighbours exist."""
     inner = {"unigram": F.lit(True), "bigram": F.col("next") != EOS, "trigram": (F.col("prev") != BOS) & (F.col("next") != EOS)}
@@ -138,22 +192,28 @@ def candidate_info(counts: DataFrame) -> DataFrame:
 
 
 def leave_one_out(counts: DataFrame) -> DataFrame:
-    """``lang, raw, norm, n, winner``: the best replacement (T2) of the word without one occurrence of the pair.
+    """``lang, raw, norm, n, winner, pred, best_count``: the best replacement (T2) of the word without one occurrence of the pair; ``pred``: with all of them.
 
     Nothing is done per occurrence: all n of a pair share the answer. Without
     one of its own a pair competes with the best of the others, which are the
     word's two best pairs at most; a word left without pairs predicts itself.
     """
-    same = (F.col("norm") != F.col("raw")).cast("int")
-    rank = F.struct((-F.col("n")).alias("a"), same.alias("b"), F.col("norm").alias("c"))
-    # The two best pairs of a word are enough to know the best one beside any given pair.
-    top = counts.withColumn("z", rank).groupBy("lang", "raw").agg(F.min("z").alias("z1"))
-    second = counts.withColumn("z", rank).join(top, ["lang", "raw"]).where("z <> z1").groupBy("lang", "raw").agg(F.min("z").alias("z2"))
-    t = counts.withColumn("z", rank).join(top, ["lang", "raw"]).join(second, ["lang", "raw"], "left")
+    t = _two_best(counts)
+    own = F.when(F.col("n") > 1, _place(F.col("n") - 1))
     other = F.when(F.col("z") == F.col("z1"), F.col("z2")).otherwise(F.col("z1"))
-    own = F.when(F.col("n") > 1, F.struct((-(F.col("n") - 1)).alias("a"), same.alias("b"), F.col("norm").alias("c")))
     best = F.when(own.isNull(), other).when(other.isNull(), own).when(own < other, own).otherwise(other)
-    return t.select("lang", "raw", "norm", "n", F.coalesce(best.getField("c"), F.col("raw")).alias("winner"))
+    return t.select("lang", "raw", "norm", "n", F.coalesce(best.getField("c"), F.col("raw")).alias("winner"), F.col("z1.c").alias("pred"), (-F.col("z1.a")).alias("best_count"))
+
+
+def _place(n: Column) -> Column:
+    """A pair's place by the second tie rule; less is better."""
+    return F.struct((-n).alias("a"), (F.col("norm") != F.col("raw")).cast("int").alias("b"), F.col("norm").alias("c"))
+
+
+def _two_best(counts: DataFrame) -> DataFrame:
+    """Each pair beside its word's two best places ``z1`` and ``z2``: one exchange by word, whose pairs pass by in order and may spill."""
+    every = Window.partitionBy("lang", "raw").orderBy("z").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return counts.withColumn("z", _place(F.col("n"))).withColumns({"z1": F.first("z").over(every), "z2": F.nth_value("z", 2).over(every)})
 
 
 def _precision(rows: DataFrame, *keys: str) -> DataFrame:

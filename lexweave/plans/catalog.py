@@ -1,13 +1,13 @@
-"""All registered queries of the normalization engine and their SQL."""
+"""All registered queries of the normalization engine and their SQL. The modules of this folder add theirs to the same tables; only here are they all loaded."""
 
 from __future__ import annotations
 
-from lexweave.plans import policies, queries as _base  # noqa: F401  policies add theirs to the same tables
+from lexweave.plans import generation, policies, queries as _base  # noqa: F401
 
 
 def queries() -> dict:
-    return _base.queries()
+    return dict(_base._Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _base.oracle_sql()
+    return dict(_base._SQL)

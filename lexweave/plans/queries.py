@@ -18,7 +18,7 @@ from lexweave.operators import predict as P
 from lexweave.operators import rules as R
 from lexweave.operators import sampling as G
 from lexweave.operators import stats as S
-from lexweave.sources.sentences import ACCENTED, BASE, document_pairs, order_mismatch, rebuilt
+from lexweave.sources.sentences import ACCENTED, BASE, document_pairs, document_sentences, order_mismatch, rebuilt
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -35,6 +35,17 @@ def _query(sql: str | None = None):
     return add
 
 
+def _query_of_sentences(sql: str | None = None):
+    """Of sentences as arrays, not of tokens."""
+
+    def add(f):
+        _query(sql)(f)
+        _Q[f.__name__] = lambda spark, sf_dir: f(document_sentences(spark, sf_dir))
+        return f
+
+    return add
+
+
 def _train(t: DataFrame) -> DataFrame:
     return t.where("fold <> 0")
 
@@ -125,14 +136,9 @@ g1 AS (SELECT lang, w1, count(*) AS n FROM g GROUP BY ALL), g2 AS (SELECT lang,
 """
 
 
-@_query(_NG + "SELECT 1 AS ord, lang, w1, NULL::VARCHAR AS w2, NULL::VARCHAR AS w3, n FROM g1 UNION ALL SELECT 2, lang, w1, w2, NULL, n FROM g2 UNION ALL SELECT 3, lang, w1, w2, w3, n FROM g3")
+@_query_of_sentences(_NG + "SELECT 1 AS ord, lang, w1, NULL::VARCHAR AS w2, NULL::VARCHAR AS w3, n FROM g1 UNION ALL SELECT 2, lang, w1, w2, NULL, n FROM g2 UNION ALL SELECT 3, lang, w1, w2, w3, n FROM g3")
 def a8_ngrams(t):
-    none = F.lit(None).cast("string")
-    parts = []
-    for k in (1, 2, 3):
-        g = S.ngram_counts(t, k)
-        parts.append(g.select(F.lit(k).alias("ord"), "lang", *(F.col(f"w{i}") if i <= k else none.alias(f"w{i}") for i in (1, 2, 3)), "n"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return S.marginals(S.gold_trigrams(t))
 
 
 def _context(where: str) -> str:
@@ -296,13 +302,11 @@ def j11_blocklist(t):
     return P.without_blocked(S.pair_counts(t).withColumnRenamed("norm", "cand"), blocked)
 
 
-@_query(_NG + """, tri AS (SELECT DISTINCT lang, w1 AS "left", w2 AS cand, w3 AS "right" FROM g3), v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM g1 GROUP BY lang)
+@_query_of_sentences(_NG + """, tri AS (SELECT DISTINCT lang, w1 AS "left", w2 AS cand, w3 AS "right" FROM g3), v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM g1 GROUP BY lang)
 SELECT t.lang, t."left", t.cand, t."right", round(ln((coalesce(c.n,0)+1)/(v.total+v.v)),6) AS uni, round(ln((coalesce(lc.n,0)+1)/(coalesce(l.n,0)+v.v)),6) AS bi_left, round(ln((coalesce(cr.n,0)+1)/(coalesce(c.n,0)+v.v)),6) AS bi_right, round(ln((coalesce(g3.n,0)+1)/(coalesce(lc.n,0)+v.v)),6) AS tri
 FROM tri t JOIN v USING (lang) LEFT JOIN g1 c ON c.lang=t.lang AND c.w1=t.cand LEFT JOIN g1 l ON l.lang=t.lang AND l.w1=t."left" LEFT JOIN g2 lc ON lc.lang=t.lang AND lc.w1=t."left" AND lc.w2=t.cand LEFT JOIN g2 cr ON cr.lang=t.lang AND cr.w1=t.cand AND cr.w2=t."right" LEFT JOIN g3 ON g3.lang=t.lang AND g3.w1=t."left" AND g3.w2=t.cand AND g3.w3=t."right" """)
 def j12_lm_scores(t):
-    g3 = S.ngram_counts(t, 3)
-    triples = g3.select("lang", F.col("w1").alias("left"), F.col("w2").alias("cand"), F.col("w3").alias("right"))
-    return P.language_scores(triples, S.ngram_counts(t, 1), S.ngram_counts(t, 2), g3).select("lang", "left", "cand", "right", "uni", "bi_left", "bi_right", "tri")
+    return S.trigram_scores(S.gold_trigrams(t))
 
 
 @_query("SELECT sent_id, pos, lang, raw, prev, next, coalesce(lag(raw, 2) OVER w, '<BOS>') AS prev2, coalesce(lead(raw, 2) OVER w, '<EOS>') AS next2 FROM pairs WINDOW w AS (PARTITION BY sent_id ORDER BY pos)")
@@ -538,13 +542,13 @@ def h3_forest(t):
     return E.threshold_sweep(scored, "change_p", [round(0.2 + 0.02 * i, 2) for i in range(36)])
 
 
-def h7_generate(t):
-    """Prompts of the tokens that a generator would get, through the identity plug-in."""
+def h7_prompts(t):
+    """Prompts of the tokens that an external generator would get, through the identity plug-in."""
     s = _valid(t).where("raw <> norm").select("sent_id", "pos", "lang", F.concat(F.lit("normalize: "), F.col("prev"), F.lit(" <extra_id_0> "), F.col("raw"), F.lit(" <extra_id_1> "), F.col("next")).alias("prompt"))
     return H.generate(s)
 
 
-for _f in (j6_fuzzy, m_pair_features, m_detector_features, h3_forest, h7_generate):
+for _f in (j6_fuzzy, m_pair_features, m_detector_features, h3_forest, h7_prompts):
     _query()(_f)
 
 
@@ -604,11 +608,3 @@ def c7_case_variants(t):
 
 for _f in (c2_spanish_rules, c7_case_variants):
     _query()(_f)
-
-
-def queries() -> dict:
-    return dict(_Q)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)

@@ -16,7 +16,7 @@ from lexweave.operators import features as M
 from lexweave.operators import predict as P
 from lexweave.operators import sampling as G
 from lexweave.operators import stats as S
-from lexweave.plans import queries as Q
+from lexweave.plans import catalog as Q
 from lexweave.sources import sentences as C
 
 SF = "/root/testdata/sf0.001"
