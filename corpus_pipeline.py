@@ -2,11 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last
-return the columns of ``docs``.
+return the columns of ``docs``, whatever these are called. A null text goes
+with the first stage; a null or repeated ``doc_id`` is a document like others;
+an empty table passes all stages and gives no pieces.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,29 +21,43 @@ from lexweave.llm.runtime import shared_dir
 MIN_LANGUAGE_SCORE = 0.5
 
 
+def _beside(docs: DataFrame, needed: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``stage`` makes of ``docs``, with the columns of ``docs``: those not ``needed`` pass under names that no operator uses, so that none is overwritten."""
+    others = {c: f"__other_{i}" for i, c in enumerate(docs.columns) if c not in needed}
+    made = stage(docs.withColumnsRenamed(others))
+    return made.select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose text is null, has no letter or has no language of a posterior over MIN_LANGUAGE_SCORE."""
-    found = language_id.identify(docs, language_id.train(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") > MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    def stage(d):
+        found = language_id.identify(d, language_id.train(d))
+        return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") > MIN_LANGUAGE_SCORE))
+
+    return _beside(docs, ("doc_id", "text", "lang"), stage)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class of near-duplicates."""
-    return near_duplicates.deduplicate(docs).select(*docs.columns)
+    return _beside(docs, ("doc_id", "text"), near_duplicates.deduplicate)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts windows of 13 words that a document with a smaller id has too; texts that lose nothing stay as they are, and ``n_chars`` follows."""
-    kept = substring_dedup.substring_dedup(docs, keep_layout=True)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    def stage(d):
+        kept = substring_dedup.substring_dedup(d, keep_layout=True)
+        if "n_chars" in d.columns:
+            kind = d.schema["n_chars"].dataType
+            kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        return kept
+
+    return _beside(docs, ("doc_id", "text", "n_chars"), stage)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of ``benchmark``."""
-    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _beside(docs, ("doc_id", "text"), lambda d: decontamination.decontaminate(d, items))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
