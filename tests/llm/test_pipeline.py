@@ -99,3 +99,19 @@ def test_queries_have_the_columns_they_promise(spark, corpus, tmp_path):
     pieces = found["op9_packing"](spark, path)
     assert set("doc_id start length ids_crc32 doc_tokens sequence_id offset".split()) <= set(pieces.columns)
     assert re.fullmatch("[0-9a-f]{64}", found["op8_substring_dedup"](spark, path).first()["kept_sha256"])
+
+
+def test_stages_keep_columns_of_any_name(spark, corpus):
+    """Columns that operators use themselves come through as they were; an empty table passes all stages."""
+    from pyspark.sql import functions as F
+
+    path = corpus[0]
+    names = ("lang_pred", "lang_score", "n_words", "n_removed", "class_id", "part", "k", "t", "keys")
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in names})
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs, empty = stage(spark, docs, path).cache(), stage(spark, empty, path)
+        assert docs.columns == empty.columns and set(names) <= set(docs.columns) and empty.count() == 0
+        for r in docs.select("doc_id", *names).collect():
+            assert all(r[c] == f"{c} of {'none' if r['doc_id'] is None else r['doc_id']}" for c in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, path).count() == 0

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexweave.llm import byte_pairs, hard_negatives, lexical_search
+from lexweave.llm import byte_pairs, hard_negatives, lexical_search, runtime
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 DOCS = "doc_id long, text string, lang string, term string, block long, item long, ids string, score double"
@@ -143,6 +143,8 @@ def table_mod(modulus):
 
 @pytest.mark.parametrize("dims", [1, 12, 70])
 def test_mines_like_brute_force(spark, dims, monkeypatch):
+    if dims == 12:  # anchors are shuffled instead of broadcast
+        monkeypatch.setattr(runtime, "SMALL", 0)
     rows = vectors(700, dims)
     assert run_mine(spark, rows, 20) == mined(rows, lambda i: i % 20 == 0)
 
@@ -206,6 +208,8 @@ def terms(text):
 def test_search_equals_brute_force(spark, texts, shard_bytes, monkeypatch):
     monkeypatch.setattr(lexical_search, "ITEMS", 4)
     monkeypatch.setattr(lexical_search, "_NODES", 3)
+    if shard_bytes == 3000:  # queries are shuffled instead of broadcast
+        monkeypatch.setattr(runtime, "SMALL", 0)
     rng = random.Random(4)
     items = [(i, " ".join(rng.choice([t for _, t in texts if t])[:60] for _ in range(2))) for i in range(9)]
     items += [(20, None), (21, ""), (22, "nowhere to be seen"), (23, "w1"), (23, "w1 w1 W1 w2"), (None, "w3 éa Éa")]
