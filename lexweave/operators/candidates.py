@@ -261,7 +261,7 @@ def _split_hot(left: DataFrame, right: DataFrame, keys: tuple[str, ...], spread:
 
 
 #: Letters of the longest word whose letters are deleted; what longer words share is found by their quarters.
-_FEW = 16
+_FEW = 10
 
 
 def _without_letters(x: Column, most: Column) -> Column:
@@ -289,7 +289,7 @@ def near_korean(words: DataFrame, vocabulary: DataFrame, hot: int = 2000) -> Dat
 
     One syllable apart, two letters (words of up to three syllables) or three:
     such words leave the same string when each loses one syllable, or two or
-    three of its letters. Words of over 16 letters would leave too many strings;
+    three of its letters. Words of over ten letters would leave too many strings;
     of four parts of one of them the other has one as it is. So the join is on
     strings, grows with the words, and loses no pair.
     """
