@@ -270,18 +270,25 @@ def _without_letters(x: Column, most: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), most), F.array(x), lambda found, _: F.array_distinct(F.concat(found, F.flatten(F.transform(found, one)))))
 
 
-def _quarters(x: Column) -> Column:
-    """(quarter, length, its letters) of a word cut into four: of two words within three edits one quarter of either stands in the other as it is, three places off at most."""
-    n = F.length(x)
-    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(i.alias("i"), n.alias("n"), F.substr(x, F.floor(n * i / 4) + 1, F.floor(n * (i + 1) / 4) - F.floor(n * i / 4)).alias("w")))
+def _quarter(x: Column, n: Column, i: Column, shift: Column, *block: Column) -> Column:
+    """Hash of a block, a length, the number of one of four parts of words of that length, and the letters of ``x`` in its place, moved by ``shift``."""
+    begin, end = F.floor(n * i / 4), F.floor(n * (i + 1) / 4)
+    return F.xxhash64(F.lit("q"), *block, n.cast("int"), i.cast("int"), F.substr(x, F.greatest(begin + 1 + shift, F.lit(1)).cast("int"), (end - begin).cast("int")))
 
 
-def _quarters_of_others(x: Column) -> Column:
+def _quarters(x: Column, *block: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: _quarter(x, F.length(x), i, F.lit(0), *block))
+
+
+#: Of two words within three edits, the longer by ``more`` letters, one part of the other stands in the first as it is, moved by ``shift``:
+#: edits before the part move it, those behind it do the rest, and there is a part with no more edits before it than parts, nor behind it.
+_PLACES = [(more, i, shift) for more in range(-3, 4) for i in range(4) for shift in range(-3, 4) if abs(shift) <= i and abs(shift - more) <= 3 - i]
+
+
+def _quarters_of_others(x: Column, *block: Column) -> Column:
     """What ``_quarters`` of any word within three edits of ``x`` can be."""
-    n = F.length(x)
-    at = lambda i, m, d: F.struct(i.alias("i"), m.alias("n"), F.substr(x, F.greatest(F.floor(m * i / 4) + 1 + d, F.lit(1)), F.floor(m * (i + 1) / 4) - F.floor(m * i / 4)).alias("w"))
-    shifts, quarters = F.sequence(F.lit(-3), F.lit(3)), F.sequence(F.lit(0), F.lit(3))
-    return F.array_distinct(F.flatten(F.transform(shifts, lambda e: F.flatten(F.transform(quarters, lambda i: F.transform(shifts, lambda d: at(i, n + e, d)))))))
+    places = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), F.lit(s).alias("s")) for m, i, s in _PLACES))
+    return F.transform(places, lambda p: _quarter(x, F.length(x) - p["m"], p["i"], p["s"], *block))
 
 
 def near_korean(words: DataFrame, vocabulary: DataFrame, hot: int = 2000) -> DataFrame:
@@ -300,8 +307,8 @@ def near_korean(words: DataFrame, vocabulary: DataFrame, hot: int = 2000) -> Dat
         few = letters <= (_FEW if own else _FEW + 3)
         none = F.array().cast("array<bigint>")
         deleted = F.when(few, tag("j", _without_letters(F.col(j), most))).otherwise(none)
-        parts = _quarters_of_others(F.col(j)) if own else _quarters(F.col(j))
-        quarters = F.when(letters > (_FEW if own else _FEW - 3), F.transform(parts, lambda q: F.xxhash64(F.lit("q"), F.col(b), q["i"], q["n"], q["w"]))).otherwise(none)
+        parts = _quarters_of_others(F.col(j), F.col(b)) if own else _quarters(F.col(j), F.col(b))
+        quarters = F.when(letters > (_FEW if own else _FEW - 3), parts).otherwise(none)
         return F.array_distinct(F.concat(tag("s", _without_letters(F.col(x), F.lit(1))), deleted, quarters))
 
     left = words.select("lang", "raw").distinct().where("raw <> ''").withColumns({"b": X.first_jamo("raw"), "j": X.jamo("raw")})
