@@ -8,7 +8,8 @@ the highest sum; what is within the centre leaves it where links make most of
 it, or where it is a container below the threshold.
 
 Tags, roles and class names are a prior only: text below an element that they
-call boilerplate counts as link text. Scripts, styles, form controls and hidden
+call boilerplate counts as link text, unless the element has most of the
+page's text. Scripts, styles, form controls and hidden
 elements hold no text at all.
 """
 
@@ -58,7 +59,9 @@ _TEXT_BLOCK = _HEADING | set("p li ul ol dl dt dd blockquote pre table thead tbo
 NEIGHBOUR_SHARE = 0.3
 #: Share of the page's own text from which on article and main elements are believed.
 MARKED_SHARE = 0.1
-_PLAIN, _GONE, _BAD, _WEAK = range(4)
+#: Share of the page's text from which on an element's names do not count against it.
+MOST_OF_PAGE = 0.8
+_PLAIN, _GONE, _BAD, _WEAK, _NAMED = range(5)
 
 
 def _prior(tag: str, attrs: str, inside: bool) -> int:
@@ -77,7 +80,7 @@ def _prior(tag: str, attrs: str, inside: bool) -> int:
         return _PLAIN
     names = {x.lower() for k in ("class", "id") for x in _NAME.findall(a.get(k, ""))}
     if names & _BAD_NAME:
-        return _BAD
+        return _NAMED
     return _WEAK if found == _WEAK or names & _WEAK_NAME or not inside and names & _SITE_HEAD else _PLAIN
 
 
@@ -196,7 +199,8 @@ class _Densities:
         # Text counts as link text below a link and below what the prior calls boilerplate.
         linked = [False] * n
         for i in range(1, n):
-            bad = page.prior[i] == _BAD or page.prior[i] == _WEAK and 2 * plain[i] < plain[0]
+            # no name takes most of a page away
+            bad = page.prior[i] == _BAD or page.prior[i] == _NAMED and plain[i] < MOST_OF_PAGE * plain[0] or page.prior[i] == _WEAK and 2 * plain[i] < plain[0]
             linked[i] = page.tag[i] == "a" or bad or linked[page.parent[i]]
         chars, links = own, [c if k else 0 for c, k in zip(own, linked)]
         tags, link_tags = [1] * n, [int(t == "a" or k and not linked[max(p, 0)]) for t, k, p in zip(page.tag, linked, page.parent)]

@@ -592,3 +592,12 @@ def test_minimum_covariance_determinant_is_that_of_all_subsets(spark):
         near = np.argsort([r["distance"] for r in own])[:8]
         assert np.isclose(np.linalg.det(np.cov(x[near].T, bias=True)), best[g], rtol=1e-6)
     assert len([r for r in got if r["g"] == 9]) == 12
+
+
+@pytest.mark.parametrize("name", ["widget-content", "promo", "sidebar-main", "banner", "comment-thread"])
+def test_no_name_takes_most_of_a_page(name):
+    paragraph = "Several words of a long sentence that stands in a paragraph, with commas and more words."
+    page = f"<html><body><div class='menu'><a href=1>a</a><a href=2>b</a></div><div class='{name}'>{f'<p>{paragraph}</p>' * 5}</div><div class='footer'>Copyright 2020</div></body></html>"
+    assert html_text.main_text(page) == " ".join([paragraph] * 5)
+    small = f"<html><body><div><p>{paragraph * 9}</p><p>{paragraph * 9}</p></div><div class='{name}'><p>{paragraph}</p></div></body></html>"
+    assert html_text.main_text(small) == " ".join([paragraph * 9] * 2)
