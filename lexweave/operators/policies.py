@@ -21,7 +21,8 @@ from lexweave.functions import text as X
 from lexweave.functions import unicode as U
 from lexweave.operators import candidates as C
 from lexweave.operators import stats as S
-from lexweave.operators.predict import backoff, lookup
+from lexweave.operators.predict import POLICIES as LOO_POLICIES
+from lexweave.operators.predict import backoff, lookup, loo_decisions, mfr_first, rerank_decisions
 from lexweave.operators.rules import master_map
 
 #: Decimals of scores that are compared, so that ties are ties on every engine.
@@ -570,7 +571,7 @@ def action_labels(tokens: DataFrame, output: Column) -> DataFrame:
 class Resources:
     """What policies take: pair counts of the training part, rule maps, score columns and a generator's output, each optional.
 
-    ``detector`` and ``output``: columns of the tokens; ``candidates``: ``lang, raw, cand, score, ord`` of a ranker.
+    ``detector`` and ``output``: columns of the tokens; ``candidates``: ``lang, raw, cand, score, ord`` of a ranker; ``accepted``: ``lang, raw, cand, p, ord`` of a model that accepts candidates.
     """
 
     counts: DataFrame
@@ -578,6 +579,7 @@ class Resources:
     detector: Column | None = None
     output: Column | None = None
     candidates: DataFrame | None = None
+    accepted: DataFrame | None = None
     master: dict[str, str] = field(default_factory=dict)
     macros: dict[str, str] = field(default_factory=dict)
 
@@ -606,6 +608,41 @@ REGISTRY: dict[str, tuple[tuple[str, ...], Callable[[DataFrame, Resources], Data
     "thai": (("detector",), lambda t, r: thai_two_stage(t, r.counts, r.detector)),
 }
 
+
+
+def _of_words(decided: Callable[[Resources], DataFrame]) -> Callable[[DataFrame, Resources], DataFrame]:
+    """A policy whose decisions are one table of words; words it does not have copy."""
+
+    def run_it(t: DataFrame, r: Resources) -> DataFrame:
+        d = decided(r)
+        decision = F.col("decision") if "decision" in d.columns else F.when(F.col("pred") != F.col("raw"), "change").otherwise("copy")
+        out = t.join(d.select("lang", "raw", F.col("pred").alias("__pred"), decision.alias("decision")), ["lang", "raw"], "left")
+        return out.withColumns({"pred": F.coalesce("__pred", "raw"), "decision": F.coalesce("decision", F.lit("copy"))}).drop("__pred")
+
+    return run_it
+
+
+def _best_of(r: Resources) -> DataFrame:
+    return S.most_frequent(r.counts)
+
+
+REGISTRY |= {
+    "mfr_first": ((), lambda t, r: mfr_first(t, _best_of(r), detector=r.detector, generated=r.output)),
+    "spanish_margin": (("detector", "candidates"), lambda t, r: spanish_margin(t, r.candidates, r.detector)),
+    "detector_mfr_only": (("detector",), lambda t, r: detector_first(t, _best_of(r), r.detector, "detector_mfr_only")),
+    "italian_ranked": (("candidates",), lambda t, r: italian_ranked(t, r.candidates)),
+    "monoise_rank": (("candidates",), lambda t, r: monoise_rank(t, r.candidates)),
+    "accept_override": (("accepted",), lambda t, r: accept_override(t, _best_of(r), r.accepted)),
+    "korean_ranked": (("detector",), lambda t, r: korean_ranked(t, r.counts, S.candidate_info(r.counts), r.detector)),
+    "korean_rule_mfr": ((), lambda t, r: korean_rule_mfr(t, _best_of(r), r.master)),
+    "causal_fallback": (("detector", "output"), lambda t, r: causal_fallback(t, r.output, r.detector)),
+    "rerank_prior": ((), _of_words(lambda r: rerank_decisions(S.candidate_tables(r.counts)))),
+    **{mode: (("detector", "output"), lambda t, r, mode=mode: detector_first(t, _best_of(r), r.detector, mode, output=r.output)) for mode in ("detector_mfr_byt5", "detector_byt5")},
+    **{f"tool_{mode}": (("output",), lambda t, r, mode=mode: external_tool(t, _best_of(r), r.output, mode)) for mode in ("m0_mfr", "m1_monoise_only", *TOOL_CATEGORIES, "m5_mfr_monoise_agreement_only")},
+    **{f"cascade_{name}": (("output",), lambda t, r, name=name: cascade(t, r.counts, S.candidate_info(r.counts), r.output, name)) for name in CASCADES},
+    **{f"loo_{name}": ((), _of_words(lambda r, name=name: loo_decisions(r.counts, name))) for name in LOO_POLICIES},
+}
+
 POLICY_BY_LANGUAGE = {"ja": "backoff", "ko": "master_map", "es": "hybrid"}
 
 

@@ -229,6 +229,21 @@ def test_registry_degrades(spark):
     assert got["es"] == ("A", "hybrid") and got["ja"] == ("です 。", "backoff") and D.run(t, full).count() == 4
 
 
+def test_registry_knows_all_policies(spark):
+    """Each policy by its name: what it needs, its columns, and one decision a token."""
+    t = T.tokens(sentences(spark, [("it", ["a", "zz"], None)]))
+    scores = spark.createDataFrame([("it", "a", "A", 0.9, 1.0, 0)], "lang string, raw string, cand string, score double, p double, ord int")
+    r = D.Resources(counts(spark, [("a", "b", 4), ("a", "a", 1)]), training=t, detector=F.lit(0.9), output=F.upper("raw"), candidates=scores.drop("p"), accepted=scores.drop("score"))
+    assert len(D.REGISTRY) > 30
+    for name, (needs, policy) in D.REGISTRY.items():
+        assert D.resolve(name, r) == name and (not needs or D.resolve(name, D.Resources(r.counts)) == "mfr")
+        assert {"sent_id", "pos", "lang", "raw", "pred", "decision"} <= set(policy(t, r).columns), name
+    want = {"tool_m1_monoise_only": "A", "loo_l0_mfr": "b", "accept_override": "A", "mfr_first": "b", "cascade_v4": "b", "rerank_prior": "b", "detector_byt5": "A"}
+    for name, pred in want.items():
+        got = {x["raw"]: x["pred"] for x in D.run(t, r, {"it": name}).collect()}
+        assert set(got) == {"a", "zz"} and got["a"] == pred, (name, got)
+
+
 def test_artifacts(spark, tmp_path):
     assert A.merge({"a": 1, "b": {"c": 1, "d": 2}}, {"b": {"c": 5}}, None, {"e": 3}) == {"a": 1, "b": {"c": 5, "d": 2}, "e": 3}
     config = A.from_environment(D.ItalianConfig(), environment={"LEXWEAVE_SPLIT": "yes", "LEXWEAVE_MARGIN": "2.5", "LEXWEAVE_MIN_COUNT_EXACT": "4"})
