@@ -5,7 +5,7 @@ its word windows in sparse form: per sketch row, its distinct cells in order.
 Owners of cell ranges merge the sketches of all chunks and answer which cells
 are met again; counts of cells are never below those of windows, so no repeated
 window is lost. A second pass sends only the windows whose cells are repeated in
-every row, by their 128-bit hash; owners of hash ranges group them exactly and
+every row, by their 96-bit hash; owners of hash ranges group them exactly and
 answer with the smallest document that has each. A chunk sends each window
 once however often it has it, so a window that half the corpus holds has no
 more rows than there are chunks. The dealt-out documents are one exchange, which
