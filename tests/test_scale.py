@@ -26,3 +26,26 @@ def test_texts_are_cut_once(spark, tmp_path):
     plan = t.groupBy("lang", "raw", "norm").agg(F.count("*"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 2 and "Filter" not in plan
     assert "split(" in document_sentences(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _reads_documents(spark, folder, query):
+    from lexweave.plans import catalog
+
+    return any("documents.parquet" in f for f in catalog.queries()[query](spark, folder).inputFiles())
+
+
+def test_candidates_share_counts_and_words(spark, tmp_path):
+    """Each of the sources read all documents and counted pairs anew."""
+    folder = _documents(spark, tmp_path, ["Über der See", "der Seeweg über den See", "Überder See", "den Weg", "der Weg See", "Seeweg"])
+    for query in ("c6_monoise", "m7_accept_pairs", "c9_thai_best"):
+        assert not _reads_documents(spark, folder, query)
+
+
+def test_cuts_known_in_one_form_only(spark):
+    """Cuts go on by the key without accents, then as they are and in lower case."""
+    from lexweave.operators import candidates as C
+
+    counts = spark.createDataFrame([("fr", "la", "La", 3), ("fr", "ecole", "école", 2), ("fr", "l'", "l'", 4), ("fr", "ami", "ami", 1)], "lang string, raw string, norm string, n long")
+    words = spark.createDataFrame([("fr", "laecole"), ("fr", "lami"), ("fr", "laami"), ("fr", "xyz")], "lang string, raw string")
+    rows = C.monoise(words, counts, extended=True).where("exists(sources, s -> s like 'split%')")
+    assert {(r["raw"], r["cand"], ",".join(r["sources"])) for r in rows.collect()} == {("laecole", "La école", "split_diacritic"), ("lami", "l' ami", "split,split_case,split_diacritic"), ("laami", "La ami", "split_case,split_diacritic")}
