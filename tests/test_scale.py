@@ -49,3 +49,26 @@ def test_cuts_known_in_one_form_only(spark):
     words = spark.createDataFrame([("fr", "laecole"), ("fr", "lami"), ("fr", "laami"), ("fr", "xyz")], "lang string, raw string")
     rows = C.monoise(words, counts, extended=True).where("exists(sources, s -> s like 'split%')")
     assert {(r["raw"], r["cand"], ",".join(r["sources"])) for r in rows.collect()} == {("laecole", "La école", "split_diacritic"), ("lami", "l' ami", "split,split_case,split_diacritic"), ("laami", "La ami", "split_case,split_diacritic")}
+
+
+def test_equal_texts_are_learned_once(spark, monkeypatch):
+    """Every token was a row of the regression."""
+    from lexweave.operators import models as H
+
+    rows = spark.createDataFrame([("ab", 1.0)] * 5 + [("abc", 0.0)] * 7 + [("ab", 0.0), ("xyz", 0.0), ("xy", 1.0)], "text string, label double")
+    kept = []
+    monkeypatch.setattr(H, "stored", lambda df, name: kept.append(df) or df)
+    p = {r["text"]: r["p"] for r in H.fit_text_classifier(rows, features=64)(rows.select("text").distinct()).collect()}
+    assert kept[0].count() == 5
+    assert p["ab"] > 0.5 > p["abc"]
+
+
+def test_frequencies_are_summed_within_rows(spark):
+    """N-grams of every row were exchanged with the row's id to tell document frequencies."""
+    from lexweave.operators import tfidf as V
+
+    rows = spark.createDataFrame([(1, "aab"), (2, "b  a"), (3, "")], "id long, text string")
+    old = V.grams(rows, F.col("text"), ("id",), 1, 2, False).groupBy("gram").agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
+    new = V.frequencies(rows, F.col("text"), 1, 2, False)
+    assert new._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(gram") == 1
+    assert sorted(map(tuple, old.collect())) == sorted(map(tuple, new.collect()))
