@@ -72,3 +72,13 @@ def test_frequencies_are_summed_within_rows(spark):
     new = V.frequencies(rows, F.col("text"), 1, 2, False)
     assert new._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(gram") == 1
     assert sorted(map(tuple, old.collect())) == sorted(map(tuple, new.collect()))
+
+
+def test_contexts_of_pairs_need_no_trigrams(spark):
+    """Outputs in a sentence were joined with all trigrams, whose score nothing asked for."""
+    from lexweave.operators.predict import language_scores
+
+    triples = spark.createDataFrame([("de", "a", "b", "c")], "lang string, left string, cand string, right string")
+    n = spark.createDataFrame([("de", "a", None, 1), ("de", "b", None, 2), ("de", "a", "b", 1)], "lang string, w1 string, w2 string, n long")
+    scored = language_scores(triples, n.where("w2 is null"), n.where("w2 is not null"), None)
+    assert scored.columns[-3:] == ["uni", "bi_left", "bi_right"] and scored.count() == 1
