@@ -82,3 +82,17 @@ def test_contexts_of_pairs_need_no_trigrams(spark):
     n = spark.createDataFrame([("de", "a", None, 1), ("de", "b", None, 2), ("de", "a", "b", 1)], "lang string, w1 string, w2 string, n long")
     scored = language_scores(triples, n.where("w2 is null"), n.where("w2 is not null"), None)
     assert scored.columns[-3:] == ["uni", "bi_left", "bi_right"] and scored.count() == 1
+
+
+def test_korean_pairs_are_near_and_few(spark):
+    """All pairs that share a string were exchanged before distances were told, and words with enough near ones were looked for further."""
+    from lexweave.operators import candidates as C
+
+    known = [f"단어{x}" for x in "가나다라마바사아자"] + ["단차가", "달어가나", "담머기디"]
+    v = spark.createDataFrame([("ko", w, 1) for w in known], "lang string, word string, n long")
+    q = spark.createDataFrame([("ko", "단어카"), ("ko", "담머기도")], "lang string, raw string")
+    every = {(r["raw"], r["cand"]): r["dist"] for r in C.near_korean(q, v).collect()}
+    assert max(every.values()) <= 1.8 and ("단어카", "달어가나") not in every
+    few = {(r["raw"], r["cand"]): r["dist"] for r in C.near_korean(q, v, most=8).collect()}
+    assert few == {k: d for k, d in every.items() if k[0] != "단어카" or d <= 1.0}
+    assert C.near_vocabulary(q, v, "ko").where("raw = '단어카'").count() == 8
