@@ -96,3 +96,18 @@ def test_korean_pairs_are_near_and_few(spark):
     few = {(r["raw"], r["cand"]): r["dist"] for r in C.near_korean(q, v, most=8).collect()}
     assert few == {k: d for k, d in every.items() if k[0] != "단어카" or d <= 1.0}
     assert C.near_vocabulary(q, v, "ko").where("raw = '단어카'").count() == 8
+
+
+def test_trigrams_are_exchanged_twice(spark):
+    """Trigrams went by their three words, by both pairs and by two words, and were counted twice."""
+    from lexweave.operators import stats as S
+
+    rows = [(0, "de", ["a", "b", "a", "b"], ["A", "b", None, "b"]), (1, "de", ["b"], None), (2, "de", [], []), (3, "fr", ["<BOS>", "a"], ["<BOS>", "a"])]
+    s = spark.createDataFrame(rows, "sent_id long, lang string, raw array<string>, norm array<string>")
+    of = lambda words: sorted((r["lang"], r["w1"], r["n"]) for r in words.collect())
+    assert of(S.gold_words(s)) == of(S.marginals(S.gold_trigrams(s), (1,)))
+    new = S.trigram_scores(S.gold_trigrams(s, dealt=("lang", "w1")), S.gold_words(s))
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, new.collect()))
+    assert got == sorted(map(tuple, S.trigram_scores(S.gold_trigrams(s)).collect())) and len(got) == 7
+    assert plan.count("REPARTITION_BY_COL") == 2 and plan.count("Exchange hashpartitioning") <= 4  # the others are those of words
