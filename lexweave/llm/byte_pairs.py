@@ -12,7 +12,7 @@ sequence before a byte is the same whenever that byte is reached, so a byte
 from which nothing went on is never tried again. Compatibility of two tokens
 follows from how each was merged and is remembered.
 
-Every worker learns the tables from the file once; pieces met before come from
+Every worker that encodes learns the tables from the file once; pieces met before come from
 a cache of two generations.
 """
 
@@ -38,6 +38,7 @@ _LONG = 1 << 20
 _SOME = 1 << 18
 _ODD = re.compile(r" (?:\s|$)")
 _codecs: dict[tuple[str, str], "Codec"] = {}
+_tokens: dict[str, "Tokens"] = {}
 
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), containsNull=False))])
 DECODED = T.StructType([*ENCODED.fields, T.StructField("decoded", T.BinaryType())])
@@ -49,7 +50,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class Codec:
+class Tokens:
+    """The bytes of ids: all that decoding needs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = {k: t for t, k in ranks.items()}
+        self.n = max(self.tokens) + 1
+        self.blob = np.frombuffer(b"".join(self.tokens.get(k, b"") for k in range(self.n)), np.uint8)
+        self.ends = np.cumsum([len(self.tokens.get(k, b"")) for k in range(self.n)])
+
+    def decode(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and offsets of lists of ids (``offs``: where each begins, and the end). An id that is no token is an error."""
+        ids = ids.astype(np.int64, copy=False)
+        if len(ids) and (ids.min() < 0 or ids.max() >= self.n or (np.diff(self.ends, prepend=0)[np.unique(ids)] == 0).any()):
+            raise ValueError("there is an id that is no token")
+        sizes = np.diff(self.ends, prepend=0)[ids]
+        to = np.concatenate(([0], np.cumsum(sizes)))
+        out = np.empty(int(to[-1]), np.uint8)
+        for i in range(0, len(ids), _SOME):
+            j = min(i + _SOME, len(ids))
+            lead = np.repeat(self.ends[ids[i:j]] - to[i + 1 : j + 1], sizes[i:j])
+            out[to[i] : to[j]] = self.blob[lead + np.arange(to[i], to[j])]
+        return out, to[offs]
+
+
+class Codec(Tokens):
     """``ranks``: every single byte among them. ``pattern``: a regular expression (``regex`` syntax) whose matches are the pieces.
 
     With the public pattern a piece always begins at a space before a character
@@ -64,8 +89,8 @@ class Codec:
 
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every single byte must have a rank")
+        super().__init__(ranks)
         self.ranks = ranks
-        self.tokens = {k: t for t, k in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.cuts = regex.compile(r" (?=\S)") if pattern == public_tokenizers.PATTERN else None
         self.parts: dict[int, tuple[int, int]] = {}  # the merge that makes a token; single bytes have none
@@ -74,7 +99,6 @@ class Codec:
         for token, k in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1 or self._take_apart(token, k):
                 self.made.add(k)
-        self.n = max(self.tokens) + 1
         self.size = np.zeros(self.n, np.int64)
         self.shorter = np.full(self.n, -1, np.int64)  # the longest token that begins a token
         self.byte = np.append(np.array([ranks[bytes([b])] for b in range(256)], np.int64), -1)
@@ -88,8 +112,6 @@ class Codec:
         self.starts.make_automaton()
         self.memo_key = np.full(_MEMO, -1, np.int64)
         self.memo = np.zeros(_MEMO, bool)
-        self.blob = np.frombuffer(b"".join(self.tokens.get(k, b"") for k in range(self.n)), np.uint8)
-        self.ends = np.cumsum([len(self.tokens.get(k, b"")) for k in range(self.n)])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -296,20 +318,6 @@ class Codec:
         heads = self._encode_whole([s[0] for s in split])
         return [head + b"".join(map(get, s[1:])) for head, s in zip(heads, split)]
 
-    def decode(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes and offsets of lists of ids (``offs``: where each begins, and the end). An id that is no token is an error."""
-        ids = ids.astype(np.int64, copy=False)
-        if len(ids) and (ids.min() < 0 or ids.max() >= self.n or (np.diff(self.ends, prepend=0)[np.unique(ids)] == 0).any()):
-            raise ValueError("there is an id that is no token")
-        sizes = np.diff(self.ends, prepend=0)[ids]
-        to = np.concatenate(([0], np.cumsum(sizes)))
-        out = np.empty(int(to[-1]), np.uint8)
-        for i in range(0, len(ids), _SOME):
-            j = min(i + _SOME, len(ids))
-            lead = np.repeat(self.ends[ids[i:j]] - to[i + 1 : j + 1], sizes[i:j])
-            out[to[i] : to[j]] = self.blob[lead + np.arange(to[i], to[j])]
-        return out, to[offs]
-
 
 def codec(path: str, pattern: str) -> Codec:
     """One for each file, pattern and Python worker."""
@@ -318,21 +326,21 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+def tokens(path: str) -> Tokens:
+    """One for each file and Python worker; a codec of the file serves as well."""
+    held = next((c for (p, _), c in _codecs.items() if p == path), None) or _tokens.get(path)
+    if held is None:
+        held = _tokens[path] = Tokens(read_ranks(path))
+    return held
+
+
 def _public(path: str | None, pattern: str | None) -> tuple[str, str]:
     import public_tokenizers
 
     return path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``doc_id, ids``: the ids of each whole text of ``docs`` (``doc_id``, ``text``; other columns are not read).
-
-    Null and empty texts have no ids (an empty list). Rows of equal or null
-    ``doc_id`` are encoded each by itself; an empty table gives no rows. A
-    piece may be as long as its text.
-    """
-    path, pattern = _public(path, pattern)
-    bounded_batches(docs.sparkSession)
+def _encoding(path: str, pattern: str):
     kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
 
     def run(batches):
@@ -345,15 +353,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
                 flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(offs), flat, type=kind)], ENCODED.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ENCODED)
+    return run
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """Adds ``decoded`` (binary) to ``doc_id, ids``: the bytes of the ids, empty without ids, null for a null list. A text's bytes come back as they were."""
-    path, pattern = _public(path, None)
-
+def _decoding(path: str):
     def run(batches):
-        own = codec(path, pattern)
+        own = tokens(path)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 some = b.slice(i, 256)
@@ -364,25 +369,55 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [valid, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(out)])
                 yield pa.RecordBatch.from_arrays([some.column(0), lists, column.cast(pa.binary())], DECODED.names)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, DECODED)
+    return run
+
+
+def _digesting(batches):
+    from hashlib import sha256
+
+    for b in batches:
+        sizes = np.asarray(b.column(1).value_lengths().fill_null(0), np.int64)
+        flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+        cuts = np.concatenate(([0], np.cumsum(sizes)))
+        ids = [sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(cuts[:-1], cuts[1:])]
+        decoded = [x if x is None else sha256(x).hexdigest() for x in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``doc_id, ids``: the ids of each whole text of ``docs`` (``doc_id``, ``text``; other columns are not read).
+
+    Null and empty texts have no ids (an empty list). Rows of equal or null
+    ``doc_id`` are encoded each by itself; an empty table gives no rows. A
+    piece may be as long as its text.
+    """
+    return _texts(docs).mapInArrow(_encoding(*_public(path, pattern)), ENCODED)
+
+
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """Adds ``decoded`` (binary) to ``doc_id, ids``: the bytes of the ids, empty without ids, null for a null list. A text's bytes come back as they were."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoding(_public(path, None)[0]), DECODED)
 
 
 def digest(decoded: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the rows of ``decode``."""
+    return decoded.select("doc_id", "ids", "decoded").mapInArrow(_digesting, _DIGESTS)
 
-    def run(batches):
-        from hashlib import sha256
-
-        for b in batches:
-            sizes = np.asarray(b.column(1).value_lengths().fill_null(0), np.int64)
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            cuts = np.concatenate(([0], np.cumsum(sizes)))
-            ids = [sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(ids), b.column(2)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    held = decoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return held.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``digest(decode(encode(docs)))`` in one Python worker a task: three would each come to hold the codec and its words."""
+    path, pattern = _public(path, pattern)
+    encoding, decoding = _encoding(path, pattern), _decoding(path)
+    return _texts(docs).mapInArrow(lambda batches: _digesting(decoding(encoding(batches))), _DIGESTS)
 
 
 def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))

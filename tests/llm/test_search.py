@@ -104,6 +104,17 @@ def test_byte_pairs(spark, texts, pair):
     assert sorted((r.doc_id, r.decoded) for r in byte_pairs.decode(nulls).collect()) == [(1, None), (2, b"")]
 
 
+def test_byte_pairs_take_one_worker_a_task(spark, texts):
+    """The codec and its words would otherwise come to lie in the workers of three operators."""
+    docs = documents(spark, texts)
+    whole = byte_pairs.round_trip(docs)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = byte_pairs.digest(byte_pairs.decode(byte_pairs.encode(docs)))
+    key = lambda r: tuple(map(str, r))
+    assert whole.columns == apart.columns and sorted(whole.collect(), key=key) == sorted(apart.collect(), key=key)
+    assert byte_pairs.round_trip(documents(spark, texts[:0], 1)).collect() == []
+
+
 # op11
 
 
