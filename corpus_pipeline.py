@@ -19,6 +19,8 @@ from lexweave.llm.runtime import shared_dir
 
 #: A language below this posterior is no decision.
 MIN_LANGUAGE_SCORE = 0.5
+#: Pieces of a generation that a worker's tokenizer remembers: less than by default, for the workers hold what earlier stages left as well.
+CACHED_PIECES = 120_000
 
 
 def _beside(docs: DataFrame, needed: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -62,7 +64,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens, mixed by source."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache_size=CACHED_PIECES)
 
 
 STAGES = [

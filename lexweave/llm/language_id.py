@@ -30,6 +30,7 @@ _KEEP = np.full(256, 0x20, np.uint8)
 _KEEP[0x61:0x7B] = np.arange(0x61, 0x7B)
 _KEEP[0x80:] = np.arange(0x80, 0x100)
 _UNKNOWN = 1e-7
+_ROWS = 8_000  # words of one length that go side by side: about 2 MB a language
 _vocabularies: dict[str, "Vocabulary"] = {}
 
 
@@ -140,8 +141,8 @@ class Model:
             out[r] = long_log_probs([clean[x : x + y] for x, y in zip(starts[r], sizes[r])], vocab, self.prob)
         for size in np.unique(sizes[sizes <= SHORT]):
             rows = np.flatnonzero(sizes == size)
-            for i in range(0, len(rows), 50_000):
-                r = rows[i : i + 50_000]
+            for i in range(0, len(rows), _ROWS):
+                r = rows[i : i + _ROWS]
                 out[r] = np.log(forward(_matrix(clean, starts[r], int(size)), vocab, self.prob)[:, -1])
         return out
 

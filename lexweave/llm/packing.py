@@ -26,7 +26,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _NO_SOURCE = "\0"
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, cache_size: int = tokenization.CACHE_SIZE) -> DataFrame:
     """``doc_id, source, salt, n_tokens, ids`` of each row; ids are little-endian, in two bytes each if all fit, else in four. ``salt`` differs for every row."""
     kept = [F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("source", "string"), ("text", "string"))]
 
@@ -34,7 +34,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         salt = TaskContext.get().partitionId() << 33
-        enc = tokenization.encoder(tokenizer)
+        enc = tokenization.encoder(tokenizer, cache_size)
         narrow = enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
@@ -97,6 +97,7 @@ def pack(
     targets: dict[str, float] | None = None,
     tokenizer: str | None = None,
     part_tokens: int = 4 << 20,
+    cache_size: int = tokenization.CACHE_SIZE,
 ) -> DataFrame:
     """Pieces (see PIECES) of ``docs`` (``doc_id, text, source``; other columns are not read).
 
@@ -105,10 +106,11 @@ def pack(
     together. Null and empty texts are documents of the end id alone; a null
     source has a queue of its own; rows of equal ``doc_id`` are separate
     documents. ``sequence_id`` is the part's number times 2^32 plus the
-    sequence's in its part. An empty table gives no pieces.
+    sequence's in its part. An empty table gives no pieces. ``cache_size``
+    bounds what a worker remembers of pieces; the result does not depend on it.
     """
     bounded_batches(docs.sparkSession)
-    rows = stored(encoded(docs, tokenizer or tokenization.default_path(), end_id), "ids")
+    rows = stored(encoded(docs, tokenizer or tokenization.default_path(), end_id, cache_size), "ids")
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     n = max(1, -(-total // part_tokens))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("salt"), F.lit(n)).cast("int"))

@@ -12,14 +12,15 @@ import os
 import re
 
 _ODD = re.compile(r" (?:\s|$)")
-_CACHE_SIZE = 450_000
+CACHE_SIZE = 450_000
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids. ``path``: a tokenizers JSON file of a byte-level BPE."""
+    """Texts to little-endian unsigned 32-bit ids. ``path``: a tokenizers JSON file of a byte-level BPE. ``cache_size``: pieces of a generation of the cache, about 150 bytes each."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_size: int = CACHE_SIZE):
+        self.cache_size = cache_size
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -51,7 +52,7 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """After it, ``young`` has all ``pieces``. Pieces not asked for during a generation are forgotten."""
-        if len(self.young) > _CACHE_SIZE:
+        if len(self.young) > self.cache_size:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         missing = [p for p in pieces if p not in young]
@@ -84,10 +85,11 @@ class Encoder:
             i = j
 
 
-def encoder(path: str) -> Encoder:
-    """One for each path and Python worker."""
+def encoder(path: str, cache_size: int = CACHE_SIZE) -> Encoder:
+    """One for each path and Python worker; its cache is as large as was asked for last."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].cache_size = cache_size
     return _encoders[path]
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from lexweave.llm import (
     decontamination,
     html_text,
@@ -82,6 +83,16 @@ def test_encoder_equals_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(t) for t in texts]
 
 
+def test_encoder_remembers_what_it_is_told_to():
+    """The pipeline's workers have little room: less is remembered there, with the same ids."""
+    small, large = tokenization.Encoder(tokenization.default_path(), cache_size=100), tokenization.Encoder(tokenization.default_path())
+    for k in range(12):
+        texts = [" ".join(f"w{k}x{i}" for i in range(50)), "a b w0x1"]
+        assert list(small.encode_all(texts)) == list(large.encode_all(texts))
+    assert len(small.young) + len(small.old) <= 2 * (100 + 52) < len(large.young)
+    assert corpus_pipeline.CACHED_PIECES < tokenization.CACHE_SIZE
+
+
 def test_token_files_round_trip(spark, docs, hard, empty, tmp_path):
     path = str(tmp_path / "t")
     token_files.write_token_files(docs, path, n_files=3, row_group_bytes=1 << 20)
