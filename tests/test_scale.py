@@ -111,3 +111,14 @@ def test_trigrams_are_exchanged_twice(spark):
     got = sorted(map(tuple, new.collect()))
     assert got == sorted(map(tuple, S.trigram_scores(S.gold_trigrams(s)).collect())) and len(got) == 7
     assert plan.count("REPARTITION_BY_COL") == 2 and plan.count("Exchange hashpartitioning") <= 4  # the others are those of words
+
+
+def test_keys_are_worked_out_once_a_pair(spark, tmp_path):
+    """Each kind of key was worked out for every token, over a reading of all documents of its own."""
+    folder = _documents(spark, tmp_path, ["Über den See", "über der SEE", "den Weg"])
+    for query in ("a5_key_counts", "a19_merged_dictionary", "x2_provenance", "c5_candidates"):
+        assert not _reads_documents(spark, folder, query)
+    from lexweave.operators import stats as S
+
+    counts = spark.createDataFrame([("de", "a", "A", 2), ("de", "a.", "A", 3), ("de", "b", "B", 1)], "lang string, raw string, norm string, n long")
+    assert sorted(map(tuple, S.keyed_counts(counts, F.substring("raw", 1, 1)).collect())) == [("de", "a", "A", 5), ("de", "b", "B", 1)]
