@@ -122,3 +122,12 @@ def test_keys_are_worked_out_once_a_pair(spark, tmp_path):
 
     counts = spark.createDataFrame([("de", "a", "A", 2), ("de", "a.", "A", 3), ("de", "b", "B", 1)], "lang string, raw string, norm string, n long")
     assert sorted(map(tuple, S.keyed_counts(counts, F.substring("raw", 1, 1)).collect())) == [("de", "a", "A", 5), ("de", "b", "B", 1)]
+
+
+def test_order_check_reads_sentences(spark, tmp_path):
+    """Arrays were made into tokens, exchanged word by word and gathered to the same arrays again."""
+    from lexweave.plans import catalog
+
+    folder = _documents(spark, tmp_path, ["a b", "c", " ", None, "d", "e", "f", "Ä g", "h", "i", "j", "k l"])
+    assert _reads_documents(spark, folder, "p10_order_check")
+    assert sorted(r["sent_id"] for r in catalog.queries()["p10_order_check"](spark, folder).collect()) == [0, 7, 11]
