@@ -131,3 +131,20 @@ def test_order_check_reads_sentences(spark, tmp_path):
     folder = _documents(spark, tmp_path, ["a b", "c", " ", None, "d", "e", "f", "Ä g", "h", "i", "j", "k l"])
     assert _reads_documents(spark, folder, "p10_order_check")
     assert sorted(r["sent_id"] for r in catalog.queries()["p10_order_check"](spark, folder).collect()) == [0, 7, 11]
+
+
+def test_contexts_are_exchanged_once(spark):
+    """Each of the three tables exchanged its own counts of all tokens, and then again by its keys."""
+    from lexweave.operators import stats as S
+
+    rows = [("de", "<BOS>", "a", "b", "A"), ("de", "a", "b", "<EOS>", "b"), ("de", "<BOS>", "a", "b", None), ("de", "x", "a", "b", None), ("de", "x", "a", "b", None), ("de", "x", "a", "c", ""), ("de", "y", None, "c", None), ("de", "y", "e", "c", "=e")]
+    t = spark.createDataFrame([(i, 0, *r) for i, r in enumerate(rows)], "sent_id long, pos int, lang string, prev string, raw string, next string, norm string")
+    for tie in ("T1", "T2"):
+        tables = S.context_tables(t, tie)
+        for name, keys in {"unigram": ("lang", "raw"), "bigram": ("lang", "raw", "next"), "trigram": ("lang", "prev", "raw", "next")}.items():
+            inner = t.where({"unigram": "true", "bigram": "next <> '<EOS>'", "trigram": "next <> '<EOS>' and prev <> '<BOS>'"}[name])
+            plain = S.most_frequent(S.pair_counts(inner, keys, True), keys, tie).select(*keys, "pred")
+            order = lambda r: tuple(str(x) for x in r)
+            assert sorted(map(tuple, tables[name].collect()), key=order) == sorted(map(tuple, plain.collect()), key=order)
+        fresh = S.context_tables(t, tie)
+        assert [fresh[k]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for k in ("trigram", "bigram", "unigram")] == [1, 1, 3]
