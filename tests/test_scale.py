@@ -148,3 +148,24 @@ def test_contexts_are_exchanged_once(spark):
             assert sorted(map(tuple, tables[name].collect()), key=order) == sorted(map(tuple, plain.collect()), key=order)
         fresh = S.context_tables(t, tie)
         assert [fresh[k]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for k in ("trigram", "bigram", "unigram")] == [1, 1, 3]
+
+
+def test_tasks_are_bounded(spark, tmp_path, monkeypatch):
+    """A task read up to 128 MB of texts, whose words' partial sums outgrew its memory."""
+    from lexweave.sources import sentences as T
+
+    folder = _documents(spark, tmp_path, ["a b"])
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(keys[0], "128m")
+        monkeypatch.setattr(T, "SPLIT", 100)
+        document_sentences(spark, folder)
+        assert int(spark.conf.get(keys[0])) == 100 and int(spark.conf.get(keys[1])) > int(before[1])
+        spark.conf.set(keys[0], "50b")
+        spark.conf.set(keys[1], "1000")
+        document_sentences(spark, folder)
+        assert [spark.conf.get(k) for k in keys] == ["50b", "1000"]
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
