@@ -169,3 +169,12 @@ def test_tasks_are_bounded(spark, tmp_path, monkeypatch):
     finally:
         for k, v in zip(keys, before):
             spark.conf.set(k, v)
+
+
+def test_cascades_share_counts_and_words(spark, tmp_path):
+    """Each join of a cascade's words, and each use of the pair counts, read all documents anew; now they are read once for the tokens of each policy."""
+    from lexweave.plans import catalog
+
+    folder = _documents(spark, tmp_path, ["Über der See", "der Weg über den See"])
+    plan = lambda q: catalog.queries()[q](spark, folder)._jdf.queryExecution().optimizedPlan().toString().count("posexplode(")
+    assert plan("d19_cascade_v4") == 1 and plan("p6_policies") == 5
