@@ -178,3 +178,13 @@ def test_cascades_share_counts_and_words(spark, tmp_path):
     folder = _documents(spark, tmp_path, ["Über der See", "der Weg über den See"])
     plan = lambda q: catalog.queries()[q](spark, folder)._jdf.queryExecution().optimizedPlan().toString().count("posexplode(")
     assert plan("d19_cascade_v4") == 1 and plan("p6_policies") == 5
+
+
+def test_distances_are_of_whole_words(spark):
+    """Only the first 64 letters were compared."""
+    from lexweave.operators import features as M
+
+    start = "a" * 64
+    counts = spark.createDataFrame([("it", start + "bcd", start + "bxy", 1)], "lang string, raw string, norm string, n long")
+    row = M.monoise_features(counts.select("lang", "raw", F.col("norm").alias("cand"), F.array(F.lit("lookup")).alias("sources")), counts).first()
+    assert (row["edit_distance"], row["norm_edit_distance"]) == (2, round(2 / 67, 6))
