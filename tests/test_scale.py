@@ -188,3 +188,14 @@ def test_distances_are_of_whole_words(spark):
     counts = spark.createDataFrame([("it", start + "bcd", start + "bxy", 1)], "lang string, raw string, norm string, n long")
     row = M.monoise_features(counts.select("lang", "raw", F.col("norm").alias("cand"), F.array(F.lit("lookup")).alias("sources")), counts).first()
     assert (row["edit_distance"], row["norm_edit_distance"]) == (2, round(2 / 67, 6))
+
+
+def test_context_is_worked_out_with_the_explode(spark, tmp_path):
+    """A lambda parted the steps: each word's row held its sentence's array, and all rows of a sentence were held at once."""
+    from lexweave.operators import rules as R
+
+    folder = _documents(spark, tmp_path, ["a b d c", "x"])
+    t = R.context_window(document_pairs(spark, folder)).select("sent_id", "pos", "left", "right")
+    assert [tuple(r)[1:] for r in t.orderBy("sent_id", "pos").collect()] == [(0, "", "b d"), (1, "a", "d c"), (2, "a b", "c"), (3, "b d", ""), (0, "", "")]
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert all("*(" in line for line in plan.splitlines() if "Project" in line)
