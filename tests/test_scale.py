@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from lexweave.sources.sentences import document_pairs, document_sentences
@@ -199,3 +201,24 @@ def test_context_is_worked_out_with_the_explode(spark, tmp_path):
     assert [tuple(r)[1:] for r in t.orderBy("sent_id", "pos").collect()] == [(0, "", "b d"), (1, "a", "d c"), (2, "a b", "c"), (3, "b d", ""), (0, "", "")]
     plan = t._jdf.queryExecution().executedPlan().toString()
     assert all("*(" in line for line in plan.splitlines() if "Project" in line)
+
+
+def test_detectors_work_on_words(spark, tmp_path):
+    """Functions in Python stood beside the explode and were handed a sentence's array with every word; tokens were exchanged for each table."""
+    from lexweave.operators import features as M
+    from lexweave.operators import stats as S
+    from lexweave.sources.artifacts import stored
+
+    t = document_pairs(spark, _documents(spark, tmp_path, ["Über der See", "der See"])).withColumn("lang", F.when(F.col("sent_id") == 0, F.col("lang")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for detector in (M.japanese_detector, M.italian_detector):
+            rows = detector(t, stored(S.pair_counts(t), "pair-counts"))
+            lines = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+            for i, line in enumerate(lines):
+                if "EvalPython" in line:
+                    assert "Generate" not in "\n".join(itertools.takewhile(lambda x: "Exchange" not in x, lines[i:]))
+            got = {(r["sent_id"], r["pos"]): (r["len"], r["raw_seen"]) for r in rows.collect()}
+            assert got == {(0, 0): (4, 1), (0, 1): (3, 1), (0, 2): (3, 1), (1, 0): (3, 0), (1, 1): (3, 0)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
