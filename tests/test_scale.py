@@ -222,3 +222,28 @@ def test_detectors_work_on_words(spark, tmp_path):
             assert got == {(0, 0): (4, 1), (0, 1): (3, 1), (0, 2): (3, 1), (1, 0): (3, 0), (1, 1): (3, 0)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_backoff_shares_exchanges(spark, tmp_path):
+    """Each table asked for other filters below the exchange, so tokens were exchanged for each, and the tables again for the joins."""
+    from lexweave.operators import predict as P
+    from lexweave.operators import stats as S
+
+    t = document_pairs(spark, _documents(spark, tmp_path, ["A b c", "a b c d", "Ä b", "x", "a b c"]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # The mark of a null: a neighbour that is missing stands in no table of neighbours, and its word is counted.
+        odd = t.withColumns({"prev": F.when(F.col("pos") != 1, F.col("prev")), "next": F.when(F.col("sent_id") != 2, F.col("next"))})
+        tables = {k: {tuple(r) for r in v.collect()} for k, v in S.context_tables(odd).items()}
+        assert tables["unigram"] == {("de", "a", "a"), ("de", "b", "b"), ("de", "c", "c"), ("de", "d", "d"), ("de", "x", "x")}
+        assert tables["bigram"] == {("de", "a", "b", "a"), ("de", "b", "c", "b"), ("de", "c", "d", "c")} and tables["trigram"] == {("de", "b", "c", "d", "c")}
+        out = P.backoff(t.where("fold = 0"), S.context_tables(t.where("fold <> 0")))
+        got = [tuple(r) for r in out.select("pos", "norm", "pred", "decision").orderBy("pos").collect()]
+        assert got == [(0, "A", "a", "bigram"), (1, "b", "b", "trigram"), (2, "c", "c", "unigram")]
+        rows = out._jdf
+        rows.collectToPython()
+        plan = rows.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert sum(" Exchange hashpartitioning" in line and "Reused" not in line for line in plan.splitlines()) <= 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
